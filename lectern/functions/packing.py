@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
 from lectern.config import DEFAULT, EngineConfig
-from lectern.functions.text import col, let, strip, stripped_pieces, words
+from lectern.functions.text import col, let, strip, strip_chars, stripped_pieces, words
 
 SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 _MARK = "\u0001"
@@ -23,22 +23,23 @@ def _passage(section: Column, markdown: Column) -> Column:
     return F.struct(section.alias("section"), markdown.alias("markdown"))
 
 
-def _piecewise(parts: Column, starts: Column, separator: str) -> Column:
+def _piecewise(parts: Column, starts: Column, separator: Column) -> Column:
     """Join ``parts`` between consecutive (1-based) start positions."""
 
     def one(start: Column, i: Column) -> Column:
         end = F.coalesce(F.get(starts, i + 1), F.size(parts) + 1)
-        return F.array_join(F.slice(parts, start, end - start), separator)
+        return F.call_function("array_join", F.slice(parts, start, end - start), separator)
 
     return F.transform(starts, one)
 
 
-def pack(parts: Column, separator: str, limit: int) -> Column:
+def pack(parts: Column, separator: str | Column, limit: int) -> Column:
     """Join neighbouring parts while the joined text stays within ``limit`` characters.
 
     A part that is longer than the limit by itself is kept whole.
     """
-    gap = len(separator)
+    separator = F.lit(separator) if isinstance(separator, str) else separator
+    gap = F.length(separator)
 
     def step(acc: Column, size: Column) -> Column:
         grown = acc["size"] + gap + size
@@ -63,25 +64,25 @@ def split_text(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
     """Paragraphs, else lines, else sentences, else words, packed to the passage size."""
     limit = cfg.chunk_chars
 
-    def by_sentence(t: Column) -> Column:
-        return let(
-            stripped_pieces(t, SENTENCE_END),
-            lambda s: F.when(F.size(s) > 1, pack(s, " ", limit)).otherwise(pack(words(t), " ", limit)),
-        )
-
-    def by_line(t: Column) -> Column:
-        return let(
-            stripped_pieces(t, "\n"),
-            lambda s: F.when(F.size(s) > 1, pack(s, "\n", limit)).otherwise(by_sentence(t)),
-        )
+    def cut(separator: str, parts: Column) -> Column:
+        return F.struct(F.lit(separator).alias("separator"), parts.alias("parts"))
 
-    def by_paragraph(t: Column) -> Column:
+    def first_that_splits(t: Column, levels: list[tuple[str, str]]) -> Column:
+        if not levels:
+            return cut(" ", words(t))
+        (pattern, separator), deeper = levels[0], levels[1:]
         return let(
-            stripped_pieces(t, "\n\n"),
-            lambda s: F.when(F.size(s) > 1, pack(s, "\n\n", limit)).otherwise(by_line(t)),
+            stripped_pieces(t, pattern),
+            lambda found: F.when(F.size(found) > 1, cut(separator, found)).otherwise(first_that_splits(t, deeper)),
         )
 
-    return let(text, lambda t: F.when(F.length(t) <= limit, F.array(t)).otherwise(by_paragraph(t)))
+    levels = [("\n\n", "\n\n"), ("\n", "\n"), (SENTENCE_END, " ")]
+    return let(
+        text,
+        lambda t: F.when(F.length(t) <= limit, F.array(t)).otherwise(
+            let(first_that_splits(t, levels), lambda c: pack(c["parts"], c["separator"], limit))
+        ),
+    )
 
 
 def heading_sections(markdown: Column | str, keep_preamble: bool = False) -> Column:
@@ -155,7 +156,7 @@ def split_long_section(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
 
     def packed(paras: Column) -> Column:
         starts = F.aggregate(F.transform(paras, F.length), zero, step, lambda acc: acc["starts"])
-        runs = let(starts, lambda s: _piecewise(paras, s, "\n\n"))
+        runs = let(starts, lambda s: _piecewise(paras, s, F.lit("\n\n")))
         # only a lone oversize paragraph can exceed the limit
         return F.flatten(F.transform(runs, lambda r: split_text(r, cfg)))
 
@@ -231,7 +232,7 @@ def graph_sections(text: Column | str, cfg: EngineConfig = DEFAULT) -> Column:
             titles = F.filter(F.slice(found, F.lit(1), i), is_heading)
             title = F.coalesce(F.try_element_at(titles, F.lit(-1)), F.lit("Document"))
             body = F.when(is_heading(part), F.lit("")).otherwise(strip(part))
-            return _passage(strip(strip(title, "#")), body)
+            return _passage(strip(strip_chars(title, "#")), body)
 
         return F.transform(found, section)
 

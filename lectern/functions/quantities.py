@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
-from lectern.functions.text import col, contains_any, strip, title_case
+from lectern.functions.text import col, contains_any, strip, strip_chars, title_case
 
 _UNIT_BY_PARAMETER = {}
 for _hint, _key, _unit in V.PARAMETERS:
@@ -78,13 +78,13 @@ def wine_type(text: Column | str) -> Column:
 
 
 def clean_cell(cell: Column | str) -> Column:
-    return strip(strip(strip(strip(cell), "*"), "_"))
+    return strip(strip_chars(strip_chars(strip(cell), "*"), "_"))
 
 
 def clean_variety(name: Column | str) -> Column:
     bare = strip(name)
     for mark in "*_·-":
-        bare = strip(bare, mark)
+        bare = strip_chars(bare, mark)
     return title_case(strip(F.regexp_replace(bare, r"(?U)\s*\([^)]*\)", "")))
 
 

@@ -23,7 +23,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def strip(c: Column | str, chars: str = V.WHITESPACE) -> Column:
+def strip(c: Column | str) -> Column:
+    """Remove Unicode whitespace at both ends."""
+    # one parameter only: Spark's transform() would pass an element index as a second one
+    return F.btrim(col(c), F.lit(V.WHITESPACE))
+
+
+def strip_chars(c: Column | str, chars: str) -> Column:
     return F.btrim(col(c), F.lit(chars))
 
 
