@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lectern.plans.registered import passages  # noqa: F401
+from lectern.plans.registered import passages, tables  # noqa: F401
 from lectern.plans.registered.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
