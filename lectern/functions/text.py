@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -45,6 +46,10 @@ def stripped_pieces(c: Column | str, pattern: str) -> Column:
 
 
 def contains_any(c: Column, needles: Iterable[str]) -> Column:
+    needles = list(needles)
+    if len(needles) > 8:
+        # one pattern: a long chain of tests would outgrow the limit for generated code
+        return F.rlike(c, F.lit("|".join(re.escape(n) for n in needles)))
     found = F.lit(False)
     for needle in needles:
         found = found | F.contains(c, F.lit(needle))
@@ -60,9 +65,13 @@ def count_occurrences(text: Column, needle: Column) -> Column:
 def title_case(c: Column | str) -> Column:
     """Upper-case the first letter of every run of letters, lower-case all others."""
     runs = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))), ""
-    )
+
+    def capitalised(run: Column) -> Column:
+        # a letter whose upper-case form has two letters keeps the second one small
+        first = F.upper(F.left(run, F.lit(1)))
+        return F.concat(F.left(first, F.lit(1)), F.lower(F.substr(first, F.lit(2))), F.substr(run, F.lit(2)))
+
+    return F.array_join(F.transform(runs, capitalised), "")
 
 
 def entity_name(c: Column | str) -> Column:

@@ -32,11 +32,12 @@ def cosine_distance(vector: Column | str, query: Sequence[float]) -> Column:
             raise ValueError(f"vectors of {len(q_unit)} components expected")
         m = flat.reshape(len(filled), len(q_unit))
         norms = np.sqrt(np.einsum("ij,ij->i", m, m))
-        dots = m @ q_unit
+        dots = np.einsum("ij,j->i", m, q_unit)
         cos = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
         out = np.full(len(batch), np.nan)
         present = batch.is_valid().to_numpy(zero_copy_only=False)
-        out[present] = 1.0 - cos
+        # equal vectors tie, whatever batch they came in
+        out[present] = np.round(1.0 - cos, 12) + 0.0
         return pa.array(out, mask=~present)
 
     return distance(F.col(vector) if isinstance(vector, str) else vector)

@@ -58,7 +58,7 @@ def d_wine_type(x: str) -> str:
 
 
 def d_title(x: str) -> str:
-    return rf"array_to_string(list_transform(regexp_extract_all(lower({x}), '\p{{L}}+|[^\p{{L}}]+'), lambda tr: upper(tr[1]) || tr[2:]), '')"
+    return rf"array_to_string(list_transform(regexp_extract_all(lower({x}), '\p{{L}}+|[^\p{{L}}]+'), lambda tr: CASE WHEN tr[1] = 'ß' THEN 'Ss' ELSE upper(tr[1]) END || tr[2:]), '')"
 
 
 def d_clean_variety(x: str) -> str:
