@@ -19,6 +19,7 @@ from lectern import fixed_values as V
 from lectern.config import DEFAULT, EngineConfig
 from lectern.functions import names, packing
 from lectern.functions.text import contains_any, entity_name
+from lectern.operators.lineage import cut_lineage
 from lectern.operators.skew import SALTS, first_per_key, next_event, pairs_sharing
 
 ATTRS = "map<string,string>"
@@ -273,8 +274,8 @@ def soil_in_climate(edges: DataFrame, salts: int = SALTS) -> DataFrame:
     # every soil meets every climate of its zone: that product is the result itself.  Each side
     # is dealt over a grid so that a zone with very many of them is worked on by many tasks.
     grid = 4
-    left = soils.withColumn("i", F.pmod(F.xxhash64("soil"), F.lit(grid))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).cast("long"))
-    right = climates.withColumn("j", F.pmod(F.xxhash64("climate"), F.lit(grid))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).cast("long"))
+    left = soils.withColumn("i", F.pmod(F.xxhash64("soil"), F.lit(grid))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
+    right = climates.withColumn("j", F.pmod(F.xxhash64("climate"), F.lit(grid))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
     met = left.join(right, ["zone", "i", "j"]).withColumn("at", F.greatest("soil_ord", "climate_ord"))
     starts = soils.select("zone", F.col("soil_ord").alias("at")).unionByName(climates.select("zone", F.col("climate_ord").alias("at")))
     when = next_event(starts, calls, "zone", "at", salts)
@@ -329,7 +330,7 @@ def infer_shared(edges: DataFrame) -> DataFrame:
     """All three shared-entity inferences; each sees the edges made by the ones before it."""
     out = edges
     for rule in (shares_variety, zone_in_dop, province_contains_dop):
-        out = out.unionByName(rule(out))
+        out = out.unionByName(cut_lineage(rule(out)))
     return out
 
 
@@ -339,7 +340,8 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = DEFAULT.graph_
     """Nodes (name, hop) within ``hops`` undirected steps of ``seeds`` (name).
 
     Each hop is a join of the frontier with the two directions of the edges.  Targets are made
-    distinct before the shuffle, so a hub sends each neighbour once per task.
+    distinct before the shuffle, so a hub sends each neighbour once per task; the new nodes of a
+    hop are written out, so that the next hop does not compute them again.
     """
     links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -347,7 +349,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = DEFAULT.graph_
     frontier = visited.select("name")
     for hop in range(1, hops + 1):
         reached = links.join(frontier, F.col("a") == F.col("name"), "left_semi").select(F.col("b").alias("name")).distinct()
-        fresh = reached.join(visited.select("name"), "name", "left_anti")
+        fresh = cut_lineage(reached.join(visited.select("name"), "name", "left_anti"))
         visited = visited.unionByName(fresh.withColumn("hop", F.lit(hop)))
         frontier = fresh
     return visited

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern import fixed_values as V
 from lectern.functions import replies
 from lectern.operators import graph, tables
+from lectern.operators.lineage import cut_lineage
 from lectern.plans.registered import derived as D
 from lectern.plans.registered.registry import register, table
 from lectern.plans.registered.tables import ALL_TABLES, d_display, d_title
@@ -125,8 +126,12 @@ raw AS (
 
 @register("triple_edges", f"WITH {_TRIPLES} SELECT subject AS src, object AS dst, predicate, source, count(*) AS n FROM triples GROUP BY ALL")
 def triple_edges(spark, sf_dir):
-    nodes, edges, _ = imported(spark, sf_dir)
-    _, edges = graph.add_triples(nodes.limit(0), edges.limit(0), reply_triples(spark, sf_dir))
+    triples = reply_triples(spark, sf_dir)
+    no_nodes = triples.limit(0).select(
+        F.col("subject").alias("name"), F.col("subject_type").alias("type"), "source", "attrs", "ord"
+    )
+    no_edges = graph.edges_of(triples.limit(0), F.col("subject"), F.col("object"), "NONE", F.col("ord"))
+    _, edges = graph.add_triples(no_nodes, no_edges, triples)
     return edges.groupBy("src", "dst", "predicate", "source").agg(F.count("*").alias("n"))
 
 
@@ -172,25 +177,25 @@ WITH members AS (
   SELECT p_brand AS g, p_name AS v, min(struct_pack(s := CASE WHEN p_size <= 25 THEN 0 ELSE 20 END, k := p_partkey)) AS seen,
          min(struct_pack(s := 20, k := p_partkey)) FILTER (p_size > 25) AS told FROM part GROUP BY ALL
 ), pairs AS (
-  SELECT a.g, a.v AS a, b.v AS b, least(CASE WHEN a.told >= greatest(a.seen, b.seen) THEN a.told END, CASE WHEN b.told >= greatest(a.seen, b.seen) THEN b.told END) AS at
+  SELECT a.g, a.v AS a, b.v AS b, least(CASE WHEN a.told >= greatest(a.seen, b.seen) THEN a.told END, CASE WHEN b.told >= greatest(a.seen, b.seen) THEN b.told END) AS t0
   FROM members a JOIN members b ON a.g = b.g AND a.v <> b.v
-), linked AS (SELECT a, b, min(struct_pack(at := at, g := g)) AS f FROM pairs WHERE at IS NOT NULL GROUP BY ALL),
+), linked AS (SELECT a, b, min(struct_pack(t0 := t0, g := g)) AS f FROM pairs WHERE t0 IS NOT NULL GROUP BY ALL),
 known AS (SELECT p_name AS a, 'red ' || split_part(p_name, ' ', 2) AS b, min(struct_pack(s := 20, k := p_partkey)) AS first FROM part WHERE p_size = 7 GROUP BY ALL)
-SELECT a AS src, b AS dst, f.g AS via, f.at.k AS at FROM linked LEFT JOIN known USING (a, b) WHERE first IS NULL OR first >= f.at
+SELECT a AS src, b AS dst, f.g AS via, f.t0.k AS t0 FROM linked LEFT JOIN known USING (a, b) WHERE first IS NULL OR first >= f.t0
 """)
 def coauthorized_varieties(spark, sf_dir):
     found = graph.coauthorized(brand_edges(spark, sf_dir))
-    return found.select("src", "dst", "via", F.col("ord.a").alias("at"))
+    return found.select("src", "dst", "via", F.col("ord.a").alias("t0"))
 
 
 @register("soil_climate_links", """
-WITH soils AS (SELECT p_brand AS z, p_type || ' ' || (p_partkey % 40) AS s, min(p_partkey) AS at FROM part WHERE p_size % 3 = 0 GROUP BY ALL),
-climates AS (SELECT p_brand AS z, 'clima ' || (p_partkey % 50) AS c, min(p_partkey) AS at FROM part WHERE p_size % 3 = 1 GROUP BY ALL),
-calls AS (SELECT p_brand AS z, p_partkey AS at FROM part WHERE p_size % 15 = 2),
-met AS (SELECT s.z, s.s, c.c, min(k.at) AS at FROM soils s JOIN climates c ON s.z = c.z JOIN calls k ON k.z = s.z AND k.at > greatest(s.at, c.at) GROUP BY ALL),
-found AS (SELECT s, c, min(struct_pack(at := at, z := z)) AS f FROM met GROUP BY ALL),
+WITH soils AS (SELECT p_brand AS z, p_type || ' ' || (p_partkey % 40) AS s, min(p_partkey) AS t0 FROM part WHERE p_size % 3 = 0 GROUP BY ALL),
+climates AS (SELECT p_brand AS z, 'clima ' || (p_partkey % 50) AS c, min(p_partkey) AS t0 FROM part WHERE p_size % 3 = 1 GROUP BY ALL),
+calls AS (SELECT p_brand AS z, p_partkey AS t0 FROM part WHERE p_size % 15 = 2),
+met AS (SELECT s.z, s.s, c.c, min(k.t0) AS t0 FROM soils s JOIN climates c ON s.z = c.z JOIN calls k ON k.z = s.z AND k.t0 > greatest(s.t0, c.t0) GROUP BY ALL),
+found AS (SELECT s, c, min(struct_pack(t0 := t0, z := z)) AS f FROM met GROUP BY ALL),
 known AS (SELECT p_type || ' ' || (p_partkey % 40) AS s, 'clima ' || (p_partkey % 50) AS c, min(p_partkey) AS first FROM part WHERE p_size = 3 GROUP BY ALL)
-SELECT s AS src, c AS dst, f.z AS via, f.at AS at FROM found LEFT JOIN known USING (s, c) WHERE first IS NULL OR first >= f.at
+SELECT s AS src, c AS dst, f.z AS via, f.t0 AS t0 FROM found LEFT JOIN known USING (s, c) WHERE first IS NULL OR first >= f.t0
 """)
 def soil_climate_links(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
@@ -204,7 +209,7 @@ def soil_climate_links(spark, sf_dir):
         .unionByName(graph.edges_of(parts.filter("p_size % 15 = 2"), town, brand, "MUNICIPALITY_IN_ZONE", at))
         .unionByName(graph.edges_of(parts.filter("p_size = 3"), soil, climate, "SOIL_IN_CLIMATE", at))
     )
-    return graph.soil_in_climate(edges).select("src", "dst", "via", F.col("ord.a").alias("at"))
+    return graph.soil_in_climate(edges).select("src", "dst", "via", F.col("ord.a").alias("t0"))
 
 
 # --- a graph of the order tables: suppliers as designations, parts as varieties ----------------------------
@@ -244,7 +249,8 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         .unionByName(node(region, r_name, "Zone", 3))
         .unionByName(node(customer.select("c_mktsegment").distinct(), seg, "Province", 4))
     )
-    return nodes, edges
+    # the queries walk over the edges several times: written once, as the graph store does
+    return nodes, cut_lineage(edges)
 
 
 _TRADE = """
@@ -350,7 +356,7 @@ UNION ALL SELECT 31, '- ... i ' || (count(*) - 30) || ' relacions més' FROM kep
 def graph_text(spark, sf_dir):
     nodes, edges = trade_graph(spark, sf_dir)
     seeds = _seeds(nodes)
-    kept = graph.induced_edges(edges, graph.neighbourhood(edges, seeds, 2))
+    kept = cut_lineage(graph.induced_edges(edges, graph.neighbourhood(edges, seeds, 2)))
     return graph.render_lines(kept, nodes, seeds, 30).select(F.col("line_no").cast("long").alias("line_no"), "line")
 
 
