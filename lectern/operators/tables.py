@@ -15,6 +15,7 @@ from lectern import fixed_values as V
 from lectern.config import DEFAULT, EngineConfig
 from lectern.functions import names, quantities
 from lectern.functions.text import col, contains_any, let, strip
+from lectern.operators.lineage import cut_lineage
 from lectern.operators.skew import first_per_key
 
 # position of a row in the corpus: decides which of several rows with one key is kept
@@ -341,13 +342,14 @@ def load_unique(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def build_tables(docs: DataFrame, cfg: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
-    parsed = parsed_tables(docs, cfg)
-    return {kind: load_unique(extract(parsed, cfg), kind) for kind, extract in ROW_EXTRACTORS.items()}
+    """The four relations; documents are read and parsed once, the parsed tables are written out."""
+    parsed = cut_lineage(parsed_tables(docs, cfg).filter("kind is not null"))
+    return {kind: cut_lineage(load_unique(extract(parsed, cfg), kind)) for kind, extract in ROW_EXTRACTORS.items()}
 
 
 def load_counts(docs: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Rows offered to each table and rows kept after the unique keys."""
-    parsed = parsed_tables(docs, cfg)
+    parsed = cut_lineage(parsed_tables(docs, cfg).filter("kind is not null"))
     counts = None
     for kind, extract in ROW_EXTRACTORS.items():
         # one row per key first: (offered per key), then sums; both combine before the shuffle

@@ -20,7 +20,7 @@ _AT = "struct_pack(p := path, t := table_ord, r := row_ord, i := item_ord)"
 
 
 def _first(cols: str, source: str, where: str = "true") -> str:
-    return f"SELECT {cols}, min({_AT}) AS at FROM {source} WHERE {where} GROUP BY {cols}"
+    return f"SELECT {cols}, min({_AT}) AS pos0 FROM {source} WHERE {where} GROUP BY {cols}"
 
 
 _IMPORT = f"""
@@ -40,18 +40,18 @@ edges AS (
   UNION ALL SELECT dop, 'yield_' || dop || '_' || variety, 'REGULATES_YIELD', NULL, NULL, NULL, wine_type, NULL, NULL, kg_ha, hl_ha FROM y
   UNION ALL SELECT DISTINCT dop, 'wine_' || wine_type, 'PRODUCES_WINE_TYPE', NULL::DOUBLE, NULL, NULL, wine_type, NULL, NULL, NULL::DOUBLE, NULL::DOUBLE FROM w
 ), writes AS (
-  SELECT dop AS name, gi_type AS type, 0 AS s, at, NULL AS color, NULL AS role, NULL AS wine_type FROM a
-  UNION ALL SELECT parameter || ' (' || wine_type || ')', 'Parameter', 0, at, NULL, NULL, NULL FROM a
-  UNION ALL SELECT dop, gi_type, 1, at, NULL, NULL, NULL FROM v UNION ALL SELECT variety, 'Variety', 1, at, color, role, NULL FROM v
-  UNION ALL SELECT 'color_' || color, 'Color', 1, at, NULL, NULL, NULL FROM v WHERE color <> 'unknown'
-  UNION ALL SELECT dop, gi_type, 2, at, NULL, NULL, NULL FROM m UNION ALL SELECT municipality, 'Municipality', 2, at, NULL, NULL, NULL FROM m
-  UNION ALL SELECT zone, 'Zone', 2, at, NULL, NULL, NULL FROM m WHERE zone IS NOT NULL UNION ALL SELECT province, 'Province', 2, at, NULL, NULL, NULL FROM m WHERE province IS NOT NULL
-  UNION ALL SELECT dop, gi_type, 3, at, NULL, NULL, NULL FROM y UNION ALL SELECT 'yield_' || dop || '_' || variety, 'YieldNorm', 3, at, NULL, NULL, wine_type FROM y
-  UNION ALL SELECT dop, gi_type, 4, at, NULL, NULL, NULL FROM w UNION ALL SELECT 'wine_' || wine_type, 'WineType', 4, at, NULL, NULL, NULL FROM w
+  SELECT dop AS name, gi_type AS type, 0 AS s, pos0, NULL AS color, NULL AS role, NULL AS wine_type FROM a
+  UNION ALL SELECT parameter || ' (' || wine_type || ')', 'Parameter', 0, pos0, NULL, NULL, NULL FROM a
+  UNION ALL SELECT dop, gi_type, 1, pos0, NULL, NULL, NULL FROM v UNION ALL SELECT variety, 'Variety', 1, pos0, color, role, NULL FROM v
+  UNION ALL SELECT 'color_' || color, 'Color', 1, pos0, NULL, NULL, NULL FROM v WHERE color <> 'unknown'
+  UNION ALL SELECT dop, gi_type, 2, pos0, NULL, NULL, NULL FROM m UNION ALL SELECT municipality, 'Municipality', 2, pos0, NULL, NULL, NULL FROM m
+  UNION ALL SELECT zone, 'Zone', 2, pos0, NULL, NULL, NULL FROM m WHERE zone IS NOT NULL UNION ALL SELECT province, 'Province', 2, pos0, NULL, NULL, NULL FROM m WHERE province IS NOT NULL
+  UNION ALL SELECT dop, gi_type, 3, pos0, NULL, NULL, NULL FROM y UNION ALL SELECT 'yield_' || dop || '_' || variety, 'YieldNorm', 3, pos0, NULL, NULL, wine_type FROM y
+  UNION ALL SELECT dop, gi_type, 4, pos0, NULL, NULL, NULL FROM w UNION ALL SELECT 'wine_' || wine_type, 'WineType', 4, pos0, NULL, NULL, NULL FROM w
 ), nodes AS (
-  SELECT name, arg_max(type, struct_pack(s := s, a := at)) AS type, arg_max(color, struct_pack(s := s, a := at, c := color)) FILTER (color IS NOT NULL) AS color,
-         arg_max(role, struct_pack(s := s, a := at, c := role)) FILTER (role IS NOT NULL) AS role,
-         arg_max(wine_type, struct_pack(s := s, a := at, c := wine_type)) FILTER (wine_type IS NOT NULL) AS wine_type
+  SELECT name, arg_max(type, struct_pack(s := s, a := pos0)) AS type, arg_max(color, struct_pack(s := s, a := pos0, c := color)) FILTER (color IS NOT NULL) AS color,
+         arg_max(role, struct_pack(s := s, a := pos0, c := role)) FILTER (role IS NOT NULL) AS role,
+         arg_max(wine_type, struct_pack(s := s, a := pos0, c := wine_type)) FILTER (wine_type IS NOT NULL) AS wine_type
   FROM writes GROUP BY name
 )"""
 
