@@ -136,7 +136,9 @@ def parsed_tables(docs: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
             F.posexplode(table_blocks("markdown")).alias("table_ord", "block"),
         )
     )
-    parsed = blocks.withColumn("t", parse_table("block")).drop("block").filter("t is not null")
+    # generated, not projected: every block is parsed once, whatever is asked of the result
+    once = F.filter(F.array(parse_table("block")), lambda t: t.isNotNull())
+    parsed = blocks.withColumn("t", F.explode(once)).drop("block")
     return parsed.select(
         "country_ord", "path", "source_file", "dop", "gi_type", "table_ord",
         F.col("t.headers").alias("headers"), F.col("t.columns").alias("columns"), F.col("t.rows").alias("rows"),
@@ -220,7 +222,7 @@ def analytics_rows(tables: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     )
     return (
         _exploded(rows, items)
-        .withColumn("q", quantities.quantity(F.col("x.raw"), cfg.strict_units))
+        .withColumn("q", F.explode(F.array(quantities.quantity(F.col("x.raw"), cfg.strict_units))))
         .select(
             *POSITION, "dop", "gi_type",
             F.col("x.wine_type").alias("wine_type"), F.col("x.parameter").alias("parameter"),

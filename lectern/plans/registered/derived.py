@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.plans.registered.registry import table
+from lectern.sources.layout import spread
 
 NL = "chr(10)"
 
@@ -17,7 +18,7 @@ NL = "chr(10)"
 
 def corpus(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
     """country, folder, source_file, language, markdown of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     folder = (
         F.when(F.col("lang") == "es", F.concat(F.lit("DOP_"), "source", F.lit("__alt_"), "lang"))
         .when(F.col("lang") == "fr", F.concat(F.lit("DOP_"), "source"))
@@ -101,7 +102,7 @@ TABLE_FOLDER = """CASE WHEN p_size % 5 = 0 THEN concat('IGP_', replace(p_brand,
 
 def table_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """country, folder, source_file, markdown: one document with five tables per part."""
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select(
         F.lit("Espanya").alias("country"),
         F.expr(TABLE_FOLDER).alias("folder"),
         F.concat(F.lit("pliego_"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("source_file"),

@@ -12,6 +12,7 @@ from lectern.operators.lineage import cut_lineage
 from lectern.plans.registered import derived as D
 from lectern.plans.registered.registry import register, table
 from lectern.plans.registered.tables import ALL_TABLES, d_display, d_title
+from lectern.sources.layout import spread
 from lectern.plans.registered.texts import reply_column, reply_sql
 
 # --- import of the relational tables --------------------------------------------------------------
@@ -104,7 +105,7 @@ def directory_upsert(spark, sf_dir):
 # --- triples -------------------------------------------------------------------------------------------
 
 def reply_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = table(spark, sf_dir, "events").select(
+    parsed = spread(table(spark, sf_dir, "events")).select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("path"), F.lit(0).alias("section_ord"),
         F.col("event_type").alias("label"), replies.parse_triples(reply_column()).alias("triples"),
     )

@@ -8,6 +8,7 @@ from lectern.functions import names, packing, text
 from lectern.operators import catalog, passages
 from lectern.plans.registered import derived as D
 from lectern.plans.registered.registry import register, table
+from lectern.sources.layout import spread
 
 RAW_EXTRACT = """concat('BOLETÍN OFICIAL DEL ESTADO Núm. ', doc_id, '{nl}', '**==> picture [', n_chars, ' x 4] intentionally omitted <==**', '{nl}',
     replace(replace(text, '. ', concat('.', '{nl}', '- ', doc_id, ' -', '{nl}{nl}{nl}{nl}')), ', ', concat(',', '{nl}', lang, '{nl}', lang, '{nl}')),
@@ -32,7 +33,7 @@ c AS (
 SELECT doc_id, len(t) AS n_chars, md5(t) AS digest FROM d
 """)
 def clean_markdown(spark, sf_dir):
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.expr(RAW_EXTRACT.replace("{nl}", "\\n")).alias("raw"))
+    raw = spread(table(spark, sf_dir, "documents")).select("doc_id", F.expr(RAW_EXTRACT.replace("{nl}", "\\n")).alias("raw"))
     cleaned = raw.select("doc_id", text.clean_markdown("raw").alias("t"))
     return cleaned.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
@@ -48,7 +49,7 @@ SELECT doc_id, count(*) AS n_lines,
 FROM marked GROUP BY doc_id
 """)
 def repeated_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", text.drop_repeated_lines("text").alias("kept"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", text.drop_repeated_lines("text").alias("kept"))
     return docs.select(
         "doc_id",
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
@@ -158,7 +159,7 @@ e AS (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM f)
 SELECT doc_id, (i - 1)::BIGINT AS passage_no, 'General' AS section, len(cs[i]) AS n_chars, md5(cs[i]) AS digest FROM e
 """)
 def paragraph_passages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"))
     found = docs.select("doc_id", F.posexplode(packing.paragraph_passages("t")).alias("n", "p"))
     return found.select(
         "doc_id", F.col("n").cast("long").alias("passage_no"), F.col("p.section").alias("section"),
@@ -173,7 +174,7 @@ SELECT doc_id, (i - 1)::BIGINT AS passage_no, len(cs[i]) AS n_chars, md5(cs[i])
 """)
 def line_packing(spark, sf_dir):
     packed = packing.pack(text.stripped_pieces("text", "\n"), "\n", 3200)
-    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(packed).alias("n", "p"))
+    found = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(packed).alias("n", "p"))
     return found.select(
         "doc_id", F.col("n").cast("long").alias("passage_no"),
         F.length("p").cast("long").alias("n_chars"), F.md5("p").alias("digest"),
@@ -197,7 +198,7 @@ def hierarchical_split(spark, sf_dir):
         F.struct(F.lit("sentences").alias("shape"), flat.alias("t")),
         F.struct(F.lit("words").alias("shape"), F.translate(flat, ".!?", "").alias("t")),
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(shapes).alias("x")).select("doc_id", "x.*")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(shapes).alias("x")).select("doc_id", "x.*")
     found = docs.select("doc_id", "shape", F.posexplode(packing.split_text(F.col("t"))).alias("n", "p"))
     return found.select(
         "doc_id", "shape", F.col("n").cast("long").alias("passage_no"),
@@ -227,7 +228,7 @@ def long_section_split(spark, sf_dir):
         F.split("text", "\n"),
         lambda s, i: F.when((i + 1) % 6 == 0, F.repeat(F.concat(s, F.lit(" ")), F.lit(12))).otherwise(s),
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("t"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(lines, "\n\n").alias("t"))
     found = docs.select("doc_id", F.posexplode(packing.split_long_section(F.col("t"))).alias("n", "p"))
     return found.select(
         "doc_id", F.col("n").cast("long").alias("passage_no"),

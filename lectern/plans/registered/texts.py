@@ -10,6 +10,7 @@ from lectern.operators import catalog, evaluation, matching
 from lectern.plans import readonly_sql
 from lectern.plans.registered import derived as D
 from lectern.plans.registered.registry import register, table
+from lectern.sources.layout import spread
 from lectern.plans.registered.tables import d_any, d_display, d_title
 
 
@@ -122,7 +123,7 @@ tagged AS (SELECT doc_id, CASE WHEN b.hits > 0 THEN b.lang ELSE 'unknown' END AS
 
 @register("language_tags", f"WITH {_LANG} SELECT doc_id, language FROM tagged")
 def language_tags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", language.detect_language("text").alias("language"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", language.detect_language("text").alias("language"))
 
 
 @register("language_counts", f"WITH {_LANG} SELECT language, count(*) AS n FROM tagged GROUP BY language")
@@ -234,7 +235,7 @@ forms AS (
 SELECT DISTINCT doc_id, gi_name FROM texts JOIN forms ON len(form) >= 4 AND contains(q, form)
 """)
 def lexicon_mentions(spark, sf_dir):
-    return matching.lexicon_mentions(table(spark, sf_dir, "documents"), "doc_id", "text", _benchmark_names(spark, sf_dir))
+    return matching.lexicon_mentions(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", _benchmark_names(spark, sf_dir))
 
 
 @register("fuzzy_nodes", f"""
@@ -396,7 +397,7 @@ t AS (
 SELECT event_id, i::BIGINT AS triple_no, subject, subject_type, predicate, object, object_type, attr FROM t
 """)
 def reply_triples(spark, sf_dir):
-    parsed = table(spark, sf_dir, "events").select("event_id", F.posexplode(replies.parse_triples(reply_column())).alias("n", "t"))
+    parsed = spread(table(spark, sf_dir, "events")).select("event_id", F.posexplode(replies.parse_triples(reply_column())).alias("n", "t"))
     attr = F.coalesce(F.try_element_at("t.attrs", F.lit("k")), F.try_element_at("t.attrs", F.lit("a")))
     return parsed.select(
         "event_id", F.col("n").cast("long").alias("triple_no"), "t.subject", "t.subject_type", "t.predicate", "t.object", "t.object_type", attr.alias("attr")
