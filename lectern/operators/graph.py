@@ -20,7 +20,7 @@ from lectern.config import DEFAULT, EngineConfig
 from lectern.functions import names, packing
 from lectern.functions.text import contains_any, entity_name
 from lectern.operators.lineage import cut_lineage
-from lectern.operators.skew import SALTS, first_per_key, next_event, pairs_sharing
+from lectern.operators.skew import SALTS, next_event, ordered_ids, pairs_sharing
 
 ATTRS = "map<string,string>"
 STAGE_TABLES, STAGE_DIRECTORY, STAGE_TRIPLES, STAGE_SHARED = 0, 10, 20, 90
@@ -295,14 +295,20 @@ def _not_yet(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 def shares_variety(edges: DataFrame, block: int = 256) -> DataFrame:
     """One edge a -> b (a < b) for designations with a variety in common and no edge so far."""
-    listed = edges.filter("predicate = 'AUTHORIZES_VARIETY'")
-    members = listed.select("dst", "src").distinct()
-    pairs = pairs_sharing(members, "dst", "src", block=block)
-    # the edge names the variety that came into the graph first; one row per variety
-    came = listed.groupBy("dst").agg(F.min("ord").alias("came"))
-    first = pairs.join(came, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst_")).agg(
-        F.min(F.struct("came", "dst")).alias("v")
-    ).select("src", F.col("dst_").alias("dst"), F.col("v.dst").alias("variety"))
+    # Pairs are the bulk of the work, so they are made of numbers.  The numbers grow with the
+    # order of names and of first appearances, which keeps "a < b" and "came first" intact.
+    listed = edges.filter("predicate = 'AUTHORIZES_VARIETY'").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
+    varieties = ordered_ids(listed.groupBy("dst").agg(F.min("ord").alias("came")), ("came", "dst"), "v").select("dst", "v")
+    designations = ordered_ids(listed.select("src").distinct(), ("src",), "d")
+    members = cut_lineage(listed.select("src", "dst").join(varieties, "dst").join(designations, "src").select("v", "d"))
+    # the edge names the variety that came into the graph first
+    first = pairs_sharing(members, "v", "d", block=block).groupBy("a", "b").agg(F.min("v").alias("v"))
+    first = (
+        first.join(varieties.withColumnRenamed("dst", "variety"), "v")
+        .join(designations.withColumnsRenamed({"d": "a"}), "a")
+        .join(designations.withColumnsRenamed({"d": "b", "src": "dst"}), "b")
+        .select("src", "dst", "variety")
+    )
     kept = _not_yet(first, edges)
     return edges_of(kept, F.col("src"), F.col("dst"), "SHARES_VARIETY_WITH",
                     order_key(STAGE_SHARED, F.col("src"), F.lit(0), F.lit(0), F.lit(0)),

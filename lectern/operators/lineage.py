@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lectern-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; a temporary one only without it."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder of the cluster and go on from there.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where there is
-    none (a local run) a temporary folder is used.  The copy is on shared storage, so a lost
-    executor costs nothing that was done before.
+    The copy outlives any executor.  Being columnar it is read by column, filters are pushed
+    into it, and its size is known, so later joins are planned with real numbers.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.lineage import cut_lineage
+
 SALTS = 16
 
 
@@ -26,6 +28,15 @@ def last_rows_per_key(df: DataFrame, keys: Sequence[str], order: str, n: int) ->
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def ordered_ids(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Number the rows so that the numbers follow ``order``; they are not consecutive.
+
+    A distributed sort puts the partitions in order, and the numbers of a later partition are
+    higher.  The result is written out, which fixes the numbers once and for all.
+    """
+    return cut_lineage(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+
+
 def pairs_sharing(
     members: DataFrame, group: str, member: str, carry: Sequence[str] = (), block: int = 256
 ) -> DataFrame:
