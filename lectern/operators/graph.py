@@ -219,9 +219,14 @@ def _first_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min("ord").alias("first_ord"))
 
 
-def _without_earlier(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Drop candidates (src, dst, ord, ...) whose direction had an edge before ``ord``."""
-    known = candidates.join(_first_edges(edges), ["src", "dst"], "left")
+def _without_earlier(candidates: DataFrame, edges: DataFrame, predicate: str) -> DataFrame:
+    """Drop candidates (src, dst, ord, ...) whose direction had an edge before ``ord``.
+
+    An edge that an earlier build inferred also counts as there, whatever its position.
+    """
+    inferred = edges.filter((F.col("predicate") == predicate) & (F.col("source") == "cross_inference"))
+    fresh = candidates.join(inferred.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    known = fresh.join(_first_edges(edges), ["src", "dst"], "left")
     return known.filter(F.col("first_ord").isNull() | (F.col("first_ord") >= F.col("ord"))).drop("first_ord")
 
 
@@ -250,7 +255,7 @@ def coauthorized(edges: DataFrame) -> DataFrame:
                           F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("w"),
         F.col("f.ord").alias("ord"), F.col("f.src").alias("via"),
     ).select("w.src", "w.dst", "ord", "via")
-    kept = _without_earlier(ways, edges)
+    kept = _without_earlier(ways, edges, "COAUTHORIZED_WITH")
     return edges_of(kept, F.col("src"), F.col("dst"), "COAUTHORIZED_WITH", F.col("ord").withField("c", F.lit(2).cast("long")),
                     source=F.lit("cross_inference"), via=F.col("via"))
 
@@ -282,7 +287,7 @@ def soil_in_climate(edges: DataFrame, salts: int = SALTS) -> DataFrame:
     found = met.join(when, ["zone", "at"]).groupBy(F.col("soil").alias("src"), F.col("climate").alias("dst")).agg(
         F.min(F.struct(F.col("next_at").alias("ord"), F.col("zone"))).alias("f")
     ).select("src", "dst", "f.ord", F.col("f.zone").alias("via"))
-    kept = _without_earlier(found, edges)
+    kept = _without_earlier(found, edges, "SOIL_IN_CLIMATE")
     return edges_of(kept, F.col("src"), F.col("dst"), "SOIL_IN_CLIMATE", F.col("ord").withField("c", F.lit(2).cast("long")),
                     source=F.lit("cross_inference"), via=F.col("via"))
 

@@ -50,7 +50,7 @@ def build_graph(
     else:
         nodes, edges, _ = graph.from_tables({kind: store.table(kind) for kind in TABLE_DDL})
         edges = cut_lineage(edges)
-    nodes = graph.upsert_directory(nodes, graph.folder_nodes(docs))
+    nodes = graph.upsert_directory(nodes, graph.folder_nodes(store.folders()))
     if chat is not None:
         read = docs if designation is None else docs.filter(F.lower(names.gi_name("folder")) == designation.lower())
         nodes, edges = with_triples(nodes, edges, cut_lineage(model_triples(read, chat, cfg)))

@@ -105,6 +105,7 @@ def extract(
         store.replace_partitions(spark.read.parquet(store.path("staging/merged")), "documents")
     else:
         store.append(good, "documents")
+    store.remember_folders(good)
     by_error = {r.bad: r.n for r in staged.groupBy(F.col("error").isNotNull().alias("bad")).agg(F.count("*").alias("n")).collect()}
     new, failed = by_error.get(False, 0), by_error.get(True, 0)
     return {"extracted": new, "skipped": n_all - new - failed, "errors": failed}
@@ -116,7 +117,8 @@ def index_documents(
     """Replace the passages and parents of the countries in ``docs``; number of stored passages.
 
     Parents are written from the same passages as the vectors, and partitions are replaced as a
-    whole, so the two tables always fit together.
+    whole, so the two tables always fit together.  Both writes are map-only passes over the
+    documents; splitting again is cheaper than storing all texts a third time.
     """
     split = passages.with_passages(passages.with_document_metadata(spread(docs)), cfg)
     store.replace_partitions(passages.parents_table(split), "parents")

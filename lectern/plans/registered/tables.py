@@ -14,6 +14,8 @@ from lectern.plans.registered.registry import register, table
 # --- SQL building blocks ------------------------------------------------------------------------
 
 def d_any(x: str, words) -> str:
+    if len(words) > 8:
+        return f"regexp_matches({x}, '{'|'.join(words)}')"
     return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
 
 

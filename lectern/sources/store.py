@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.config import DEFAULT
-from lectern.fixed_values import GRAPH_SCHEMA_VERSION, METADATA_FIELDS
+from lectern.fixed_values import GRAPH_SCHEMA_VERSION, METADATA_FIELDS, SUPPORTED_COUNTRIES
 
 DOCUMENTS_DDL = (
     "folder string, source_file string, gi_type string, gi_name string, subcategory string, language string, "
@@ -72,6 +72,14 @@ class Store:
     def parents(self) -> DataFrame:
         return self.read("parents", PARENTS_DDL)
 
+    def folders(self) -> DataFrame:
+        """Distinct (country, folder) of the documents, kept as a small table of its own."""
+        return self.read("folders", "folder string, country string")
+
+    def remember_folders(self, docs: DataFrame) -> None:
+        new = docs.select("country", "folder").distinct().join(self.folders(), ["country", "folder"], "left_anti")
+        self.append(new.coalesce(1), "folders")
+
     def table(self, kind: str) -> DataFrame:
         return self.read(f"tables/{kind}", f"{TABLE_DDL[kind]}, {POSITION_DDL}")
 
@@ -114,5 +122,10 @@ class Store:
         return n
 
 
+    def reset(self) -> int:
+        """Remove the passages and parents of all collections."""
+        return sum(self.delete_country(country) for country in SUPPORTED_COUNTRIES)
+
+
 def vectors_have_dimension(chunks: DataFrame, dim: int = DEFAULT.embedding_dim) -> bool:
     return chunks.filter(F.size("embedding") != dim).limit(1).count() == 0

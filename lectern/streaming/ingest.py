@@ -48,6 +48,7 @@ def index_new_files(
         new_chunks = chunks.join(have_chunks, "chunk_id", "left_anti").withColumn("embedding", embedding("markdown", embedder, None, cfg))
         store.append(passages.parents_table(split).join(have_parents, "parent_id", "left_anti"), "parents")
         store.append(passages.storable(new_chunks), "chunks")
+        store.remember_folders(docs)
         store.append(docs.join(have_docs, indexing.DOCUMENT_KEY, "left_anti"), "documents")
 
     return (

@@ -205,7 +205,7 @@ def test_delete_country(spark, engine, root, tmp_path):
     e = Engine(Store(spark, str(tmp_path / "s")))
     e.build_index(root)
     n = e.store.chunks().count()
-    assert e.store.delete_country("Espanya") == n and e.store.chunks().count() == 0 and e.store.parents().count() == 0
+    assert e.store.reset() == n and e.store.chunks().count() == 0 and e.store.parents().count() == 0
 
 
 def test_extracted_documents(spark, tmp_path):
