@@ -38,7 +38,7 @@ def detect_language(text: Column | str, limit: int = 500) -> Column:
                 for i, (lang, ws) in enumerate(FREQUENT_WORDS.items())
             ]
         )
-        top = F.array_max(scores)
-        return F.when(top["hits"] > 0, top["lang"]).otherwise(F.lit("unknown"))
+        return let(F.array_max(scores), lambda top: F.when(top["hits"] > 0, top["lang"]))
 
-    return let(tokens, best)
+    # never NULL, which saves a test for NULL from tagging the text a second time
+    return F.coalesce(let(tokens, best), F.lit("unknown"))
