@@ -15,16 +15,35 @@ def _local_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; a temporary one only without it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_folder()
+    """The folder the session names in ``spark.checkpoint.dir``.
+
+    Without one, a session in a single process takes a temporary folder; a cluster has no folder
+    that all its machines see, so it must name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A folder of this application below the shared one, removed when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and go on from there.
+    """Write ``df`` as a table in the run's shared folder and go on from there.
 
     The copy outlives any executor.  Being columnar it is read by column, filters are pushed
     into it, and its size is known, so later joins are planned with real numbers.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
