@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import id_files, packing, quality
+from lectern.llm import html_text, id_files, language, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +37,13 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_rows(_table(spark, sf_dir, "documents"))
