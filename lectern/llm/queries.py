@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import html_text, id_files, language, packing, quality
+from lectern.llm import html_text, id_files, language, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_rows(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
