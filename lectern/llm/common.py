@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.lineage import cut_lineage, run_folder
 
-__all__ = ["cut_lineage", "run_folder", "fresh_folder", "residue", "WORD", "only", "batches_of", "file_path"]
+__all__ = ["cut_lineage", "run_folder", "fresh_folder", "table", "residue", "WORD", "only", "batches_of", "file_path"]
 
 #: A word of a text: everything but space and the controls from tab to carriage return.
 WORD = "[^ \t-\r]+"
@@ -35,6 +36,15 @@ def fresh_folder(df: DataFrame, kind: str) -> str:
     return f"{run_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; also lets Python workers on this machine find the package (a cluster ships it)."""
+    root, environment = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def file_path(name: str) -> str:
     """Where the installed vocabulary files lie; imported in the task, so each machine uses its own."""
     import public_tokenizers

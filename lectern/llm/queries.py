@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import html_text, id_files, language, packing, quality, similar_texts, toxicity
+from lectern.llm import html_text, id_files, language, neighbours, packing, quality, similar_texts, toxicity
+from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -23,7 +21,7 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 @_query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rows(_table(spark, sf_dir, "documents"))
+    return quality.quality_rows(table(spark, sf_dir, "documents"))
 
 
 SQL["op3_quality_rules"] = quality.quality_sql()
@@ -31,32 +29,37 @@ SQL["op3_quality_rules"] = quality.quality_sql()
 
 @_query
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return id_files.id_file_rows(_table(spark, sf_dir, "documents"))
+    return id_files.id_file_rows(table(spark, sf_dir, "documents"))
 
 
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 @_query
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
 @_query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.language_rows(_table(spark, sf_dir, "documents"))
+    return language.language_rows(table(spark, sf_dir, "documents"))
 
 
 @_query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @_query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_texts.similarity_classes(_table(spark, sf_dir, "documents"))
+    return similar_texts.similarity_classes(table(spark, sf_dir, "documents"))
 
 
 SQL["op2_ngram_jaccard_join"] = similar_texts.similarity_sql()
+
+
+@_query
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
