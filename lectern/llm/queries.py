@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import html_text, id_files, language, neighbours, packing, quality, similar_texts, toxicity
+from lectern.llm import html_text, id_files, language, neighbours, packing, pitman_yor, quality, similar_texts, toxicity
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ SQL["op2_ngram_jaccard_join"] = similar_texts.similarity_sql()
 @_query
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.model_rows(table(spark, sf_dir, "documents"))
