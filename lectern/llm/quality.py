@@ -84,11 +84,11 @@ def _repeated(words: str) -> dict[str, Column]:
     return {"_sorted": F.sort_array(windows), "_starts": starts, "n_repeat_words": covered.cast("long")}
 
 
-def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the measures of each row's ``text``."""
+def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",), column: str = "text") -> DataFrame:
+    """``keep`` and the measures of each row's text."""
     text, share = F.col("_text"), lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("_text"))
+    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(column, F.lit("")).alias("_text"))
     trimmed = F.btrim(text, F.lit(SPACES))
     df = df.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
@@ -114,14 +114,26 @@ def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ("doc_id",), column: str = "text") -> DataFrame:
     """The measures with ``base_failed``, ``kept`` and the names of the broken rules."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measures(docs, keep).select(
+    return measures(docs, keep, column).select(
         "*", base.alias("base_failed"), (~base & compile_rules(rules)).alias("kept"), failed_rules([*BASE_RULES, *rules]).alias("broken"),
     )
 
 
+def kept_rows(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) that pass all rules.
+
+    The optimiser would push the filter below the measures and write each of them out wherever
+    the verdict uses it; a row number in the same projection keeps the filter above.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]  # numbered meanwhile, so no name can clash
+    rows = judged(docs.toDF(*names), rules, names, names[docs.columns.index("text")])
+    numbered = rows.select(*names, "kept", F.monotonically_increasing_id().alias("row"))
+    return numbered.filter(F.col("kept") & (F.col("row") >= 0)).select(*names).toDF(*docs.columns)
+
+
 def quality_rows(docs: DataFrame) -> DataFrame:
     """The registered query: counts, verdicts and broken rules of every document."""
     return judged(only(docs, doc_id="doc_id", text="text")).select(

@@ -317,6 +317,22 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return only(docs, doc_id="doc_id", text="text").mapInArrow(score, f"doc_id {kind}, score double, evidence array<long>")
 
 
+def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """All rows and columns of ``docs`` with the score of their text; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # columns are numbered meanwhile, so no name can clash
+    at = docs.columns.index("text")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 1024):
+            scores = [shared.value.score(t)[0] for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+
+    kinds = [f.dataType.simpleString() for f in docs.schema]
+    scored = docs.toDF(*names).mapInArrow(score, ", ".join(f"{n} {k}" for n, k in [*zip(names, kinds), ("score", "double")]))
+    return scored.toDF(*docs.columns, name)
+
+
 def toxicity_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The registered query: learn from three folds of four, score every row."""
     fold = residue("doc_id", 4)
