@@ -6,13 +6,14 @@ import os
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.lineage import cut_lineage, run_folder
 
-__all__ = ["cut_lineage", "run_folder", "fresh_folder", "table", "residue", "WORD", "only", "batches_of", "file_path"]
+__all__ = ["cut_lineage", "run_folder", "fresh_folder", "table", "residue", "WORD", "only", "batches_of", "groups_in_order", "file_path"]
 
 #: A word of a text: everything but space and the controls from tab to carriage return.
 WORD = "[^ \t-\r]+"
@@ -57,3 +58,26 @@ def batches_of(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def groups_in_order(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal keys together; the batches are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

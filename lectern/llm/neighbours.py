@@ -6,7 +6,7 @@ product becomes nearest direction by one more coordinate that brings all vectors
 splits stretches of them by further random projections into small leaves and compares within these.
 **Descent.**  A round joins each node's neighbours, forward and reverse, with each other: edges are
 joined with the vectors of their ends, once per cell of neighbouring nodes rather than once per
-edge, and pairs better than what a node has are sent to it.  A node with very many reverse
+edge, and pairs better than what a node has are sent to it, many in a row.  A node with very many reverse
 neighbours is split into several units, none is dropped.  Rounds end when few lists change.
 **Search.**  A query starts at its own node's neighbours or at entry nodes; each hop expands its
 best unexpanded nodes by joins with the graph and with the vectors, until none of its best
@@ -28,9 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches_of, cut_lineage, only
+from lectern.llm.common import batches_of, cut_lineage, groups_in_order, only
 
-LISTS = "node long, near array<long>, sims array<float>, fresh array<boolean>"
+LISTS = "node long, cell long, u binary, near array<long>, sims array<float>, fresh array<boolean>"
+#: Candidates of many nodes in one row: (node, near, sims) flat, by the bucket of the nodes.
+PACKED = "bucket long, node array<long>, near array<long>, sims array<float>"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -117,8 +119,22 @@ def _tree(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Iterator[np.nda
         todo += [order[: len(order) // 2], order[len(order) // 2 :]]
 
 
-def first_lists(coded: DataFrame, seed: int, k: int, leaf: int, stretch: int) -> DataFrame:
-    """Neighbour lists within leaves of one random-projection forest."""
+def packed(node: np.ndarray, near: np.ndarray, sims: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Candidates as one row a bucket."""
+    bucket = bucket_of(node, buckets)
+    order = np.argsort(bucket, kind="stable")
+    heads, counts = np.unique(bucket, return_counts=True)
+    cuts = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(x[order])) for x in (node, near, sims.astype(np.float32))]
+    return pa.RecordBatch.from_arrays([pa.array(heads), *lists], names=["bucket", "node", "near", "sims"])
+
+
+def bucket_of(node: np.ndarray, buckets: int) -> np.ndarray:
+    return (node & 0x7FFFFFFF) % buckets
+
+
+def first_lists(coded: DataFrame, seed: int, k: int, leaf: int, stretch: int, buckets: int) -> DataFrame:
+    """``PACKED`` candidates within leaves of one random-projection forest."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -126,11 +142,11 @@ def first_lists(coded: DataFrame, seed: int, k: int, leaf: int, stretch: int) ->
         def out() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
             ids, x = table.column("node").to_numpy(), _matrix(table.column("u"))
+            found = []
             for rows in _tree(x, leaf, np.random.default_rng(seed)):
                 near, sims = _best(x[rows], ids[rows], k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows]), pa.array(list(near), pa.list_(pa.int64())), pa.array(list(sims), pa.list_(pa.float32()))], names=["node", "near", "sims"]
-                )
+                found.append((np.repeat(ids[rows], near.shape[1]), near.ravel(), sims.ravel()))
+            yield packed(*(np.concatenate(c) for c in zip(*found)), buckets)
 
         for batch in batches_of(batches, 1024):
             held.append(batch)
@@ -141,19 +157,19 @@ def first_lists(coded: DataFrame, seed: int, k: int, leaf: int, stretch: int) ->
             yield from out()
 
     ordered = coded.select("node", "u", f"code{seed}").repartitionByRange(f"code{seed}").sortWithinPartitions(f"code{seed}")
-    return ordered.mapInArrow(grow, "node long, near array<long>, sims array<float>")
+    return ordered.mapInArrow(grow, PACKED)
 
 
-def best_lists(pairs: DataFrame, k: int) -> DataFrame:
-    """``LISTS`` from rows (node, near, sims, old): the k best distinct neighbours of each node, and which of them are fresh."""
+def best_lists(lists: DataFrame, candidates: DataFrame, k: int, buckets: int) -> DataFrame:
+    """``lists`` with the k best distinct neighbours of each node among its own and the ``PACKED`` candidates; those not had before are fresh."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out(table: pa.Table) -> pa.RecordBatch:
-            near, lengths = table.column("near").combine_chunks(), pc.list_value_length(table.column("near")).to_numpy()
-            node, old = np.repeat(table.column("node").to_numpy(), lengths), np.repeat(table.column("old").to_numpy(), lengths)
-            near, sims = near.flatten().to_numpy(), table.column("sims").combine_chunks().flatten().to_numpy()
+        for table in groups_in_order(batches, ["bucket"]):
+            own = table.filter(pc.is_valid(table.column("own"))).sort_by("own")
+            ids = own.column("own").to_numpy()
+            lengths = pc.list_value_length(table.column("near")).to_numpy()
+            old = np.repeat(table.column("own").is_valid().to_numpy(), lengths)
+            node, near, sims = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("node", "near", "sims"))
             order = np.lexsort((~old, near, node))
             node, near, sims, old = node[order], near[order], sims[order], old[order]
             new = np.ones(len(node), bool)
@@ -161,59 +177,50 @@ def best_lists(pairs: DataFrame, k: int) -> DataFrame:
             node, near, sims, old = node[new], near[new], sims[new], old[new]
             order = np.lexsort((near, -sims, node))
             node, near, sims, old = node[order], near[order], sims[order], old[order]
-            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-            rank = np.arange(len(node)) - np.repeat(starts, np.diff(np.append(starts, len(node))))
-            keep = rank < k
-            node, near, sims, old = node[keep], near[keep], sims[keep], old[keep]
-            heads, counts = np.unique(node, return_counts=True)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            made = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (near, sims.astype(np.float32), ~old)]
-            return pa.RecordBatch.from_arrays([pa.array(heads), *made], names=["node", "near", "sims", "fresh"])
-
-        for batch in batches_of(batches, 4096):
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            if table.num_rows >= 32768:
-                last = table.column("node")[-1].as_py()
-                cut = int(np.searchsorted(table.column("node").to_numpy(), last))
-                if cut:
-                    yield out(table.slice(0, cut))
-                    held = table.slice(cut).to_batches()
-        if held:
-            yield out(pa.Table.from_batches(held))
+            at = np.searchsorted(node, ids)
+            counts = np.minimum(np.searchsorted(node, ids, "right") - at, k)
+            keep = np.repeat(at - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            cuts = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            made = [pa.ListArray.from_arrays(cuts, pa.array(v[keep])) for v in (near, sims.astype(np.float32), ~old)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), own.column("cell").combine_chunks(), own.column("u").combine_chunks(), *made], names=["node", "cell", "u", "near", "sims", "fresh"]
+            )
 
-    return pairs.select("node", "near", "sims", "old").repartition("node").sortWithinPartitions("node").mapInArrow(merge, LISTS)
+    bucket = F.pmod(F.col("node").bitwiseAND(0x7FFFFFFF), F.lit(buckets))
+    mine = lists.select(bucket.alias("bucket"), F.array_repeat("node", F.size("near")).alias("node"), "near", "sims", F.col("node").alias("own"), "cell", "u")
+    both = mine.unionByName(candidates, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
+    return cut_lineage(both.select("bucket", "node", "near", "sims", "own", "cell", "u").mapInArrow(merge, LISTS))
 
 
-def _with_vectors(asked: DataFrame, coded: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def _with_vectors(asked: DataFrame, nodes: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     """The vectors of the nodes that cells ask for, once a cell; the cell is called ``home``."""
-    return asked.select(F.col("cell").alias("home"), "node").distinct().join(coded.select("node", "u", *(extra or [])), "node")
-
-
-def descend(lists: DataFrame, coded: DataFrame, cells: DataFrame, k: int, unit: int) -> DataFrame:
-    """One round of NN-descent on ``lists``; ``cells`` says in which cell (node, cell) each node is worked on."""
-    edges = lists.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("e")).select("node", F.col("e.near").alias("other"), F.col("e.fresh").alias("fresh"))
-    reverse = edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")
-    heavy = reverse.groupBy("node").agg(F.ceil(F.count("*") / unit).cast("int").alias("parts"))
-    reverse = reverse.join(heavy, "node").withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int"))
-    forward = edges.join(heavy, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    members = (forward.drop("parts").unionByName(reverse.drop("parts")).join(cells, "node").select("cell", "node", "part", "other", "fresh"))
-    # further parts of a heavy node are cells of their own
-    members = cut_lineage(members.withColumn("cell", F.when(F.col("part") == 0, F.col("cell")).otherwise(F.xxhash64("node", "part"))))
-    floors = lists.select("node", F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-    ends = _with_vectors(members.select("cell", F.col("other").alias("node")), coded.join(floors, "node"), ["floor"])
+    return asked.select(F.col("cell").alias("home"), "node").distinct().join(nodes.select("node", "u", *(extra or [])), "node")
+
+
+def descend(lists: DataFrame, k: int, unit: int, buckets: int) -> DataFrame:
+    """``PACKED`` candidates from one round of NN-descent."""
+    edges = lists.select("node", "cell", F.explode(F.arrays_zip("near", "fresh")).alias("e"))
+    forward = edges.select("cell", "node", F.lit(0).alias("part"), F.col("e.near").alias("other"), F.col("e.fresh").alias("fresh"))
+    # further parts of a node with very many reverse neighbours are cells of their own
+    reverse = edges.select(F.col("e.near").alias("node"), F.col("node").alias("other"), F.col("e.fresh").alias("fresh"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("node")) / (64 * unit))
+    reverse = reverse.withColumn("part", F.pmod(F.xxhash64("other"), parts).cast("int")).join(lists.select("node", "cell"), "node")
+    reverse = reverse.withColumn("cell", F.when(F.col("part") == 0, F.col("cell")).otherwise(F.xxhash64("node", "part")))
+    members = cut_lineage(forward.unionByName(reverse.select("cell", "node", "part", "other", "fresh")))
+    floor = F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float").alias("floor")
+    ends = _with_vectors(members.select("cell", F.col("other").alias("node")), lists, [floor])
 
     def local(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x = right.column("node").to_numpy(), _matrix(right.column("u"))
         order = np.argsort(ids)
         ids, x, floor = ids[order], x[order], right.column("floor").to_numpy()[order]
         at = np.searchsorted(ids, left.column("other").to_numpy())
-        fresh = left.column("fresh").to_numpy()
-        owner = np.unique(np.column_stack([left.column("node").to_numpy(), left.column("part").to_numpy()]), axis=0, return_inverse=True)[1].ravel()
+        owner, fresh = left.column("node").to_numpy(), left.column("fresh").to_numpy()
         order = np.argsort(owner, kind="stable")
         at, fresh, owner = at[order], fresh[order], owner[order]
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        found_a, found_b, found_s = [], [], []
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        cuts = np.flatnonzero((owner[1:] != owner[:-1]) | (place[1:] % (2 * unit) == 0)) + 1
+        found_a, found_b, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         for members_, news in zip(np.split(at, cuts), np.split(fresh, cuts)):
             m, where = np.unique(members_, return_inverse=True)
             isnew = np.zeros(len(m), bool)
@@ -225,40 +232,33 @@ def descend(lists: DataFrame, coded: DataFrame, cells: DataFrame, k: int, unit:
             np.fill_diagonal(worth, False)
             i, j = np.nonzero(worth)
             found_a.append(m[i]), found_b.append(m[j]), found_s.append(sims[i, j])
-        if not found_a:
-            return pa.table({"node": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float32()))})
         a, b, s = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_s)
-        _, one = np.unique(a * len(ids) + b, return_index=True)
+        _, one = np.unique(a * max(1, len(ids)) + b, return_index=True)
         a, b, s = a[one], b[one], s[one]
         order = np.lexsort((-s, a))
         a, b, s = a[order], b[order], s[order]
-        heads, starts, counts = np.unique(a, return_index=True, return_counts=True)
+        _, starts, counts = np.unique(a, return_index=True, return_counts=True)
         keep = np.arange(len(a)) - np.repeat(starts, counts) < k
-        b, s, counts = b[keep], s[keep], np.minimum(counts, k)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        return pa.table({
-            "node": ids[heads], "near": pa.ListArray.from_arrays(offsets, pa.array(ids[b])), "sims": pa.ListArray.from_arrays(offsets, pa.array(s.astype(np.float32))),
-        })
+        return pa.Table.from_batches([packed(ids[a[keep]], ids[b[keep]], s[keep], buckets)])
 
-    better = members.groupBy("cell").cogroup(ends.groupBy("home")).applyInArrow(local, "node long, near array<long>, sims array<float>")
-    old = lists.select("node", "near", "sims", F.lit(True).alias("old"))
-    return best_lists(old.unionByName(better.withColumn("old", F.lit(False))), k)
+    return members.groupBy("cell").cogroup(ends.groupBy("home")).applyInArrow(local, PACKED)
 
 
 def neighbour_graph(
-    coded: DataFrame, k: int = 48, trees: int = 3, rounds: int = 4, leaf: int = 160, stretch: int = 16_384, unit: int = 96, cell_nodes: int = 1024, change: float = 0.02
+    coded: DataFrame, k: int = 48, trees: int = 3, rounds: int = 4, leaf: int = 160, stretch: int = 16_384, unit: int = 96, cell_nodes: int = 1024, change: float = 0.05
 ) -> DataFrame:
     """``LISTS`` of the k nearest neighbours found for every node."""
     seeds = [int(c[4:]) for c in coded.columns if c.startswith("code")][:trees]
-    trees_ = [first_lists(coded, s, k, leaf, stretch) for s in seeds]
-    pairs = trees_[0]
-    for t in trees_[1:]:
-        pairs = pairs.unionByName(t)
-    lists = cut_lineage(best_lists(pairs.withColumn("old", F.lit(False)), k))
     total = coded.count()
-    cells = in_cells(coded, f"code{seeds[0]}", cell_nodes)
+    buckets = max(16, total // 2048)
+    candidates = first_lists(coded, seeds[0], k, leaf, stretch, buckets)
+    for s in seeds[1:]:
+        candidates = candidates.unionByName(first_lists(coded, s, k, leaf, stretch, buckets))
+    none = [F.array().cast(t).alias(c) for c, t in (("near", "array<long>"), ("sims", "array<float>"), ("fresh", "array<boolean>"))]
+    start = coded.join(in_cells(coded, f"code{seeds[0]}", cell_nodes), "node").select("node", "cell", "u", *none)
+    lists = best_lists(start, candidates, k, buckets)
     for _ in range(rounds):
-        lists = cut_lineage(descend(lists, coded, cells, k, unit))
+        lists = best_lists(lists, descend(lists, k, unit, buckets), k, buckets)
         fresh = lists.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
         if fresh <= change * k * total:
             break
@@ -281,10 +281,10 @@ def in_cells(rows: DataFrame, code: str, size: int, key: str = "node") -> DataFr
 STATE = "query long, cell long, q binary, near array<long>, sims array<float>, done array<boolean>"
 
 
-def search(queries: DataFrame, coded: DataFrame, lists: DataFrame, beam: int = 160, expand: int = 24) -> DataFrame:
+def search(queries: DataFrame, lists: DataFrame, beam: int = 160, expand: int = 64) -> DataFrame:
     """(query, near): the ``beam`` best nodes found for each of ``queries`` (query, cell, q, start).
 
-    ``q`` is the query in the space of ``coded.u`` and ``start`` the nodes where its search begins.
+    ``q`` is the query in the space of ``lists.u`` and ``start`` the nodes where its search begins.
     """
 
     def advance(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -307,7 +307,7 @@ def search(queries: DataFrame, coded: DataFrame, lists: DataFrame, beam: int = 1
 
     def step(asking: DataFrame) -> DataFrame:
         asked = asking.select("cell", F.explode("asked").alias("node"))
-        return cut_lineage(asking.groupBy("cell").cogroup(_with_vectors(asked, coded).groupBy("home")).applyInArrow(advance, STATE))
+        return cut_lineage(asking.groupBy("cell").cogroup(_with_vectors(asked, lists).groupBy("home")).applyInArrow(advance, STATE))
 
     none = {"near": "array<long>", "sims": "array<float>", "done": "array<boolean>", "chosen": "array<long>"}
     state = step(queries.select("query", "cell", "q", F.col("start").alias("asked"), *[F.array().cast(t).alias(c) for c, t in none.items()]))
@@ -328,7 +328,7 @@ def search(queries: DataFrame, coded: DataFrame, lists: DataFrame, beam: int = 1
     return out
 
 
-def nearest(vectors: DataFrame, wanted: Column, k: int = 20, beam: int = 160, expand: int = 24, graph_k: int = 48, trees: int = 3) -> DataFrame:
+def nearest(vectors: DataFrame, wanted: Column, k: int = 20, beam: int = 160, expand: int = 64, graph_k: int = 48, trees: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row of ``vectors`` (vec_id, embedding) that ``wanted`` picks by ``vec_id``."""
     nodes = vector_nodes(vectors, k + 1)
     if nodes.isEmpty():
@@ -348,7 +348,7 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 20, beam: int = 160, ex
     starts = lifted.join(lists.select(F.col("node").alias("query"), "near"), "query", "left").withColumn(
         "start", F.array_distinct(F.concat(F.array("query"), F.coalesce("near", F.array().cast("array<long>"))))
     )
-    found = search(starts.select("query", "cell", "q", "start"), coded, lists, max(beam, k + 1), expand)
+    found = search(starts.select("query", "cell", "q", "start"), lists, max(beam, k + 1), expand)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
