@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
 from lectern.operators import catalog
-from lectern.plans import agent, indexing
+from lectern.plans import indexing
 from lectern.plans.engine import Engine
 from lectern.session import build_session
 from lectern.sources import corpus
@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--force", action="store_true")
     p.add_argument("--no-llm", action="store_true")
     p.add_argument("--gi", default=None)
-    for name in ("ask", "agent", "sql", "explore"):
+    for name in ("ask", "sql", "explore"):
         commands.add_parser(name).add_argument("text")
     p = commands.add_parser("evaluate")
     p.add_argument("--questions", required=True)
@@ -59,8 +59,6 @@ def main(argv: list[str] | None = None) -> int:
         out = engine.graph_stats()
     elif args.command == "ask":
         out = {k: v for k, v in engine.ask(args.text).items() if k != "context_chunks"}
-    elif args.command == "agent":
-        out = vars(agent.run(engine, args.text))
     elif args.command == "sql":
         out = engine.sql(args.text)
     elif args.command == "explore":

@@ -23,6 +23,8 @@ class EngineConfig:
     embedding_dim: int = 64
     embedding_batch: int = 8
     embedding_attempts: int = 3
+    # how many pieces files and documents are dealt over before they are parsed; None: those of the scan
+    input_partitions: int | None = None
     # language
     language_chars: int = 500
     # graph

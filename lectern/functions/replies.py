@@ -16,12 +16,14 @@ _BARE_KEY = r"([{,]\s*)([a-zA-Z_][a-zA-Z0-9_]*)\s*:"
 _NOT_A_VALUE = r":\s*(?:undefined|NaN|Infinity|null)\b"
 
 
-def _strict(text: Column, schema: str) -> Column:
-    """NULL unless the whole text is valid JSON of the wanted top-level kind."""
+def _strict(text: Column) -> Column:
+    """Triples of a text that is a valid JSON list as a whole, otherwise NULL; items that are no objects are passed over."""
     # from_json wraps a lone object into an array and tolerates trailing text, so the text is
     # checked as JSON first
     valid = F.try_parse_json(text).isNotNull() & F.startswith(F.ltrim(text), F.lit("["))
-    return F.when(valid, F.from_json(text, schema, {"allowNonNumericNumbers": "false"}))
+    items = F.filter(F.from_json(text, "array<string>"), lambda i: F.startswith(F.ltrim(i), F.lit("{")))
+    triples = F.transform(items, lambda i: F.from_json(i, TRIPLE, {"allowNonNumericNumbers": "false"}))
+    return F.when(valid, F.filter(triples, lambda t: t.isNotNull()))
 
 
 def parse_triples(raw: Column | str) -> Column:
@@ -48,8 +50,8 @@ def parse_triples(raw: Column | str) -> Column:
             control = F.regexp_replace(mend(array_text), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
             return F.when(array_text == "", empty).otherwise(
                 F.coalesce(
-                    _strict(array_text, TRIPLES),
-                    let(control, lambda c: _strict(c, TRIPLES)),
+                    _strict(array_text),
+                    let(control, _strict),
                     line_objects(text),
                     empty,
                 )

@@ -13,42 +13,33 @@ from lectern import fixed_values as V
 from lectern.functions.text import fold_accents
 from lectern.operators.skew import first_per_key
 
-# a lexicon of at most this many rows may be copied to every task
-LEXICON_BROADCAST_ROWS = 20_000
-
-
 def character_grams(text: Column, n: int) -> Column:
     """Distinct overlapping pieces of ``n`` characters."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def is_small(df: DataFrame, rows: int = LEXICON_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` holds at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def contained_names(
     texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, name_col: str, n: int = 4
 ) -> DataFrame:
     """Distinct (id, name) with ``name`` a substring of ``text``; names shorter than ``n`` never match.
 
-    A small lexicon is copied to the tasks and the text is verified where it is read.  A large
-    one meets the pieces of the texts in a shuffled join without carrying the texts along, and
-    the few candidates go back to them afterwards.
+    Names fall into classes by length: a name of 12 or more characters meets texts on its first
+    12, a shorter one on its first 8 or ``n``.  Longer pieces are rarer, so few meetings fail.
+    One plan for every size: ids and pieces meet in an equi-join, of which adaptive execution
+    broadcasts a side by its measured bytes, and the candidates go back to the texts by id.
     """
-    keyed = lexicon.select(F.col(name_col).alias("_name")).distinct().filter(F.length("_name") >= n)
-    keyed = keyed.withColumn("_gram", F.left("_name", F.lit(n)))
+    classes = sorted({n, max(n, 8), max(n, 12)})
+    name = F.col("_name")
+    size = F.lit(classes[0])
+    for c in classes[1:]:
+        size = F.when(F.length(name) >= c, F.lit(c)).otherwise(size)
+    keyed = lexicon.select(F.col(name_col).alias("_name")).distinct().filter(F.length(name) >= n)
+    keyed = keyed.withColumn("_gram", F.left(name, size))
     source = texts.select(F.col(id_col), F.col(text_col).alias("_text"))
-    if is_small(keyed):
-        pieces = source.select(id_col, "_text", F.explode(character_grams(F.col("_text"), n)).alias("_gram"))
-        # each name has one piece and pieces are distinct per text: no duplicates arise
-        met = pieces.join(F.broadcast(keyed), "_gram").filter(F.contains("_text", "_name"))
-        return met.select(id_col, F.col("_name").alias(name_col))
-    pieces = source.select(id_col, F.explode(character_grams(F.col("_text"), n)).alias("_gram"))
-    candidates = pieces.join(keyed, "_gram").select(id_col, "_name")
-    return (
-        source.join(candidates, id_col).filter(F.contains("_text", "_name")).select(id_col, F.col("_name").alias(name_col))
-    )
+    # a piece keeps its length, so classes cannot meet each other
+    every = F.flatten(F.array(*[character_grams(F.col("_text"), c) for c in classes]))
+    candidates = source.select(id_col, F.explode(every).alias("_gram")).join(keyed, "_gram").select(id_col, "_name")
+    return source.join(candidates, id_col).filter(F.contains("_text", "_name")).select(id_col, F.col("_name").alias(name_col)).distinct()
 
 
 def normalized_question(c: Column) -> Column:
@@ -118,9 +109,12 @@ def match_many(entities: DataFrame, nodes: DataFrame, entity_col: str = "entity"
         ~F.col("ef").isin(*V.NODE_MATCH_STOP_WORDS)
     )
     longer = known.filter(F.length("name") > 2)
+    # an entity of one or two characters meets nodes on all it has
+    size = F.least(F.length("ef"), F.lit(3))
+    pieces = F.flatten(F.array(*[character_grams(F.col("nf"), k) for k in (1, 2, 3)]))
     inside_node = (
-        rest.withColumn("g", F.left("ef", F.lit(3)))
-        .join(longer.withColumn("g", F.explode(character_grams(F.col("nf"), 3))), "g")
+        rest.filter(F.length("ef") > 0).withColumn("g", F.left("ef", size))
+        .join(longer.withColumn("g", F.explode(pieces)), "g")
         .filter(F.contains("nf", "ef"))
     )
     inside_entity = (

@@ -22,6 +22,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[s
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def first_rows_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """Keep the first ``n`` rows of every key (same group limit)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
 def last_rows_per_key(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
     """Keep the ``n`` rows with the highest ``order`` of every key (same group limit)."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())

@@ -13,7 +13,7 @@ from lectern import fixed_values as V
 from lectern.config import DEFAULT, EngineConfig
 from lectern.functions import names
 from lectern.functions.text import count_occurrences
-from lectern.operators.skew import first_per_key
+from lectern.operators.skew import first_per_key, first_rows_per_key
 
 
 def cosine_distance(vector: Column | str, query: Sequence[float]) -> Column:
@@ -64,23 +64,27 @@ def nearest_per_collection(
     chunks: DataFrame,
     query: Sequence[float],
     k: int,
-    collections: Sequence[object],
+    collections: Sequence[object] | None = None,
     by: str = "country",
     vector: str = "embedding",
     id_col: str = "chunk_id",
 ) -> DataFrame:
-    """Up to ``k`` rows of each collection, numbered in the order of ``collections``.
+    """Up to ``k`` rows of each collection, numbered in the order of ``collections`` (None: all there are, in their order).
 
-    Collections are partitions of the store, so each branch reads its own files only.
+    One scan of ids, collections and vectors keeps ``k`` rows a collection in each task; the other
+    columns are fetched for the rows that are left.
     """
-    out = None
-    for i, name in enumerate(collections):
-        hits = nearest(chunks.filter(F.col(by) == name), query, k, vector, id_col)
-        hits = hits.withColumn("collection_ord", F.lit(i))
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return chunks.limit(0).drop(vector).withColumn("distance", F.lit(0.0)).withColumn("collection_ord", F.lit(0))
-    return out
+    if collections is not None:
+        chunks = chunks.filter(F.col(by).isin(*collections)) if collections else chunks.limit(0)
+    scored = chunks.filter(F.col(vector).isNotNull()).select(id_col, by, cosine_distance(vector, query).alias("distance"))
+    hits = first_rows_per_key(scored, [by], ["distance", id_col], k)
+    if collections is None:
+        place = F.dense_rank().over(Window.orderBy(by)) - 1
+    else:
+        place = F.array_position(F.array(*[F.lit(c) for c in collections] or [F.lit(None)]), F.col(by)).cast("int") - 1
+    hits = hits.withColumn("collection_ord", place.cast("int"))
+    # at most k rows a collection
+    return chunks.drop(vector).join(F.broadcast(hits.drop(by)), id_col)
 
 
 def best_per_parent(hits: DataFrame, k: int, id_col: str = "chunk_id", parent_col: str = "parent_id") -> DataFrame:

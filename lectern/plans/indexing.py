@@ -55,7 +55,7 @@ def extracted(
     files: DataFrame, reader: PageReader, country: str, fast: bool = False, chat: Chat | None = None, cfg: EngineConfig = DEFAULT
 ) -> DataFrame:
     """Documents read from files (country, folder, file, path, content): cleaned and language-tagged."""
-    raw = extract_pages(spread(files), reader, fast)
+    raw = extract_pages(spread(files, cfg.input_partitions), reader, fast)
     if chat is not None and not fast:
         raw = with_page_tables(raw, chat)
     cleaned = clean_markdown(F.coalesce("markdown", plain_pages("pages")), country, cfg.strip_page_headings)
@@ -120,11 +120,12 @@ def index_documents(
     whole, so the two tables always fit together.  Both writes are map-only passes over the
     documents; splitting again is cheaper than storing all texts a third time.
     """
-    split = passages.with_passages(passages.with_document_metadata(spread(docs)), cfg)
+    split = passages.with_passages(passages.with_document_metadata(spread(docs, cfg.input_partitions)), cfg)
     store.replace_partitions(passages.parents_table(split), "parents")
     chunks = passages.chunk_records(split, cfg).withColumn("embedding", embedding("markdown", embedder, fallback, cfg))
     store.replace_partitions(passages.storable(chunks), "chunks")
-    countries = [r.country for r in docs.select("country").distinct().limit(len(V.SUPPORTED_COUNTRIES) + 1).collect()]
+    store.drop_left_over(docs.select("country").distinct(), split.select("country").distinct())
+    countries = [r.country for r in docs.select("country").distinct().collect()]  # one row a partition of the store
     return store.chunks().filter(F.col("country").isin(*countries)).count()
 
 
@@ -143,7 +144,8 @@ def build_index(
     docs = store.documents().filter(F.col("country") == country)
     # one row per language code, a small fixed set
     result["languages"] = {r.language: r.n for r in catalog.language_counts(docs).collect()}
-    if docs.limit(1).count() == 0:
+    if docs.isEmpty():
+        store.delete_country(country)
         return {**result, "chunks": 0, "stored": 0}
     stored = index_documents(store, docs, embedder, fallback, cfg)
     return {**result, "chunks": stored, "stored": stored, "ok": stored > 0}

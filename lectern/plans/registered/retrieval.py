@@ -127,7 +127,7 @@ WITH {_STORE}
 SELECT chunk_id, label, round(distance, 6) + 0.0 AS distance FROM store QUALIFY row_number() OVER (PARTITION BY label ORDER BY store.distance, chunk_id) <= 5
 """)
 def nearest_per_collection(spark, sf_dir):
-    found = vectors.nearest_per_collection(chunk_store(spark, sf_dir), probe_vector(spark, sf_dir), 5, list(range(10)), by="label")
+    found = vectors.nearest_per_collection(chunk_store(spark, sf_dir), probe_vector(spark, sf_dir), 5, by="label")
     return found.select("chunk_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
 
 

@@ -1,15 +1,13 @@
-"""Making sure that costly work on few large rows is spread over all cores."""
+"""Spreading costly work on few large rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the input comes in fewer pieces than there are cores.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows over ``partitions``; None leaves the scan's own pieces alone, whatever their number.
 
-    A large input has many more splits than cores and is returned as it is: nothing is
-    shuffled.  Use it right after a scan, before text is expanded.
+    Only a user knows that an input is small and its rows are costly; nothing is counted here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+    return df if partitions is None else df.repartition(partitions)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ TABLE_DDL = {
     "yields": "dop string, gi_type string, wine_type string, variety string, kg_ha double, hl_ha double",
     "municipalities": "dop string, gi_type string, municipality string, zone string, province string",
 }
+GRAPH_META_DDL = "schema_version int, built_at timestamp, folder string"
 POSITION_DDL = "country_ord int, path string, table_ord int, row_ord int, item_ord int, source_file string"
 
 
@@ -85,19 +87,21 @@ class Store:
 
     def graph(self) -> tuple[DataFrame, DataFrame] | None:
         """Nodes and edges, or None when there are none of the current version."""
-        meta = self.read("graph/meta", "schema_version int, built_at timestamp")
+        meta = self.read("graph/meta", GRAPH_META_DDL)
         row = meta.orderBy(F.col("built_at").desc()).limit(1).collect()
         if not row or row[0].schema_version != GRAPH_SCHEMA_VERSION:
             return None
-        return self.read("graph/nodes", NODES_DDL), self.read("graph/edges", EDGES_DDL)
+        return self.read(f"graph/{row[0].folder}/nodes", NODES_DDL), self.read(f"graph/{row[0].folder}/edges", EDGES_DDL)
 
     def save_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self.overwrite(nodes, "graph/nodes")
-        self.overwrite(edges, "graph/edges")
+        """Write both tables to a new folder, then name it in one appended row: readers see the old pair or the new one."""
+        folder = f"v-{uuid.uuid4().hex}"
+        self.overwrite(nodes, f"graph/{folder}/nodes")
+        self.overwrite(edges, f"graph/{folder}/edges")
         meta = self.spark.range(1).select(
-            F.lit(GRAPH_SCHEMA_VERSION).alias("schema_version"), F.current_timestamp().alias("built_at")
+            F.lit(GRAPH_SCHEMA_VERSION).alias("schema_version"), F.current_timestamp().alias("built_at"), F.lit(folder).alias("folder")
         )
-        self.overwrite(meta.coalesce(1), "graph/meta")
+        meta.coalesce(1).write.mode("append").parquet(self.path("graph/meta"))
 
     def graph_is_stale(self) -> bool:
         """Whether a source table was written after the graph."""
@@ -111,6 +115,11 @@ class Store:
                     return True
         return False
 
+    def drop_left_over(self, replaced: DataFrame, filled: DataFrame) -> None:
+        """Remove the passages of countries that were replaced by nothing."""
+        for row in replaced.join(filled, "country", "left_anti").collect():  # at most one row a partition
+            self.delete_country(row.country)
+
     def delete_country(self, country: str) -> int:
         """Remove the passages and parents of a country; number of passages there were."""
         n = self.chunks().filter(F.col("country") == country).count()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern import fixed_values as V
 from lectern.config import EngineConfig
 from lectern.operators import catalog
-from lectern.plans import agent, indexing, readonly_sql
+from lectern.plans import indexing, readonly_sql
 from lectern.plans.engine import Engine
 from lectern.providers import HashingEmbedder, PlainPages, embed_texts, embedding
 from lectern.sources import corpus
@@ -165,23 +165,6 @@ def test_graph(engine):
     assert engine.graph_stats()["predicates"]["COAUTHORIZED_WITH"] == 4
 
 
-def test_agent(engine):
-    engine.chat = ScriptedChat([
-        [{"tool_calls": [{"index": 0, "id": "1", "name": "list_dops", "arguments": '{"gi_'}]}, {"tool_calls": [{"index": 0, "arguments": 'type": "DOP"}'}]}],
-        [{"tool_calls": [{"index": 0, "id": "2", "name": "search_vector_db", "arguments": '{"query": "varietats DOP Rioja"}'}, {"index": 1, "id": "3", "name": "nope", "arguments": "{bad"}]}],
-    ])
-    try:
-        got = agent.run(engine, "Quines DOP hi ha?", history="abans")
-        assert got.answer == "Una resposta [1]." and got.tools == ["list_dops", "search_vector_db", "nope"] and got.citations
-        assert json.loads(agent.call_tool(engine, "list_dops", {"gi_type": "DOP"})[0]) == [{"name": "Rioja", "type": "DOP"}]
-        assert "error" in json.loads(agent.call_tool(engine, "search_table_db", {})[0])
-        engine.chat = ScriptedChat([[{"tool_calls": [{"index": 0, "id": "1", "name": "x", "arguments": ""}]}]] * 6)
-        assert "6 rondes" in agent.run(engine, "q").answer
-        assert len(agent.first_messages("q")) == 3 and len(agent.first_messages("q", "h")) == 4
-    finally:
-        engine.chat = ScriptedChat()
-
-
 def test_evaluate(engine, tmp_path):
     path = tmp_path / "q.json"
     path.write_text(json.dumps([{"question": "varietats DOP Rioja?", "ground_truth": "Tempranillo"}, {"question": "DOP Inventada?"}]))
@@ -292,3 +275,22 @@ def test_history_stream(spark, tmp_path):
     row = spark.table("talks").first()
     assert row.n_messages == 4
     assert row.history.split("\n") == [V.HISTORY_TITLE, "Assistent: xxx", "Usuari: xxx", "Assistent: " + "x" * 1500 + "...", "Usuari: xxx"]
+
+
+@pytest.mark.parametrize("statement", [
+    "SELECT TRANSFORM(x) USING 'cat' AS (y string) FROM t", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM t", "SELECT (SELECT java_method('java.lang.System', 'getProperty', 'user.home'))",
+    "SELECT x FROM t WHERE EXISTS (SELECT reflect('java.lang.Math', 'random'))", "SELECT input_file_name() FROM t", "SELECT try_reflect('java.lang.Math', 'random') FROM t",
+])
+def test_statements_that_run_code_are_refused(spark, statement):
+    session = readonly_sql.reader_session(spark, {"t": spark.createDataFrame([("a",)], "x string")})
+    assert "error" in readonly_sql.search_tables(session, statement)[0]
+
+
+@pytest.mark.parametrize("statement", [
+    "WITH c AS (SELECT x, count(*) AS n FROM t GROUP BY x) SELECT c.x, n FROM c JOIN t USING (x) ORDER BY n", "SELECT x FROM t WHERE x IN (SELECT upper('a') UNION SELECT x FROM t)",
+    "SELECT x, row_number() OVER (ORDER BY x) AS r FROM t LIMIT 3", "SELECT CASE WHEN x LIKE 'A%' THEN 1 END AS y, max(x) OVER () AS m FROM t",
+])
+def test_relational_statements_are_allowed(spark, statement):
+    session = readonly_sql.reader_session(spark, {"t": spark.createDataFrame([("a",)], "x string").filter("x is not null")})
+    assert "error" not in readonly_sql.search_tables(session, statement)[0]

@@ -164,3 +164,10 @@ def test_pipe_table(value):
 def test_table_kind(spark, headers, kind):
     h = F.array(*[F.lit(x) for x in headers])
     assert spark.range(1).select(tables.classify_table(h, h)).first()[0] == kind
+
+
+def test_triples_survive_other_items(value):
+    from lectern.functions import replies
+
+    got = value('[1, {"subject":"a","predicate":"p","object":"b"}, "x", null, {"subject":"c"}]', replies.parse_triples)
+    assert [(t.subject, t.predicate, t.object) for t in got] == [("a", "p", "b"), ("c", None, None)]

@@ -147,10 +147,22 @@ def test_fuzzy_match_few_and_many(spark):
     assert {tuple(r) for r in matching.match_many(table, nodes).collect()} == want
 
 
-def test_lexicon_small_and_large(spark, monkeypatch):
+def test_lexicon(spark):
     texts = spark.createDataFrame([(1, "vins de rioja i priorat"), (2, "res de res"), (3, "la mancha-nord")], "id int, t string")
     known = spark.createDataFrame([("Rioja", "Rioja"), ("Priorat__Priorato", "Priorat / Priorato"), ("La_Mancha", "La Mancha"), ("res", "res")], "gi_name string, display_name string")
     want = {(1, "Rioja"), (1, "Priorat__Priorato"), (3, "La_Mancha")}
     assert {tuple(r) for r in matching.lexicon_mentions(texts, "id", "t", known).collect()} == want
-    monkeypatch.setattr(matching, "is_small", lambda *_: False)
-    assert {tuple(r) for r in matching.lexicon_mentions(texts, "id", "t", known).collect()} == want
+
+
+def test_names_of_every_length_class(spark):
+    texts = spark.createDataFrame([(1, "abcdefghijklmnop qrst"), (2, "abcdefgh"), (3, "abcd"), (4, "abc")], "id int, t string")
+    names_ = spark.createDataFrame([("abcd",), ("abcdefgh",), ("abcdefghijkl",), ("bcdefghijklmnop",), ("abc",), ("qrst",), ("zzzz",)], "n string")
+    want = {(i, n) for i, t in ((1, "abcdefghijklmnop qrst"), (2, "abcdefgh"), (3, "abcd")) for (n,) in names_.collect() if len(n) > 3 and n in t}
+    assert {tuple(r) for r in matching.contained_names(texts, "id", "t", names_, "n").collect()} == want
+
+
+def test_short_entities_meet_nodes(spark):
+    nodes = spark.createDataFrame([("Ribera", 0), ("Ebre", 1)], "name string, ord long")
+    table = spark.createDataFrame([("eb",), ("r",)], "entity string")
+    few = {tuple(r) for r in matching.match_few(nodes, ["eb", "r"]).collect()}
+    assert few and {tuple(r) for r in matching.match_many(table, nodes).collect()} == few
