@@ -34,6 +34,19 @@ def order_key(stage: int | Column, path: Column, a: Column, b: Column, c: Column
     )
 
 
+def corpus_place(country_ord: Column, path: Column) -> Column:
+    """A text that sorts like the corpus: countries in their given order, then folders and files part by part.
+
+    Parts are parted by a sign below all others, so ``A`` with its files precedes ``A-B``.
+    """
+    return F.concat(F.lpad(F.coalesce(country_ord.cast("string"), F.lit("999")), 3, "0"), F.lit("\x01"), F.translate(path, "/", "\x01"))
+
+
+def country_place(country: Column) -> Column:
+    """Where a country stands in the given order; NULL for others."""
+    return F.coalesce(*[F.when(country == c, F.lit(i)) for i, c in enumerate(V.SUPPORTED_COUNTRIES)])
+
+
 def no_attrs() -> Column:
     return F.create_map().cast(ATTRS)
 
@@ -64,7 +77,7 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 def _distinct_first(df: DataFrame, cols: Sequence[str], stage: int) -> DataFrame:
     """SELECT DISTINCT that keeps the position of the first occurrence."""
-    at = order_key(stage, F.concat(F.lpad(F.col("country_ord").cast("string"), 3, "0"), F.lit("/"), F.col("path")),
+    at = order_key(stage, corpus_place(F.col("country_ord"), F.col("path")),
                    F.col("table_ord"), F.col("row_ord"), F.col("item_ord"))
     return df.groupBy(*cols).agg(F.min(at).alias("ord"))
 
@@ -433,5 +446,5 @@ def folder_nodes(docs: DataFrame) -> DataFrame:
     """(name, type, path) of every folder of the corpus."""
     return docs.select("country", "folder").distinct().select(
         names.display_name("folder").alias("name"), names.gi_type("folder").alias("type"),
-        F.concat_ws("/", "country", "folder").alias("path"),
+        corpus_place(country_place(F.col("country")), F.concat_ws("/", "country", "folder")).alias("path"),
     )

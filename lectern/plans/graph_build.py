@@ -19,7 +19,7 @@ def model_triples(docs: DataFrame, chat: Chat, cfg: EngineConfig = DEFAULT) -> D
     sections = graph.interesting_sections(docs, cfg)
     prompt = F.concat(F.lit(prompts.TRIPLES), F.left("content", F.lit(cfg.triple_max_chars)))
     asked = sections.select(
-        F.concat_ws("/", "country", "folder", "source_file").alias("path"), "section_ord",
+        graph.corpus_place(graph.country_place(F.col("country")), F.concat_ws("/", "country", "folder", "source_file")).alias("path"), "section_ord",
         F.concat("folder", F.lit("/"), F.left("heading", F.lit(40))).alias("label"),
         replies.parse_triples(F.coalesce(chat_column(prompt, chat), F.lit(""))).alias("triples"),
     )

@@ -89,15 +89,19 @@ def imported_counts(spark, sf_dir):
 
 @register("directory_upsert", f"""{_IMPORT},
 folders AS (SELECT DISTINCT {d_display('folder')} AS name, CASE WHEN regexp_matches(folder, '^(DOP|IGP)_') THEN left(folder, 3) ELSE 'knowledge' END AS type,
-            country || '/' || folder AS path FROM table_corpus
-            UNION SELECT {d_display("'DOP_' || r_name")}, 'DOP', 'Espanya/DOP_' || r_name FROM region),
-listed AS (SELECT name, arg_max(type, path) AS dir_type FROM folders GROUP BY name)
+            CASE country WHEN 'Espanya' THEN 0 WHEN 'Coneixement' THEN 1 END AS c, folder FROM table_corpus
+            UNION SELECT {d_display("'DOP_' || r_name")}, 'DOP', 0, 'DOP_' || r_name FROM region
+            UNION SELECT {d_display("r_name")}, 'knowledge', 1, r_name FROM region WHERE r_regionkey < 3),
+listed AS (SELECT name, arg_max(type, (c, folder)) AS dir_type FROM folders GROUP BY name)
 SELECT name, coalesce(dir_type, type) AS type, CASE WHEN nodes.type IS NULL THEN 'directory' ELSE 'tables_db' END AS source
 FROM nodes FULL JOIN listed USING (name)""")
 def directory_upsert(spark, sf_dir):
     nodes, _, _ = imported(spark, sf_dir)
     folders = graph.folder_nodes(D.table_corpus(spark, sf_dir)).unionByName(graph.folder_nodes(
         table(spark, sf_dir, "region").select(F.lit("Espanya").alias("country"), F.concat(F.lit("DOP_"), "r_name").alias("folder"))
+    )).unionByName(graph.folder_nodes(
+        # some names stand in both countries; the later country decides their type
+        table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.lit("Coneixement").alias("country"), F.col("r_name").alias("folder"))
     ))
     return graph.upsert_directory(nodes, folders).select("name", "type", "source")
 
