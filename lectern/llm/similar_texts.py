@@ -22,14 +22,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, batches_of, cut_lineage, only
+from lectern.llm.common import WORD, batches_of, cut_lineage, groups_in_order, only
 from lectern.llm.components import components
 
 WORDS = re.compile(WORD)
@@ -112,29 +112,6 @@ def set_rows(docs: DataFrame, width: int, runs: int, depth: int) -> DataFrame:
     return only(docs, doc_id=F.col("doc_id").cast("long"), text="text").mapInArrow(sets, "doc_id long, node binary, signature binary")
 
 
-def groups_in_order(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows of equal keys together; the batches are sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(new), batch.num_rows]
-        for a, z in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, z - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def roots_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Component of each of ``n`` places by its smallest place."""
     root = np.arange(n)
@@ -255,7 +232,8 @@ def similarity_classes(
     small, full = leaves(nodes, depth, fill)
     groups = components(tied(nodes, small, full, agree=0.5)).withColumnRenamed("root", "group")
 
-    # the sets of tied nodes, from one row each; texts are joined by id, and the smaller side's size decides how
+    # the sets of tied nodes, from one row each; the share of tied nodes doesn't depend on the size of the table,
+    # so texts and ids are always sorted by id, never sent as a whole
     wanted = cut_lineage(groups.join(nodes.drop("signature"), "node"))
     ids = wanted.select(F.col("first").alias("doc_id"), "node", "rows", "group")
 
@@ -271,7 +249,7 @@ def similarity_classes(
             )
             yield out.filter(right)
 
-    texts = only(docs, doc_id=F.col("doc_id").cast("long"), text="text").join(ids, "doc_id")
+    texts = only(docs, doc_id=F.col("doc_id").cast("long"), text="text").join(ids.hint("merge"), "doc_id")
     filled = texts.select("node", "group", "rows", "text").mapInArrow(refill, "node binary, group binary, rows long, shingles binary")
     filled = cut_lineage(filled)
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
