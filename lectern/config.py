@@ -29,16 +29,22 @@ class EngineConfig:
     language_chars: int = 500
     # graph
     triple_min_chars: int = 100
-    triple_max_chars: int = 4000
+    triple_max_chars: int | None = 4000
     section_scan_chars: int = 500
     graph_section_min_chars: int = 80
     graph_hops: int = 2
     graph_edges: int = 30
-    # SQL tool, conversation, agent
+    # pages sent to the table model, its replies and headings in labels; None: everything
+    table_page_chars: int | None = 8000
+    table_reply_chars: int | None = 8000
+    label_chars: int | None = 40
+    # what a judge model reads; None: everything
+    judge_context_chars: int | None = 3000
+    judge_snippet_chars: int | None = 300
+    # SQL tool, conversation
     sql_rows: int = 50
     memory_turns: int = 10
     memory_chars: int = 1500
-    tool_rounds: int = 6
     # lexicons for re-ranking; empty means "no stop words, no bilingual expansion"
     stop_words: tuple[str, ...] = ()
     bilingual: dict[str, str] = field(default_factory=dict)

@@ -195,3 +195,8 @@ SQL_ERROR_EMPTY = "Empty query."
 SQL_ERROR_MULTI = "Multi-statement queries (';') are not allowed."
 SQL_ERROR_NOT_SELECT = "Only SELECT queries are allowed."
 SQL_ERROR_WORDS = "Keyword(s) not allowed: "
+
+# what a user reads when there is no answer
+NOTHING_FOUND = "Cap document no respon a aquesta consulta."
+NO_QUERY_VECTOR = "La consulta no s'ha pogut convertir en vector: %s"
+ANSWER_FAILED = "\n\nNo s'ha pogut acabar la resposta: %s"

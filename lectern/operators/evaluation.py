@@ -5,29 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.config import DEFAULT, EngineConfig
 from lectern.functions import replies
+from lectern.plans import prompts
+from lectern.providers import Chat, chat_column
 
 METRICS = ("faithfulness", "answer_relevancy", "context_relevancy", "ground_truth_accuracy")
 
 
-def faithfulness_context(contexts: Column) -> Column:
-    """Joined contexts, cut to 3000 characters for the judge."""
+def faithfulness_context(contexts: Column, most: int | None = DEFAULT.judge_context_chars) -> Column:
+    """Joined contexts, cut to ``most`` characters for the judge; None cuts nothing."""
     text = F.array_join(contexts, "\n\n---\n\n")
-    return F.when(
-        F.length(text) > 3000, F.concat(F.left(text, F.lit(3000)), F.lit("\n\n[... truncated ...]"))
-    ).otherwise(text)
+    if most is None:
+        return text
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n\n[... truncated ...]"))).otherwise(text)
 
 
-def numbered_snippets(contexts: Column) -> Column:
-    """Numbered one-line snippets of at most 300 characters each."""
+def numbered_snippets(contexts: Column, most: int | None = DEFAULT.judge_snippet_chars) -> Column:
+    """Numbered one-line snippets of at most ``most`` characters each; None cuts nothing."""
     def snippet(text: Column, i: Column) -> Column:
-        cut = F.replace(F.left(text, F.lit(300)), F.lit("\n"), F.lit(" "))
-        dots = F.when(F.length(text) > 300, F.lit("...")).otherwise(F.lit(""))
+        cut = F.replace(text if most is None else F.left(text, F.lit(most)), F.lit("\n"), F.lit(" "))
+        dots = F.lit("") if most is None else F.when(F.length(text) > most, F.lit("...")).otherwise(F.lit(""))
         return F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), cut, dots)
 
     return F.array_join(F.transform(contexts, snippet), "\n")
 
 
+def judged(answers: DataFrame, judge: Chat, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``answers`` (question, answer, ground_truth, contexts) with the judge's raw reply to each metric's prompt."""
+    contexts = F.col("contexts")
+    usable = (F.coalesce(F.length("answer"), F.lit(0)) > 0) & (F.size(contexts) > 0)
+    whole, snippets = faithfulness_context(contexts, cfg.judge_context_chars), numbered_snippets(contexts, cfg.judge_snippet_chars)
+    asked = {
+        "faithfulness_raw": (usable, prompts.FAITHFULNESS, (whole, F.col("answer"))),
+        "answer_relevancy_raw": (usable, prompts.ANSWER_RELEVANCY, (F.col("question"), F.col("answer"))),
+        "context_relevancy_raw": (usable, prompts.CONTEXT_RELEVANCY, (F.col("question"), snippets)),
+        "ground_truth_raw": (usable & (F.length("ground_truth") > 0), prompts.GROUND_TRUTH, (F.col("question"), F.col("ground_truth"), F.col("answer"))),
+    }
+    # without a prompt the judge isn't called
+    replies_ = {name: chat_column(F.when(when, F.format_string(text, *values)), judge) for name, (when, text, values) in asked.items()}
+    return answers.withColumns({"n_contexts": F.size(contexts), **replies_})
+
+
 def score_answers(judged: DataFrame, use_ground_truth: bool = True) -> DataFrame:
     """Scores in [0, 1] per question; NULL (and ``skipped``) without an answer or any context.
 

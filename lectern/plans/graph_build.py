@@ -17,10 +17,11 @@ from lectern.sources.store import TABLE_DDL, Store
 def model_triples(docs: DataFrame, chat: Chat, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Triples of all interesting sections; a failed call gives none."""
     sections = graph.interesting_sections(docs, cfg)
-    prompt = F.concat(F.lit(prompts.TRIPLES), F.left("content", F.lit(cfg.triple_max_chars)))
+    prompt = F.concat(F.lit(prompts.TRIPLES), F.col("content") if cfg.triple_max_chars is None else F.left("content", F.lit(cfg.triple_max_chars)))
+    heading = F.col("heading") if cfg.label_chars is None else F.left("heading", F.lit(cfg.label_chars))
     asked = sections.select(
         graph.corpus_place(graph.country_place(F.col("country")), F.concat_ws("/", "country", "folder", "source_file")).alias("path"), "section_ord",
-        F.concat("folder", F.lit("/"), F.left("heading", F.lit(40))).alias("label"),
+        F.concat("folder", F.lit("/"), heading).alias("label"),
         replies.parse_triples(F.coalesce(chat_column(prompt, chat), F.lit(""))).alias("triples"),
     )
     return graph.triple_rows(asked)

@@ -20,11 +20,13 @@ from lectern.sources.store import Store
 DOCUMENT_KEY = ["country", "folder", "source_file"]
 
 
-def tables_section(pages: Column, table_pages: Column, replies: Column) -> Column:
+def tables_section(pages: Column, table_pages: Column, replies: Column, cfg: EngineConfig = DEFAULT) -> Column:
     """Markdown block with one sub-section per page whose reply is usable; empty without any."""
     def block(page: Column, i: Column) -> Column:
         reply = F.get(replies, i)
-        usable = (F.length(F.get(pages, page - 1)) >= 80) & (F.length(reply) > 10) & (F.length(reply) < 8000)
+        usable = (F.length(F.get(pages, page - 1)) >= 80) & (F.length(reply) > 10)
+        if cfg.table_reply_chars is not None:
+            usable &= F.length(reply) < cfg.table_reply_chars
         return F.when(usable, F.concat(F.lit(f"\n\n{V.TABLES_SUBSECTION_PREFIX} (pàg. "), page.cast("string"), F.lit(")\n\n"), F.trim(reply)))
 
     blocks = F.filter(F.transform(table_pages, block), lambda b: b.isNotNull())
@@ -33,20 +35,22 @@ def tables_section(pages: Column, table_pages: Column, replies: Column) -> Colum
     ).otherwise(F.lit(""))
 
 
-def with_page_tables(extracted: DataFrame, chat: Chat) -> DataFrame:
+def with_page_tables(extracted: DataFrame, chat: Chat, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Add cleaned tables to the rich text, one model call per page with a table.
 
     Pages are exploded so that the calls of one document run in several tasks; a document has a
     bounded number of pages, which bounds what comes back together.
     """
+    page = F.get("pages", F.col("page") - 1)
+    shown = page if cfg.table_page_chars is None else F.left(page, F.lit(cfg.table_page_chars))
     asked = extracted.select("path", F.posexplode("table_pages").alias("i", "page"), "pages").select(
-        "path", "i", F.concat(F.lit(prompts.TABLE), F.left(F.get("pages", F.col("page") - 1), F.lit(8000))).alias("prompt")
+        "path", "i", F.concat(F.lit(prompts.TABLE), shown).alias("prompt")
     )
     answered = asked.withColumn("reply", chat_column(F.col("prompt"), chat)).groupBy("path").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("reply", F.lit("")).alias("reply")))), lambda r: r["reply"]).alias("replies")
     )
     joined = extracted.join(answered, "path", "left")
-    section = tables_section(F.col("pages"), F.col("table_pages"), F.col("replies"))
+    section = tables_section(F.col("pages"), F.col("table_pages"), F.col("replies"), cfg)
     added = F.when(F.coalesce(section, F.lit("")) != "", F.concat("markdown", F.lit("\n\n"), section)).otherwise(F.col("markdown"))
     return joined.withColumn("markdown", added).withColumn("extraction_method", F.concat("extraction_method", F.lit(" + tables"))).drop("replies")
 
@@ -57,7 +61,7 @@ def extracted(
     """Documents read from files (country, folder, file, path, content): cleaned and language-tagged."""
     raw = extract_pages(spread(files, cfg.input_partitions), reader, fast)
     if chat is not None and not fast:
-        raw = with_page_tables(raw, chat)
+        raw = with_page_tables(raw, chat, cfg)
     cleaned = clean_markdown(F.coalesce("markdown", plain_pages("pages")), country, cfg.strip_page_headings)
     have = set(raw.columns)
     knowledge = country == V.KNOWLEDGE_COUNTRY

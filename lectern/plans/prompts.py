@@ -4,11 +4,6 @@ SYSTEM = (
     "Respon en l'idioma de la pregunta i només amb el que diuen els documents. "
     "Indica la font de cada afirmació amb el seu número entre claudators."
 )
-TOOLS_GUIDE = (
-    "Tens quatre eines. search_vector_db busca passatges de text; search_table_db executa un SELECT sobre les taules de "
-    "paràmetres, varietats, rendiments i municipis (LIKE per a coincidències parcials); list_dops enumera denominacions; "
-    "search_graph_db segueix relacions entre entitats. Fes-ne servir tantes com calgui, o cap."
-)
 SEVERAL_REGIONS = "\nLa pregunta abasta més d'una denominació: tracta-les per separat i compara-les, si pot ser en una taula."
 
 

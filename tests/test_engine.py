@@ -139,7 +139,7 @@ def test_stream(engine):
     tokens, holder = engine.ask_stream("Quin clima té el Priorat?")
     assert list(tokens) == ["Una ", "resposta [1]."] and holder.answer == "Una resposta [1]." and holder.citations
     tokens, holder = engine.ask_stream("DOP Inventada?")
-    assert list(tokens) == [holder.answer] == ["No relevant documents found for your query."]
+    assert list(tokens) == [holder.answer] == [V.NOTHING_FOUND]
 
 
 def test_sql(engine):
@@ -294,3 +294,13 @@ def test_statements_that_run_code_are_refused(spark, statement):
 def test_relational_statements_are_allowed(spark, statement):
     session = readonly_sql.reader_session(spark, {"t": spark.createDataFrame([("a",)], "x string").filter("x is not null")})
     assert "error" not in readonly_sql.search_tables(session, statement)[0]
+
+
+def test_limits_of_table_replies_can_be_lifted(spark):
+    from dataclasses import replace
+
+    from lectern.config import DEFAULT
+
+    df = spark.createDataFrame([(["x" * 100], [1], ["| a |" + "y" * 9000])], "p array<string>, t array<int>, r array<string>")
+    cut, whole = (df.select(F.length(indexing.tables_section(F.col("p"), F.col("t"), F.col("r"), c))).first()[0] for c in (DEFAULT, replace(DEFAULT, table_reply_chars=None)))
+    assert cut == 0 and whole > 9000
