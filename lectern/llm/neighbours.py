@@ -265,6 +265,21 @@ def neighbour_graph(
     return lists
 
 
+def with_orphans(lists: DataFrame, k: int, least: int = 8, tries: int = 8) -> DataFrame:
+    """(node, near) for the search: lists with those nodes added that fewer than ``least`` others list.
+
+    Such a node is added to the lists of its nearest neighbours, ``k`` to a list at most, the nearest first.
+    """
+    listed = lists.select(F.explode("near").alias("node")).groupBy("node").agg(F.count("*").alias("times"))
+    orphans = lists.join(listed, "node", "left").filter(F.coalesce("times", F.lit(0)) < least)
+    pairs = orphans.select("node", F.posexplode(F.slice("near", 1, tries)).alias("at", "host"), "sims").select("host", "node", F.get("sims", F.col("at")).alias("sim"))
+    best = Window.partitionBy("host").orderBy(F.col("sim").desc(), "node")
+    added = pairs.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= k).groupBy("host").agg(F.collect_list("node").alias("more"))
+    return lists.join(added.withColumnRenamed("host", "node"), "node", "left").select(
+        "node", F.array_union("near", F.coalesce("more", F.array().cast("array<long>"))).alias("near")
+    )
+
+
 def in_cells(rows: DataFrame, code: str, size: int, key: str = "node") -> DataFrame:
     """(key, cell): stretches of ``size`` rows in the order of a code, so that a cell holds rows near each other."""
 
@@ -281,7 +296,7 @@ def in_cells(rows: DataFrame, code: str, size: int, key: str = "node") -> DataFr
 STATE = "query long, cell long, q binary, near array<long>, sims array<float>, done array<boolean>"
 
 
-def search(queries: DataFrame, lists: DataFrame, beam: int = 160, expand: int = 64) -> DataFrame:
+def search(queries: DataFrame, lists: DataFrame, beam: int = 160, expand: int = 160) -> DataFrame:
     """(query, near): the ``beam`` best nodes found for each of ``queries`` (query, cell, q, start).
 
     ``q`` is the query in the space of ``lists.u`` and ``start`` the nodes where its search begins.
@@ -310,6 +325,7 @@ def search(queries: DataFrame, lists: DataFrame, beam: int = 160, expand: int =
         return cut_lineage(asking.groupBy("cell").cogroup(_with_vectors(asked, lists).groupBy("home")).applyInArrow(advance, STATE))
 
     none = {"near": "array<long>", "sims": "array<float>", "done": "array<boolean>", "chosen": "array<long>"}
+    graph = cut_lineage(with_orphans(lists, beam // 3))
     state = step(queries.select("query", "cell", "q", F.col("start").alias("asked"), *[F.array().cast(t).alias(c) for c, t in none.items()]))
     ended = []
     while True:
@@ -319,7 +335,7 @@ def search(queries: DataFrame, lists: DataFrame, beam: int = 160, expand: int =
         going = state.filter(F.size("chosen") > 0)
         if going.isEmpty():
             break
-        hops = going.select("query", F.explode("chosen").alias("node")).join(lists.select("node", F.col("near").alias("next")), "node")
+        hops = going.select("query", F.explode("chosen").alias("node")).join(graph.select("node", F.col("near").alias("next")), "node")
         asked = hops.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("asked"))
         state = step(going.join(asked, "query", "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<long>"))))
     out = ended[0]
@@ -328,7 +344,7 @@ def search(queries: DataFrame, lists: DataFrame, beam: int = 160, expand: int =
     return out
 
 
-def nearest(vectors: DataFrame, wanted: Column, k: int = 20, beam: int = 160, expand: int = 64, graph_k: int = 48, trees: int = 3) -> DataFrame:
+def nearest(vectors: DataFrame, wanted: Column, k: int = 20, beam: int = 160, expand: int = 160, graph_k: int = 48, trees: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row of ``vectors`` (vec_id, embedding) that ``wanted`` picks by ``vec_id``."""
     nodes = vector_nodes(vectors, k + 1)
     if nodes.isEmpty():
