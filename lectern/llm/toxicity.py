@@ -25,7 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,35 +43,37 @@ def terms_of(word: str) -> list[str]:
     return [f"={word}"] + [f"<{word[:k]}" for k in range(3, min(8, n) + 1)] + [f">{word[-k:]}" for k in range(3, min(6, n) + 1)]
 
 
-@dataclass
 class Terms:
-    """Looks words up among the picked terms; what it found for a word is kept, up to a bound."""
+    """Looks words up among the picked terms.
 
-    number: dict[str, int]
-    most: int = 500_000
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    A word is looked at closely only if its first or last three letters, or all of it, begin, end
+    or are a picked term; what was found for such a word is kept, up to a bound.
+    """
+
+    def __init__(self, number: dict[str, int], most: int = 300_000):
+        self.number, self.most = number, most
+        self.begins = frozenset(t[1:4] for t in number if t[0] == "<")
+        self.ends = frozenset(t[-3:] for t in number if t[0] == ">")
+        self.whole = frozenset(t[1:] for t in number if t[0] == "=")
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        found = self.seen.get(word)
+        if found is None:
+            found = self.seen[word] = tuple(dict.fromkeys(self.number[t] for t in terms_of(word) if t in self.number))
+        return found
 
     def counts(self, text: str | None) -> dict[int, int]:
         """How often each picked term occurs in a text."""
-        words = LETTERS.findall((text or "").lower())
         if len(self.seen) > self.most:
             self.seen.clear()
-        seen, number, hits = self.seen, self.number, []
-        for w in set(words):
-            found = seen.get(w)
-            if found is None:
-                found = tuple(dict.fromkeys(number[t] for t in terms_of(w) if t in number))
-                seen[w] = found
-            if found:
-                hits.append(w)
+        words = LETTERS.findall((text or "").lower())
+        begins, ends, whole, of = self.begins, self.ends, self.whole, self.of
+        hits = {w for w in set(words) if (w[:3] in begins or w[-3:] in ends or w in whole) and of(w)}
         out: Counter[int] = Counter()
         if hits:
-            wanted, times = set(hits), Counter()
-            for w in words:
-                if w in wanted:
-                    times[w] += 1
-            for w, n in times.items():
-                for t in seen[w]:
+            for w, n in Counter(filter(hits.__contains__, words)).items():
+                for t in of(w):
                     out[t] += n
         return out
 
@@ -208,10 +210,15 @@ def term_counts(sample: DataFrame, among: dict[str, int] | None = None) -> DataF
     """In how many texts of each half of ``sample`` a term occurs; ``among`` leaves out all other terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if among is None else Terms(among)
+        names = list(among or ())
         for batch in batches_of(batches, 1024):
             total: Counter[tuple[str, int]] = Counter()
             for half, text in zip(batch.column("half").to_pylist(), batch.column("text").to_pylist()):
-                total.update({(t, half) for w in set(LETTERS.findall((text or "").lower())) for t in terms_of(w) if among is None or t in among})
+                if known is None:
+                    total.update({(t, half) for w in set(LETTERS.findall((text or "").lower())) for t in terms_of(w)})
+                else:
+                    total.update((names[t], half) for t in known.counts(text))
             columns = [pa.array([t for t, _ in total], pa.string()), pa.array([h for _, h in total], pa.int64()), pa.array(list(total.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "half", "n"])
 
@@ -266,7 +273,7 @@ def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[np.nd
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = 30_000) -> Model:
     """A model from ``labels`` (doc_id, toxic) of the learnable rows of ``docs`` (doc_id, text)."""
-    sample = cut_lineage(labelled_sample(docs, labels, learnable, sample_rows))
+    sample = labelled_sample(docs, labels, learnable, sample_rows)
     number = pick_terms(sample)
     frequency, rows = document_frequencies(docs, number) if number else (np.zeros(0), 0)
     idf = np.log((1 + rows) / (1 + frequency)) + 0.1
