@@ -5,22 +5,24 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
 #: Characters with Unicode's White_Space property, which the pre-tokenizer's \s matches.
 SPACE = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: A run of Latin letters ends a piece where certain punctuation or space follows, as it does for the pre-tokenizer.
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+CHUNK = re.compile(f"[{SPACE}]*(?:[{LATIN}]+(?=[{SPACE}.,|]|$)|[^{SPACE}]+)|[{SPACE}]+")
 AFTER_SPACE = re.compile(f"[{SPACE}][^<]*[^{SPACE}<]$")
 
 
 class Encoder:
     """Ids of texts, equal to encoding each whole text with the library.
 
-    Byte-level pre-tokenization never joins a character with white space after it, and looks
-    ahead but never back; so a text may be cut before each run of white space.  A distinct
-    piece is encoded once and kept.  At most ``most_pieces`` pieces of up to 64 characters are
+    Byte-level pre-tokenization never joins a character with white space after it, nor a letter
+    with punctuation after it, and looks ahead but never back; so a text may be cut before each
+    run of white space and behind a word.  A distinct piece is encoded once and kept.  At most ``most_pieces`` pieces of up to 64 characters are
     kept; others are encoded again for each batch that has them, so memory is bounded.
     """
 
@@ -30,9 +32,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_pieces = most_pieces
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
+        self.kept: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():  # a character of a byte-level token is a byte
@@ -45,55 +45,40 @@ class Encoder:
         ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1
         return ids, np.diff(ends, prepend=0)
 
-    def _learn(self, pieces: list[str]) -> None:
-        follow = [p for p in pieces if AFTER_SPACE.match(p)]
-        alone = [p for p in pieces if not AFTER_SPACE.match(p)]
-        found = []
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces as little-endian 32-bit numbers."""
+        follow: list[str] = []
+        alone: list[str] = []
+        for p in pieces:
+            (follow if AFTER_SPACE.match(p) else alone).append(p)
+        out: dict[str, bytes] = {}
         for at in range(0, len(follow), 4096):
-            found.append(self._ids(follow[at : at + 4096]))
+            some = follow[at : at + 4096]
+            ids, counts = self._ids(some)
+            data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            out.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends))))
         for at in range(0, len(alone), 4096):
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(alone[at : at + 4096], add_special_tokens=False)]
-            found.append((np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64)))
-        ids, lengths = (np.concatenate(x) for x in zip(*found))
-        n, top = len(self.place), self.start[len(self.place)]
-        self.place.update(zip(chain(follow, alone), range(n, n + len(pieces))))
-        while top + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(pieces) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.ids[top : top + len(ids)] = ids
-        self.start[n + 1 : n + 1 + len(pieces)] = top + np.cumsum(lengths)
+            some = alone[at : at + 4096]
+            out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+        return out
 
     def encode(self, texts: Sequence[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the offsets of the texts in them; ``end`` follows each text."""
+        last = b"" if end is None else np.array(end, "<u4").tobytes()
         cut = [CHUNK.findall(t) if t else [] for t in texts]
-        fresh = set(chain.from_iterable(cut)).difference(self.place)
-        passing: list[str] = []
-        if fresh:
-            room = max(0, self.most_pieces - len(self.place))
-            short = [p for p in fresh if len(p) <= 64][:room]
-            passing = list(fresh.difference(short))
-            if short:
-                self._learn(short)
-            if passing:
-                self._learn(passing)
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        used = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
-        begin = self.start[used]
-        length = self.start[used + 1] - begin
-        before = np.concatenate([[0], np.cumsum(length)])
-        ids = self.ids[np.repeat(begin - before[:-1], length) + np.arange(before[-1])]
-        offsets = before[np.concatenate([[0], np.cumsum(counts)])]
-        for p in passing:  # they were learned last
-            del self.place[p]
-        if end is None:
-            return ids, offsets
-        closed = np.empty(len(ids) + len(cut), np.uint32)
-        ends = offsets[1:] + np.arange(len(cut))
-        keep = np.ones(len(closed), bool)
-        keep[ends] = False
-        closed[keep], closed[ends] = ids, end
-        return closed, offsets + np.arange(len(offsets))
+        found = list(map(self.kept.get, chain.from_iterable(cut)))
+        if None in found:
+            flat = list(chain.from_iterable(cut))
+            new = [i for i, ids in enumerate(found) if ids is None]
+            learned = self._learn(list({flat[i] for i in new}))
+            for i in new:
+                found[i] = learned[flat[i]]
+            room = max(0, self.most_pieces - len(self.kept))
+            self.kept.update(islice(((p, ids) for p, ids in learned.items() if len(p) <= 64), room))
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))).tolist()
+        each = [b"".join(found[a:z]) + last for a, z in zip([0, *ends], ends)]
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))]) // 4
+        return np.frombuffer(b"".join(each), "<u4"), offsets
 
 
 _kept: dict[str, Encoder] = {}

@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 
 MAGIC = b"PFORIDS1"
-LENGTH = 256
+LENGTH = 1024
 
 
 def _widths(ids: np.ndarray, percentile: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
