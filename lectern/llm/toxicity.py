@@ -1,21 +1,23 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
-
-**Features.**  A term is a word (a run of letters, lower case), one of its beginnings of three to
-eight letters or one of its ends of three to six, so that unseen forms of a word share terms with
-seen ones.  Those terms are picked that occur in toxic texts of the labelled sample far more often
-than chance allows, in either half of it.
-**Examples.**  Labelled rows become TF-IDF vectors over those terms, with document frequencies
-over all rows.  Equal vectors are one entry with two counts, so ties cost nothing.
-**Search.**  Entries lie in blocks; each term knows its largest weight in every block.  Blocks are
-scored in the order of their bound and the search ends when no bound beats the k-th score: the
-result is that of the full scan.
-**Vote.**  Neighbours vote by nearness; a logistic curve fitted to the votes that examples get
-from the others turns votes into probabilities.  Texts without any picked term take the rate of
-such examples.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over inverted indexes.
+
+**Words.**  Labelled rows become TF-IDF vectors over all their words (runs of letters, lower case),
+with document frequencies over all rows.  Every text meets all examples: scores of the most
+frequent words are one matrix product a batch, those of the others sums over inverted lists.
+**Picked terms.**  A second vector has telling terms only: words, their beginnings of three to
+eight letters and their ends of three to six, so that unseen forms of a word share terms with seen
+ones.  Those are picked that occur in toxic texts of the labelled sample far more often than chance
+allows, in either half of it.  Equal vectors are one entry with two counts, so ties cost nothing.
+Entries lie in blocks; each term knows its largest weight in every block.  Blocks are scored in the
+order of their bound and the search ends when no bound beats the k-th score: the result is that of
+the full scan.
+**Vote.**  Neighbours by picked terms vote by nearness; a logistic curve fitted to the votes that
+examples get from the others turns votes into probabilities.  Texts without any picked term take
+the rate of such examples.  That probability is what the neighbours by all words start from: they
+count as examples by nearness, against a tenth of an example for the start.
 
 Only the sample is bounded (``sample_rows`` labelled rows with the smallest hash of the id, one of
-each group of near copies); document frequencies and scores cover all rows and whole texts.
-Null and empty texts have no terms.  Without any labelled row all scores are 0.  A row that is
+each class of the 0.8 shingle join and label); document frequencies and scores cover all rows and
+whole texts.  Words that no example has are no terms.  Null and empty texts have no terms.  Without any labelled row all scores are 0.  A row that is
 labelled twice counts as toxic if one label says so.  Rows without an id are scored, not learned.
 """
 
@@ -23,15 +25,18 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import similar_texts
 from lectern.llm.common import batches_of, cut_lineage, only, residue
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -43,6 +48,11 @@ def terms_of(word: str) -> list[str]:
     return [f"={word}"] + [f"<{word[:k]}" for k in range(3, min(8, n) + 1)] + [f">{word[-k:]}" for k in range(3, min(6, n) + 1)]
 
 
+def word_counts(text: str | None) -> dict[str, int]:
+    """How often each word occurs in a text."""
+    return Counter(LETTERS.findall((text or "").lower()))
+
+
 class Terms:
     """Looks words up among the picked terms.
 
@@ -65,14 +75,16 @@ class Terms:
 
     def counts(self, text: str | None) -> dict[int, int]:
         """How often each picked term occurs in a text."""
+        return self.among(word_counts(text))
+
+    def among(self, words: dict[str, int]) -> dict[int, int]:
+        """The same from the counts of a text's words."""
         if len(self.seen) > self.most:
             self.seen.clear()
-        words = LETTERS.findall((text or "").lower())
         begins, ends, whole, of = self.begins, self.ends, self.whole, self.of
-        hits = {w for w in set(words) if (w[:3] in begins or w[-3:] in ends or w in whole) and of(w)}
         out: Counter[int] = Counter()
-        if hits:
-            for w, n in Counter(filter(hits.__contains__, words)).items():
+        for w, n in words.items():
+            if w[:3] in begins or w[-3:] in ends or w in whole:
                 for t in of(w):
                     out[t] += n
         return out
@@ -121,6 +133,73 @@ class BlockMaxIndex:
         return [(-s, v) for s, v in best]
 
 
+def numbered(words: str) -> dict[str, int]:
+    """Numbers of words that are given as one text, which is far smaller to send."""
+    return {w: k for k, w in enumerate(words.split())}
+
+
+def word_numbers(counts: dict[str, int], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, ascending, and counts of the words that ``number`` has."""
+    found = sorted((t, n) for w, n in counts.items() if (t := number.get(w)) is not None)
+    return np.array([t for t, _ in found], np.int32), np.array([n for _, n in found], np.int32)
+
+
+def word_vector(term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The TF-IDF vector at length one."""
+    weight = np.log1p(n) * idf[term]
+    return term, weight / np.sqrt(weight @ weight) if len(term) else weight
+
+
+def packed(term: np.ndarray, n: np.ndarray) -> bytes:
+    """Numbers and counts of one text in few bytes."""
+    return zlib.compress(np.concatenate([np.diff(term, prepend=np.int32(0)), n]).astype("<i4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), "<i4")
+    return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
+
+
+class WordIndex:
+    """Exact nearest vectors by cosine, all of them scored; vectors lie one after another, cut at ``at``."""
+
+    def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, dense: int = 512):
+        self.n = len(at) - 1
+        where = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(at))
+        self.column = np.full(terms, -1, np.int32)
+        frequent = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:dense]
+        self.column[frequent] = np.arange(len(frequent))
+        column = self.column[term]
+        self.dense = np.zeros((len(frequent), self.n), np.float32)
+        self.dense[column[column >= 0], where[column >= 0]] = weight[column >= 0]
+        where, term, weight = where[column < 0], term[column < 0], weight[column < 0]
+        order = np.argsort(term, kind="stable")
+        self.where, self.weight = where[order], weight[order].astype(np.float32)
+        self.cut = np.searchsorted(term[order], np.arange(terms + 1))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Cosines and places of the k best of each query, ties to the smaller place."""
+        frequent = np.zeros((len(queries), len(self.dense)), np.float32)
+        for row, (term, weight) in zip(frequent, queries):
+            column = self.column[term]
+            row[column[column >= 0]] = weight[column >= 0]
+        out = []
+        for score, (term, weight) in zip(frequent @ self.dense, queries):
+            rare = self.column[term] < 0
+            begin, end = self.cut[term[rare]], self.cut[term[rare] + 1]
+            if len(begin):
+                lists = list(zip(begin.tolist(), end.tolist()))
+                where = np.concatenate([self.where[a:z] for a, z in lists])
+                each = np.concatenate([self.weight[a:z] for a, z in lists]) * np.repeat(weight[rare], end - begin)
+                score = score + np.bincount(where, each, minlength=self.n)
+            score = np.round(score.astype(float), 6)
+            least = max(np.partition(score, -k)[-k], 1e-6) if k < self.n else 1e-6
+            best = np.flatnonzero(score >= least)
+            best = best[np.argsort(-score[best], kind="stable")[:k]]
+            out.append((score[best], best))
+        return out
+
+
 @dataclass
 class Model:
     """Everything a score needs; its size is bounded by the sample."""
@@ -135,11 +214,17 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
     k: int = 16
+    words: str = ""
+    word_idf: np.ndarray | None = None
+    texts: list[bytes] | None = None
+    marks: np.ndarray | None = None
+    rows: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         self.index = BlockMaxIndex(self.vectors)
         self.terms = Terms(self.number)
         self.known: dict[tuple, tuple[float, list[int]]] = {}
+        self.read: dict[bytes, tuple[float, list[int]]] = {}
 
     def vote(self, query: tuple[tuple[int, float], ...], leave: int = 0) -> tuple[float, list[int]] | None:
         """Log odds of the neighbours' votes and the examples that voted; ``leave`` is one example taken out of its entry."""
@@ -155,8 +240,41 @@ class Model:
             return None
         return math.log((for_ + 0.1) / (against + 0.1)), [self.example[v] for _, v in near[:3]]
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        query = weighted(self.terms.counts(text), self.idf) if self.number else ()
+    @cached_property
+    def word_index(self) -> tuple[dict[str, int], WordIndex]:
+        """Made where it is first used, so that only words and counts are sent."""
+        found = [word_vector(*unpacked(x), self.word_idf) for x in self.texts]
+        at = np.concatenate([[0], np.cumsum([len(t) for t, _ in found])])
+        term, weight = (np.concatenate([f[k] for f in found], dtype=kind) for k, kind in ((0, np.int32), (1, np.float32)))
+        return numbered(self.words), WordIndex(at, term, weight, len(self.word_idf))
+
+    def scores(self, texts: list[str | None], step: int = 128) -> list[tuple[float, list[int]]]:
+        """Probability and evidence of each text; equal texts are scored once."""
+        import xxhash
+
+        if len(self.read) > 100_000:
+            self.read.clear()
+        keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        new = list({key: t for key, t in zip(keys, texts) if key not in self.read}.items())
+        for a in range(0, len(new), step):
+            counts = [word_counts(t) for _, t in new[a : a + step]]
+            found = [self.start(c) for c in counts]
+            if self.texts:
+                words, index = self.word_index
+                near = index.nearest([word_vector(*word_numbers(c, words), self.word_idf) for c in counts], self.k)
+                found = [self.moved(start, *n) for start, n in zip(found, near)]
+            self.read.update((key, x) for (key, _), x in zip(new[a : a + step], found))
+        return [self.read[key] for key in keys]
+
+    def moved(self, start: tuple[float, list[int]], cosines: np.ndarray, places: np.ndarray, mass: float = 0.1) -> tuple[float, list[int]]:
+        """The probability after the neighbours by all words have voted."""
+        weight = np.exp(-12 * (1 - cosines))
+        p = (weight @ self.marks[places] + mass * start[0]) / (weight.sum() + mass)
+        return min(1.0, float(p)), start[1] or self.rows[places[:3]].tolist()
+
+    def start(self, counts: dict[str, int]) -> tuple[float, list[int]]:
+        """Probability and evidence by picked terms alone."""
+        query = weighted(self.terms.among(counts), self.idf) if self.number else ()
         if not query:
             return self.none_rate, []
         if query not in self.known:
@@ -180,30 +298,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return max(float(a), 0.05), float(b)
 
 
-def _sketch(text: str | None) -> int:
-    """Equal for most near copies and seldom for other texts: the three smallest word hashes."""
-    import xxhash
-
-    hashes = sorted(xxhash.xxh3_64_intdigest(w) for w in set(LETTERS.findall((text or "").lower())))[:3]
-    return xxhash.xxh3_64_intdigest(repr(hashes)) - (1 << 63)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int) -> DataFrame:
     """(doc_id, text, toxic, half): at most ``sample_rows`` labelled rows, one of each group of near copies."""
     marks = only(labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()), doc_id="doc_id", toxic="toxic").filter(learnable)
     chosen = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("sketch", pa.array([_sketch(t) for t in batch.column("text").to_pylist()], pa.int64()))
-
-    # at most sample_rows rows of two numbers
+    # at most sample_rows rows of two numbers, here and below
     texts = only(docs.filter(F.col("text").isNotNull()), doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id")
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    mark = texts.schema["toxic"].dataType.simpleString()
-    rows = cut_lineage(texts.select("doc_id", "text", "toxic").mapInArrow(sketches, f"doc_id {kind}, text string, toxic {mark}, sketch long"))
-    first = rows.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    return rows.join(first, ["sketch", "toxic", "doc_id"]).dropDuplicates(["doc_id"]).withColumn("half", F.pmod(F.xxhash64("sketch"), F.lit(2)))
+    rows = cut_lineage(texts.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]))
+    classes = similar_texts.similarity_classes(rows).select(F.col("doc_id").alias("member"), F.col("class_id"))
+    named = rows.select("doc_id", "toxic").join(classes, F.col("doc_id").cast("long") == F.col("member"))
+    first = cut_lineage(named.groupBy("class_id", "toxic").agg(F.min("doc_id").alias("doc_id")).drop("toxic"))
+    return rows.join(F.broadcast(first), "doc_id").withColumn("half", F.pmod(F.xxhash64("class_id"), F.lit(2)))
 
 
 def term_counts(sample: DataFrame, among: dict[str, int] | None = None) -> DataFrame:
@@ -252,45 +358,73 @@ def pick_terms(sample: DataFrame, most: int = 4096, least: int = 4, at_least: fl
     return {t: k for k, t in enumerate(t for s, t in sorted(strong)[:most] if -s >= at_least)}
 
 
-def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many rows each picked term occurs, and the number of rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(number)
+def sample_words(sample: DataFrame) -> str:
+    """Every word of the sample, in order."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update(word_counts(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
+
+    found = sample.select("text").mapInArrow(distinct, "word string").distinct().toArrow().column("word").to_pylist()
+    return " ".join(sorted(found))
+
+
+def document_frequencies(docs: DataFrame, number: dict[str, int], words: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """In how many rows each picked term and each word occurs, and the number of rows."""
+    shared = docs.sparkSession.sparkContext.broadcast((number, words))
+    picked = len(number)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, total = Terms(shared.value), Counter()
+        number, words = shared.value
+        terms, total, of_words, get = Terms(number), Counter(), Counter(), numbered(words).get
         for batch in batches:
             total[-1] += batch.num_rows
             for text in batch.column("text").to_pylist():
-                total.update(terms.counts(text).keys())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+                counts = word_counts(text)
+                total.update(terms.among(counts).keys())
+                of_words.update(map(get, counts))
+        of_words.pop(None, None)
+        term = np.concatenate([np.fromiter(total, np.int32, len(total)), np.fromiter(of_words, np.int32, len(of_words)) + np.int32(picked)])
+        n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in (total, of_words)])
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a picked term
-    out = np.zeros(len(number) + 1)
-    for r in rows:
-        out[r.term] = r.n
-    return out[:-1], int(out[-1])
+    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    shared.unpersist()
+    out = np.zeros(picked + len(words.split()) + 1)
+    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    return out[:picked], out[picked:-1], int(out[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = 30_000) -> Model:
     """A model from ``labels`` (doc_id, toxic) of the learnable rows of ``docs`` (doc_id, text)."""
     sample = labelled_sample(docs, labels, learnable, sample_rows)
     number = pick_terms(sample)
-    frequency, rows = document_frequencies(docs, number) if number else (np.zeros(0), 0)
-    idf = np.log((1 + rows) / (1 + frequency)) + 0.1
+    words = sample_words(sample)
+    frequency, word_frequency, rows = document_frequencies(docs, number, words) if words else (np.zeros(0), np.zeros(0), 0)
+    idf, word_idf = (np.log((1 + rows) / (1 + f)) + 0.1 for f in (frequency, word_frequency))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(number)
-        for batch in batches:
-            found = [weighted(terms.counts(t), idf) for t in batch.column("text").to_pylist()]
+        terms, all_words = Terms(number), numbered(shared.value)
+        for batch in batches_of(batches, 1024):
+            counts = [word_counts(t) for t in batch.column("text").to_pylist()]
+            found = [weighted(terms.among(c), idf) for c in counts]
+            whole = [packed(*word_numbers(c, all_words)) for c in counts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int64()), pa.array([[t for t, _ in v] for v in found], pa.list_(pa.int32())),
-                 pa.array([[w for _, w in v] for v in found], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"],
+                 pa.array([[w for _, w in v] for v in found], pa.list_(pa.float64())), pa.array(whole, pa.binary())],
+                names=["doc_id", "toxic", "t", "w", "words"],
             )
 
-    kept = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic long, t array<int>, w array<double>").collect()
+    kind = "doc_id long, toxic long, t array<int>, w array<double>, words binary"
+    kept = sorted(sample.select("doc_id", "toxic", "text").mapInArrow(vectors, kind).collect(), key=lambda r: r.doc_id)
+    shared.unpersist()
     entries: dict[tuple, list[int]] = {}
     none = [0, 0]
-    for r in sorted(kept, key=lambda r: r.doc_id):
+    for r in kept:
         v = tuple(zip(r.t, r.w))
         if v:
             e = entries.setdefault(v, [0, 0, r.doc_id])
@@ -302,7 +436,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: in
         return Model(number, idf, [], np.zeros(0), np.zeros(0), [], 0.0)
     order = sorted(entries)  # vectors that share terms lie in the same blocks
     toxic, clean = (np.array([entries[v][k] for v in order], float) for k in (0, 1))
-    model = Model(number, idf, order, toxic, clean, [entries[v][2] for v in order], (none[0] + 0.1) / (sum(none) + 1))
+    model = Model(
+        number, idf, order, toxic, clean, [entries[v][2] for v in order], (none[0] + 0.1) / (sum(none) + 1), words=words, word_idf=word_idf,
+        texts=[bytes(r.words) for r in kept], marks=np.array([float(r.toxic > 0) for r in kept]), rows=np.array([r.doc_id for r in kept]),
+    )
     votes = [(voted[0], y, n) for v, vector in enumerate(order) for y, n in ((1, toxic[v]), (0, clean[v])) if n and (voted := model.vote(vector, (v + 1) * (1 if y else -1)))]
     if votes:
         x, y, n = (np.array(c, float) for c in zip(*votes))
@@ -316,7 +453,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1024):
-            found = [shared.value.score(t) for t in batch.column("text").to_pylist()]
+            found = shared.value.scores(batch.column("text").to_pylist())
             columns = [batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "evidence"])
 
@@ -332,7 +469,7 @@ def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1024):
-            scores = [shared.value.score(t)[0] for t in batch.column(at).to_pylist()]
+            scores = [s for s, _ in shared.value.scores(batch.column(at).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 
     kinds = [f.dataType.simpleString() for f in docs.schema]

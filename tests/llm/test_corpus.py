@@ -177,6 +177,29 @@ def test_toxicity_finds_unseen_forms(spark):
     assert toxicity.toxicity_rows(d.limit(0), marks).count() == 0
 
 
+def test_toxicity_knows_copies_of_rare_examples(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    rows = [(k, text(), int(k in (20, 40, 60))) for k in range(120)]  # too few toxic texts for any telling term
+    d = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(900 + k, rows[k][1] + " end") for k in (20, 40, 60, 7, 8)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.learn(d, marks, F.lit(True))
+    assert not model.number
+    got = {r.doc_id: r.score for r in toxicity.score_texts(d, model).filter("doc_id >= 900").collect()}
+    assert {k for k, s in got.items() if s >= 0.3} == {920, 940, 960}
+
+
+def test_word_index_equals_full_scan():
+    rng = np.random.default_rng(3)
+    full = rng.random((90, 40)) * (rng.random((90, 40)) < 0.2)
+    full /= np.linalg.norm(full, axis=1, keepdims=True).clip(1e-9)
+    place, term = np.nonzero(full)
+    index = toxicity.WordIndex(np.searchsorted(place, np.arange(91)), term, full[place, term], 40, dense=5)
+    for (cosines, found), v in zip(index.nearest([(np.flatnonzero(v), v[v > 0]) for v in full], 7), full):
+        want = np.round(full @ v, 5)
+        assert np.allclose(np.sort(cosines), np.sort(want)[-7:][-len(found) :], atol=1e-5) and np.allclose(cosines, want[found], atol=1e-5)
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, labels = toxic_corpus(spark)
     clean = [(k, f"the house of {t} and the garden in it", *r) for k, t, *r in docs]
