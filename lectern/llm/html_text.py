@@ -2,7 +2,10 @@
 
 Events of the standard library's streaming parser are turned into lines, one per block element.
 Lines inside elements that are never text (scripts, forms) or that say what they are (menus,
-headers, footers, sidebars, notices, adverts, reader comments) are set aside.  The ratio of
+headers, footers, sidebars, notices, adverts, reader comments) are set aside; a name or role on
+pages without an article or main element says so only of an element that holds at most half of the
+page's text without links, and reader comments and adverts also of larger ones unless nothing else
+is left.  The ratio of
 characters to tags of the other lines is smoothed with a Gaussian; lines above the standard
 deviation of the ratios form the content clusters.  The smallest element that holds most of the
 clustered text is the content region: if it is an article or main element all its lines are the
@@ -52,6 +55,7 @@ HEADS = re.compile("(?:header\\w*|head)$")
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 REGIONS = ("article", "main")
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
 
 @dataclass
@@ -78,6 +82,7 @@ class Reader(HTMLParser):
     lines: list[Line] = field(default_factory=list)
     tags_of: dict[int, str] = field(default_factory=dict)
     void_asides: set[int] = field(default_factory=set)
+    named: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -100,6 +105,11 @@ class Reader(HTMLParser):
             self.links -= e.tag == "a"
         del self.open[at:]
 
+    def _end_head(self) -> None:
+        """What cannot lie in a head ends it."""
+        if self.open and self.open[-1].tag == "head":
+            self._pop_to(len(self.open) - 1)
+
     def _last(self, tags: frozenset[str] | tuple[str, ...], stop: frozenset[str] | tuple[str, ...] = ()) -> int | None:
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at].tag in tags:
@@ -110,6 +120,8 @@ class Reader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in SPACED:
             self.text.append(" ")
         if tag in BLOCK:
@@ -138,6 +150,10 @@ class Reader(HTMLParser):
             words = [w.lower() for w in WORDS.findall(f"{marks.get('class', '')} {marks.get('id', '')}")]
             known = COMMENTS if tag in REGIONS else MARKS
             aside = any(known.match(w) or (not inside and tag not in REGIONS and HEADS.match(w)) for w in words)
+            if aside and tag not in OUTSIDE:
+                self.named[self.count] = any(COMMENTS.match(w) for w in words)
+        elif aside and tag not in OUTSIDE and tag != "header":
+            self.named[self.count] = False
         if tag in REGIONS and not aside:  # an element around an article is no menu, whatever its name
             self.void_asides.update(e.number for e in self.open if e.aside and e.tag not in OUTSIDE)
         self.open.append(Element(tag, self.count, drops, aside))
@@ -159,6 +175,8 @@ class Reader(HTMLParser):
             self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not self.dropping:
             self.text.append(data)
             if self.links:
@@ -167,7 +185,21 @@ class Reader(HTMLParser):
     def finish(self) -> list[Line]:
         self.close()
         self._end_line()
-        return [x for x in self.lines if not set(x.asides) - self.void_asides]
+        kept = [x for x in self.lines if not set(x.asides) - self.void_asides]
+        if any(self.tags_of[n] in REGIONS for x in kept for n in x.path):
+            return kept
+        plain = [x for x in self.lines if not set(x.asides) - self.void_asides - self.named.keys()]
+        weight: dict[int, int] = {}
+        for x in plain:
+            for number in x.asides:
+                weight[number] = weight.get(number, 0) + max(0, len(x.text) - x.linked)
+        half = sum(max(0, len(x.text) - x.linked) for x in plain) / 2
+        wrappers = {n for n, comments in self.named.items() if not comments and weight.get(n, 0) > half}
+        kept = [x for x in plain if not set(x.asides) - self.void_asides - wrappers]
+        if not kept:  # all there is
+            wrappers |= {n for n in self.named if weight.get(n, 0) > half}
+            kept = [x for x in plain if not set(x.asides) - self.void_asides - wrappers]
+        return kept
 
 
 def smoothed(values: list[float], radius: int = 2) -> list[float]:

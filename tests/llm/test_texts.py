@@ -193,5 +193,16 @@ def test_pages(spark):
     assert html_text.extract_pages(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["class='content with-sidebar'", "class=overflow-hidden", "class='widget Blog'", "id=search-result-text", "role=search"])
+def test_names_of_wrappers_drop_no_main_text(wrapper):
+    page = f"<body><div class=menu><a href=/>Home</a></div><div {wrapper}><p>Hello world, this is a long line of the text.</p><div class=sidebar><p>Aside.</p></div><p>And this is another long line of it.</p></div>"
+    assert html_text.main_text(page) == "Hello world, this is a long line of the text.\nAnd this is another long line of it."
+
+
+@pytest.mark.parametrize("end", ["<p>", "<div>", ""])
+def test_head_ends_without_a_tag(end):
+    assert html_text.main_text(f"<!doctype html><head><meta charset=utf-8><title>T</title><style>p{{}}</style>\n{end}All of the text.") == "All of the text."
+
+
 def test_smoothing_keeps_a_constant():
     assert html_text.smoothed([2.0] * 7) == pytest.approx([2.0] * 7)
