@@ -5,11 +5,11 @@ Lines inside elements that are never text (scripts, forms) or that say what they
 headers, footers, sidebars, notices, adverts, reader comments) are set aside; a name or role on
 pages without an article or main element says so only of an element that holds at most half of the
 page's text without links, and reader comments and adverts also of larger ones unless nothing else
-is left.  The ratio of
-characters to tags of the other lines is smoothed with a Gaussian; lines above the standard
-deviation of the ratios form the content clusters.  The smallest element that holds most of the
-clustered text is the content region: if it is an article or main element all its lines are the
-text, otherwise those between its first and last clustered line that are not mostly links.
+is left.  The ratio of characters to tags of the other lines is smoothed with a Gaussian; lines above
+the standard deviation of the ratios form the content clusters.  The smallest element that holds
+most of the clustered text is the content region and all its lines are the text; unless it is an
+article or main element, link lists are left out (successive lines, at least half of them links,
+with three links or more) and headings right before it are added.
 
 Null and empty pages give an empty text.  Broken markup is read as browsers do: unknown end tags
 are ignored, a new block closes an open paragraph, what is never closed ends with the page.
@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,6 +66,7 @@ class Line:
     linked: int
     path: tuple[int, ...]
     asides: tuple[int, ...]
+    links: int = 0
 
 
 @dataclass
@@ -87,16 +89,16 @@ class Reader(HTMLParser):
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[Element] = []
-        self.count = self.dropping = self.tags = self.linked = self.links = 0
+        self.count = self.dropping = self.tags = self.linked = self.links = self.anchors = 0
         self.text: list[str] = []
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             path = tuple(e.number for e in self.open if e.tag in BLOCK)
-            self.lines.append(Line(text, self.tags, self.linked, path, tuple(e.number for e in self.open if e.aside)))
+            self.lines.append(Line(text, self.tags, self.linked, path, tuple(e.number for e in self.open if e.aside), self.anchors))
         if text or not self.text:
-            self.tags = self.linked = 0
+            self.tags = self.linked = self.anchors = 0
         self.text = []
 
     def _pop_to(self, at: int) -> None:
@@ -160,6 +162,7 @@ class Reader(HTMLParser):
         self.tags_of[self.count] = tag
         self.dropping += drops
         self.links += tag == "a"
+        self.anchors += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML but void elements
@@ -232,12 +235,23 @@ def content_lines(lines: list[Line], tags_of: dict[int, str], share: float = 0.6
         return [x for x in lines if region in x.path]
     wide = [n for n in holds if tags_of[n] not in ("p", "li", "blockquote", "pre")]
     region = max(wide, default=None)
-    at = [i for i, x in enumerate(lines) if cluster[i] and (region is None or region in x.path)]
-    first, last = at[0], at[-1]
+    inside = [region is None or region in x.path for x in lines]
+    first = inside.index(True)
     heading = {"h1", "h2", "h3"}
     while first and tags_of.get(lines[first - 1].path[-1] if lines[first - 1].path else 0) in heading:
         first -= 1
-    return [x for x in lines[first : last + 1] if 2 * x.linked <= len(x.text)]
+        inside[first] = True
+    return without_link_lists([x for x, kept in zip(lines, inside) if kept])
+
+
+def without_link_lists(lines: list[Line], least: int = 3) -> list[Line]:
+    """The lines but for runs of lines that are mostly links, with ``least`` links or more."""
+    out: list[Line] = []
+    for listed, run in groupby(lines, lambda x: 2 * x.linked > len(x.text)):
+        found = list(run)
+        if not listed or sum(x.links for x in found) < least:
+            out += found
+    return out
 
 
 def main_text(html: str | None) -> str:

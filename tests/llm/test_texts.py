@@ -204,5 +204,14 @@ def test_head_ends_without_a_tag(end):
     assert html_text.main_text(f"<!doctype html><head><meta charset=utf-8><title>T</title><style>p{{}}</style>\n{end}All of the text.") == "All of the text."
 
 
+def test_short_and_linked_parts_of_the_region_stay():
+    lengths = (9, 10, 100, 120, 110, 10, 12, 11, 9, 10)
+    text = [("word%d " % k * 30)[:n].strip() for k, n in enumerate(lengths)]
+    text.insert(4, "<a href=/>a source of this text</a>")
+    menu = "".join(f"<li><a href=/{k}>Item {k}</a>" for k in range(5))
+    page = f"<body><ul>{menu}</ul><div class=text>{''.join(f'<p>{t}</p>' for t in text)}</div><div><a href=/>One</a> <a href=/>Two</a> <a href=/>Three</a></div>"
+    assert html_text.main_text(page).split("\n") == [re.sub("<[^>]*>", "", t) for t in text]
+
+
 def test_smoothing_keeps_a_constant():
     assert html_text.smoothed([2.0] * 7) == pytest.approx([2.0] * 7)
