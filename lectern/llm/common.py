@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.lineage import cut_lineage, run_folder
 
-__all__ = ["cut_lineage", "run_folder", "fresh_folder", "table", "residue", "WORD", "only", "batches_of", "groups_in_order", "file_path"]
+__all__ = ["cut_lineage", "run_folder", "fresh_folder", "table", "residue", "WORD", "only", "batches_of", "groups_in_order", "file_path", "join_hot"]
 
 #: A word of a text: everything but space and the controls from tab to carriage return.
 WORD = "[^ \t-\r]+"
@@ -81,3 +81,20 @@ def groups_in_order(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Itera
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """Left join of ``rows`` with ``facts`` on ``key`` (nulls equal each other) that no frequent key can hold up.
+
+    ``facts`` has each key once, with ``n``, the number of rows that have it; ``total`` is the number of
+    rows.  Keys of more than ``1 / share`` of the rows number fewer than ``share``, so their facts are
+    broadcast whatever the tables' size; the others have few rows each and are shuffled.
+    """
+    names = [c for c in facts.columns if c not in (key, "n")]
+    frequent = F.col("n") * share > total
+    hot = facts.filter(frequent).select(F.col(key).alias("_k"), *names, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), rows[key].eqNullSafe(hot["_k"]), "left")
+    cold = facts.filter(~frequent).select(F.col(key).alias("_k"), *names)
+    rest = marked.filter("_hot IS NULL").select(*rows.columns)
+    rest = rest.join(cold, rest[key].eqNullSafe(cold["_k"]), "left").select(*rows.columns, *names)
+    return marked.filter("_hot").select(*rows.columns, *names).unionByName(rest)

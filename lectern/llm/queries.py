@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import html_text, id_files, language, neighbours, packing, pieces, pitman_yor, quality, similar_texts, toxicity
+from lectern.llm import html_text, id_files, language, neighbours, packing, pieces, pitman_yor, quality, similar_texts, toxicity, url_rules
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,11 @@ def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_rows(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.given_rules(spark))
+
+
+SQL["op13_url_filter"] = url_rules.rules_sql()
