@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import html_text, id_files, language, neighbours, packing, pieces, pitman_yor, quality, similar_texts, toxicity, url_rules
+from lectern.llm import html_text, id_files, language, neighbours, packing, pieces, pitman_yor, quality, similar_texts, toxicity, url_rules, vector_codes
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,11 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op13_url_filter"] = url_rules.rules_sql()
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_rows(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_vector_codes"] = vector_codes.codes_sql()
