@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import html_text, id_files, language, neighbours, packing, pieces, pitman_yor, quality, similar_texts, toxicity, url_rules, vector_codes
+from lectern.llm import html_text, id_files, language, neighbours, packing, pieces, pitman_yor, prefix_trie, quality, similar_texts, toxicity, url_rules, vector_codes
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_vector_codes"] = vector_codes.codes_sql()
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_rows(table(spark, sf_dir, "conversations"))
+
+
+SQL["op11_prefix_trie"] = prefix_trie.trie_sql()
