@@ -188,8 +188,8 @@ CONTEXT_SEPARATOR = "\n\n---\n\n"
 
 # --- read-only SQL ------------------------------------------------------------------------
 BLOCKED_SQL_WORDS = (
-    "alter", "attach", "create", "delete", "detach", "drop", "insert", "merge",
-    "pragma", "reindex", "replace", "update", "vacuum",
+    "drop", "delete", "insert", "update", "alter", "create", "attach",
+    "detach", "pragma", "replace", "merge", "vacuum", "reindex",
 )
 SQL_ERROR_EMPTY = "Empty query."
 SQL_ERROR_MULTI = "Multi-statement queries (';') are not allowed."

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
 from lectern.config import DEFAULT
 from lectern.functions.text import let, strip
+from lectern.plans import dialect
 
 TABLE_SCHEMA_TEXT = """Tables:
 1. analytics(dop STRING, gi_type STRING, wine_type STRING, parameter STRING, value DOUBLE, unit STRING, relation STRING)
@@ -24,8 +23,10 @@ TABLE_SCHEMA_TEXT = """Tables:
 """
 
 _INHERITED = (
-    "spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.ansi.enabled",
+    "spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled",
 )
+#: A division by zero is NULL; files are no tables.
+_FIXED = {"spark.sql.ansi.enabled": "false", "spark.sql.parser.escapedStringLiterals": "false", "spark.sql.runSQLOnFiles": "false"}
 
 
 def statement_body(query: Column) -> Column:
@@ -51,19 +52,13 @@ def guard(query: Column) -> Column:
     return F.when(empty, F.lit(V.SQL_ERROR_EMPTY)).otherwise(let(statement_body(query), verdict))
 
 
-def case_insensitive_like(query: str) -> str:
-    """LIKE compares without regard to case here; text in quotes is left alone."""
-    return re.sub(
-        r"('(?:[^']|'')*'|\"[^\"]*\")|\blike\b", lambda m: m.group(1) or "ILIKE", query, flags=re.IGNORECASE
-    )
-
-
 def reader_session(spark: SparkSession, views: dict[str, DataFrame]) -> SparkSession:
-    """A session that knows the given views only and cannot query files by path."""
+    """A session for statements over the given views; files are no tables in it, and ``select`` refuses all other relations."""
     session = spark.newSession()
     for key in _INHERITED:
         session.conf.set(key, spark.conf.get(key))
-    session.conf.set("spark.sql.runSQLOnFiles", "false")
+    for key, setting in _FIXED.items():
+        session.conf.set(key, setting)
     for name, df in views.items():
         # same logical plan, bound to the reader session
         moved = session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.logicalPlan())
@@ -73,9 +68,9 @@ def reader_session(spark: SparkSession, views: dict[str, DataFrame]) -> SparkSes
 
 #: Nodes of an analysed plan that only read and combine the given views.
 ALLOWED_NODES = frozenset(
-    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Tail Join SubqueryAlias View LogicalRDD LogicalRelation LocalRelation "
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Tail Join SubqueryAlias View LocalRelation "
     "OneRowRelation Distinct Deduplicate Union Intersect Except Window WithCTE CTERelationDef CTERelationRef Expand Pivot Unpivot "
-    "LateralJoin ResolvedHint UnresolvedHint Range Generate DataSourceV2Relation".split()
+    "LateralJoin ResolvedHint UnresolvedHint Range Generate".split()
 )
 #: Expressions that run code, read files or look at the machine; all others of the engine's own packages compute on rows.
 REFUSED_EXPRESSIONS = frozenset(
@@ -106,8 +101,11 @@ def foreign_parts(result: DataFrame) -> list[str]:
         name = plan.getClass().getSimpleName()
         if name not in ALLOWED_NODES:
             found.add(name)
-        if name in ("View", "LogicalRDD", "LogicalRelation", "LocalRelation"):
-            return  # what the caller made a view of is the caller's
+        if name == "View":
+            # views of this session are the caller's; those shared by sessions or kept in a catalogue have a database
+            if not plan.isTempView() or plan.desc().identifier().database().isDefined():
+                found.add(plan.desc().identifier().unquotedString())
+            return
         for e in each(plan.expressions()):
             expression(e)
         for child in each(plan.children()):
@@ -122,18 +120,20 @@ def check(spark: SparkSession, query: str) -> str | None:
 
 
 def select(session: SparkSession, query: str, max_rows: int | None = DEFAULT.sql_rows) -> DataFrame:
-    """Result of an accepted statement, at most ``max_rows`` rows; ValueError when refused."""
+    """Result of an accepted statement (see ``dialect``), at most ``max_rows`` rows; ValueError when refused."""
     error = check(session, query)
     if error is not None:
         raise ValueError(error)
     body = query.strip()
     body = body[:-1] if body.endswith(";") else body
-    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(case_insensitive_like(body))
+    columns = {c.lower() for t in session.catalog.listTables() if t.isTemporary and not t.namespace for c in session.table(t.name).columns}
+    text = dialect.reworded(body, columns)
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
     writing = session._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
     command = session._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
     if writing.isInstance(plan) or command.isInstance(plan):
         raise ValueError(V.SQL_ERROR_NOT_SELECT)
-    result = session.sql(case_insensitive_like(body))
+    result = session.sql(dialect.spark_sql(session, text))
     refused = foreign_parts(result)
     if refused:
         raise ValueError(V.SQL_ERROR_WORDS + ", ".join(refused) + ".")

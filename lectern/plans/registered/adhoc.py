@@ -79,3 +79,63 @@ def _register(name: str, tables: tuple[str, ...], statement: str) -> None:
 
 for _name, (_tables, _statement) in STATEMENTS.items():
     _register(_name, _tables, " ".join(_statement.split()))
+
+#: What the tool's dialect adds: the statement as users write it, and the same in the other engine's words.
+DIALECT: dict[str, tuple[tuple[str, ...], str, str]] = {
+    "sql_integer_division": (("lineitem",), """
+        SELECT l_suppkey / 10 AS g, count(*) / 3 AS third, sum(l_linenumber) / count(*) AS line, sum(l_linenumber) / count(*) / 2 AS half,
+               round(sum(l_quantity) / 7, 4) AS qty, 7 / 2 * 1.5 AS c, max(l_linenumber) / 0 AS none FROM lineitem WHERE l_orderkey / 2 > 3 GROUP BY l_suppkey / 10
+        ORDER BY g LIMIT 50""", """
+        SELECT l_suppkey // 10 AS g, count(*) // 3 AS third, CAST(sum(l_linenumber) // count(*) AS BIGINT) AS line, CAST(sum(l_linenumber) // count(*) // 2 AS BIGINT) AS half,
+               round(sum(l_quantity) / 7, 4) AS qty, 4.5::DOUBLE AS c, NULL::BIGINT AS none FROM lineitem WHERE l_orderkey // 2 > 3 GROUP BY l_suppkey // 10
+        ORDER BY g LIMIT 50"""),
+    "sql_group_concat": (("nation", "region"), """
+        SELECT "r_name", group_concat(n_name) AS names, group_concat(DISTINCT substr(n_name, 1, 1)) AS letters, group_concat(n_nationkey / 2, ' + ') AS halves
+        FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""", """
+        SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS names, string_agg(DISTINCT substr(n_name, 1, 1), ',' ORDER BY substr(n_name, 1, 1)) AS letters,
+               string_agg(CAST(n_nationkey // 2 AS VARCHAR), ' + ' ORDER BY CAST(n_nationkey // 2 AS VARCHAR)) AS halves
+        FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"""),
+    "sql_total": (("supplier",), """
+        SELECT s_nationkey, round(total(s_acctbal), 2) AS t, total(CASE WHEN s_acctbal > 99999 THEN s_acctbal END) AS none, total(s_suppkey) / 2 AS half,
+               total(DISTINCT s_nationkey) AS one FROM supplier GROUP BY s_nationkey HAVING total(s_suppkey) > 5 / 2""", """
+        SELECT s_nationkey, round(sum(s_acctbal), 2) AS t, 0.0::DOUBLE AS none, sum(s_suppkey)::DOUBLE / 2 AS half,
+               s_nationkey::DOUBLE AS one FROM supplier GROUP BY s_nationkey HAVING sum(s_suppkey) > 2"""),
+    "sql_glob": (("part",), "SELECT p_type, count(*) AS n FROM part WHERE p_name GLOB '*[a-m]?' AND p_brand NOT GLOB '*#1[123]' GROUP BY p_type", """
+        SELECT p_type, count(*) AS n FROM part WHERE p_name GLOB '*[a-m]?' AND NOT p_brand GLOB '*#1[123]' GROUP BY p_type"""),
+    "sql_scalar_min_max": (("customer", "orders"), """
+        SELECT c_mktsegment, max(min(c_acctbal, 500, c_custkey)) AS low, min(max(c_nationkey, 3)) AS high, count(max(c_custkey, o_orderkey)) AS n_both
+        FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment""", """
+        SELECT c_mktsegment, max(least(c_acctbal, 500, c_custkey)) AS low, min(greatest(c_nationkey, 3)) AS high, count(CASE WHEN o_orderkey IS NOT NULL THEN 1 END) AS n_both
+        FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment"""),
+    "sql_text_numbers": (("orders",), """
+        SELECT o_orderpriority, CAST(o_orderpriority AS INTEGER) AS rank, CAST(o_orderstatus AS REAL) AS none, CAST(o_orderpriority AS INTEGER) / 2 AS half,
+               CAST(count(*) AS TEXT) || '.' AS n, CAST(substr(o_orderpriority, 1, 1) || '.5e1x' AS REAL) AS r FROM orders GROUP BY o_orderpriority, CAST(o_orderstatus AS REAL)""", """
+        SELECT o_orderpriority, CAST(coalesce(nullif(regexp_extract(o_orderpriority, '^[0-9]+'), ''), '0') AS BIGINT) AS rank, 0.0::DOUBLE AS none,
+               CAST(coalesce(nullif(regexp_extract(o_orderpriority, '^[0-9]+'), ''), '0') AS BIGINT) // 2 AS half, CAST(count(*) AS VARCHAR) || '.' AS n,
+               coalesce(try_cast(substr(o_orderpriority, 1, 1) || '.5e1' AS DOUBLE), 0.0) AS r FROM orders GROUP BY o_orderpriority"""),
+    "sql_right_join": (("supplier", "nation"), *["""
+        SELECT n_name, count(s_suppkey) AS n_suppliers FROM supplier RIGHT JOIN nation ON n_nationkey = s_nationkey AND s_acctbal < 1000 GROUP BY n_name"""] * 2),
+    "sql_cross_join": (("region",), *["""
+        SELECT a.r_name AS one, b.r_name AS two FROM region a CROSS JOIN region b WHERE a.r_regionkey <> b.r_regionkey ORDER BY one, two LIMIT 50"""] * 2),
+    "sql_natural_join": (("customer", "supplier"), *["""
+        SELECT nation_key, n_customers, n_suppliers FROM (SELECT c_nationkey AS nation_key, count(*) AS n_customers FROM customer GROUP BY c_nationkey) a
+        NATURAL JOIN (SELECT s_nationkey AS nation_key, count(*) AS n_suppliers FROM supplier GROUP BY s_nationkey) b"""] * 2),
+    "sql_row_limit": (("customer",), "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal, c_custkey", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 50"),
+}
+
+
+def _register_dialect(name: str, tables: tuple[str, ...], statement: str, sql: str) -> None:
+    @register(name, sql)
+    def run(spark, sf_dir):
+        return readonly_sql.select(readonly_sql.reader_session(spark, {t: table(spark, sf_dir, t) for t in tables}), statement)
+
+
+for _name, (_tables, _statement, _sql) in DIALECT.items():
+    _register_dialect(_name, _tables, *(" ".join(x.split()) for x in (_statement, _sql)))
+
+
+@register("sql_no_row_limit", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+def sql_no_row_limit(spark, sf_dir):
+    """The row limit is an argument; without it the tool returns every row."""
+    session = readonly_sql.reader_session(spark, {"customer": table(spark, sf_dir, "customer")})
+    return readonly_sql.select(session, "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0", max_rows=None)

@@ -219,10 +219,6 @@ def test_guard(spark, query, error):
     assert readonly_sql.check(spark, query) == error
 
 
-def test_like_rewrite():
-    assert readonly_sql.case_insensitive_like("a like 'x like y' AND b LIKE \"like\"") == "a ILIKE 'x like y' AND b ILIKE \"like\""
-
-
 class Failing:
     dim = 4
 
