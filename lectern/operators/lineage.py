@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from functools import lru_cache
@@ -38,6 +39,14 @@ def run_folder(spark: SparkSession) -> str:
     return path
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers on this machine find the package from any folder; a cluster ships it."""
+    root, environment = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the run's shared folder and go on from there.
 

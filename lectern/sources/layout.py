@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Session setting: how many pieces small inputs with costly rows are dealt over; unset: those of the scan.
+SETTING = "spark.lectern.inputPartitions"
+
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Deal the rows over ``partitions``; None leaves the scan's own pieces alone, whatever their number.
+    """Deal the rows over ``partitions``, else over as many as the session's setting says, before they are worked on.
 
-    Only a user knows that an input is small and its rows are costly; nothing is counted here.
+    Only a user knows that an input is small and its rows are costly (a file of one row group is one
+    task); nothing is counted here, and without either the scan's own pieces stay.
     """
-    return df if partitions is None else df.repartition(partitions)
+    wanted = partitions or int(df.sparkSession.conf.get(SETTING, "0"))
+    return df.repartition(wanted) if wanted else df

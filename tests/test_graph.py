@@ -154,11 +154,34 @@ def test_lexicon(spark):
     assert {tuple(r) for r in matching.lexicon_mentions(texts, "id", "t", known).collect()} == want
 
 
-def test_names_of_every_length_class(spark):
-    texts = spark.createDataFrame([(1, "abcdefghijklmnop qrst"), (2, "abcdefgh"), (3, "abcd"), (4, "abc")], "id int, t string")
-    names_ = spark.createDataFrame([("abcd",), ("abcdefgh",), ("abcdefghijkl",), ("bcdefghijklmnop",), ("abc",), ("qrst",), ("zzzz",)], "n string")
-    want = {(i, n) for i, t in ((1, "abcdefghijklmnop qrst"), (2, "abcdefgh"), (3, "abcd")) for (n,) in names_.collect() if len(n) > 3 and n in t}
-    assert {tuple(r) for r in matching.contained_names(texts, "id", "t", names_, "n").collect()} == want
+def test_contained_names_equal_every_comparison(spark):
+    import random
+
+    random.seed(7)
+    draw = lambda n: "".join(random.choice("abé€ ") for _ in range(n))
+    texts = [(k, "x", draw(random.randint(0, 60))) for k in range(80)] + [(90, "y", None), (91, "y", ""), (92, "z", "abé€ " * 4000), (92, "z", "ab"), (None, "n", "abab")]
+    names = {draw(random.randint(1, 12)) for _ in range(120)} | {"a", "€", "é€", "", "ab" * 40, "ab", "zz", "zzzzz"}
+    want = {(i, s, n) for i, s, t in texts for n in names if t and n and n in t}
+    df = spark.createDataFrame(texts, "id int, piece string, t string").repartition(4)
+    lexicon = spark.createDataFrame([(n,) for n in names] + [(None,), ("ab",)], "n string")
+    got = matching.contained_names(df, ["id", "piece"], "t", lexicon, "n").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    got = {tuple(r) for r in matching.contained_names(df, ["id", "piece"], "t", lexicon, "n", least=4).collect()}
+    assert got == {w for w in want if len(w[2]) >= 4}
+    assert matching.contained_names(df.limit(0), ["id"], "t", lexicon, "n").count() == 0 == matching.contained_names(df, ["id"], "t", lexicon.limit(0), "n").count()
+
+
+def test_names_are_keyed_by_rare_pieces_and_texts_stay(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, "common words everywhere " + ("rarely" if k == 7 else "")) for k in range(60)], "id int, t string")
+    lexicon = spark.createDataFrame([("words everywhere rarely",), ("common words nowhere",)], "n string")
+    found = matching.contained_names(texts, ["id"], "t", lexicon, "n")
+    assert [tuple(r) for r in found.collect()] == [(7, "words everywhere rarely")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_text_before" in plan and "t#" not in plan.split("Exchange")[0]
+    sent = []
+    monkeypatch.setattr(matching, "cut_lineage", lambda df, cut=matching.cut_lineage: sent.append(cut(df)) or sent[-1])
+    matching.contained_names(texts, ["id"], "t", lexicon, "n")
+    assert [r["_name"] for r in sent[1].collect()] == ["words everywhere rarely"]  # a piece that no text has rules the other out
 
 
 def test_short_entities_meet_nodes(spark):
