@@ -3,21 +3,21 @@
 Each stage is (name, function of (spark, docs, sf_dir)); it works on all rows that the stage before
 kept.  All but the last return the columns of ``documents``; the last returns the packed pieces.
 
-A document is named by ``doc_id``.  Toxicity and quality judge row by row, so rows without an id or
-with a repeated one are judged like any other; of rows that repeat an id, the near-duplicate stage
-keeps one, and it keeps all rows without an id.  Empty inputs give empty outputs.  Further columns of
-``documents`` travel along as they are.
+Every row is a document, also one without an id or with another's: rows are judged one by one, and near
+copies are found among rows.  Of a group of near copies the row with the smallest id stays (without one
+only if none has an id).  Empty inputs give empty outputs.  Further columns of ``documents`` travel along as they are,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import packing, quality, similar_texts, toxicity
-from lectern.llm.common import residue, run_folder, table
+from lectern.llm.common import cut_lineage, residue, run_folder, table
 
 #: No SQL: the toxicity scores and the token ids of the packing are beyond it.
 ORACLE_SQL = None
@@ -26,8 +26,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score, learned from three folds of four of the labels, is below 0.3."""
     fold = residue("doc_id", 4)
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), (fold != 2) & (fold != -1))
-    return toxicity.with_scores(docs, model, "_score").filter("_score < 0.3").drop("_score")
+    model, _ = toxicity.learn(docs, table(spark, sf_dir, "labels"), (fold != 2) & (fold != -1))
+    return toxicity.rows_below(docs, model, 0.3)
 
 
 def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,14 @@ def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    classes = similar_texts.similarity_classes(docs)
-    stay = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(stay.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn("_first_of_id", F.row_number().over(first)).filter("_first_of_id = 1").drop("_first_of_id")
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """The row with the smallest id of each group of near duplicates; rows are told apart by number, not by id."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = cut_lineage(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    classes = similar_texts.similarity_classes(rows.select(F.col("row").alias("doc_id"), text.alias("text")))
+    classes = classes.select(F.col("doc_id").alias("row"), "class_id").join(rows.select("row", doc_id.alias("id")), "row")
+    stay = classes.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select("first.row")
+    return rows.join(stay.hint("merge"), "row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

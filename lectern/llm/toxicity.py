@@ -1,8 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over inverted indexes.
 
 **Words.**  Labelled rows become TF-IDF vectors over all their words (runs of letters, lower case),
-with document frequencies over all rows.  Every text meets all examples: scores of the most
-frequent words are one matrix product a batch, those of the others sums over inverted lists.
+with document frequencies over all rows.  A text's neighbours are the ``k`` nearest of all examples whose
+cosine is at least ``NEAR``; farther ones would have less than a fortieth of a copy's vote and have none.
+Examples lie in blocks, and each word lists the blocks that hold it with its largest weight there.  The
+heaviest words of a text, down to where the others together have a length below ``REST``, give every block a bound:
+what these words can add there, plus ``REST``.  Blocks whose bound reaches ``NEAR`` and the k-th cosine so far are
+scored whole.  That bound holds for every example, so the neighbours are those of a full scan.
 **Picked terms.**  A second vector has telling terms only: words, their beginnings of three to
 eight letters and their ends of three to six, so that unseen forms of a word share terms with seen
 ones.  Those are picked that occur in toxic texts of the labelled sample far more often than chance
@@ -18,7 +22,8 @@ count as examples by nearness, against a tenth of an example for the start.
 Only the sample is bounded (``sample_rows`` labelled rows with the smallest hash of the id, one of
 each class of the 0.8 shingle join and label); document frequencies and scores cover all rows and
 whole texts.  Words that no example has are no terms.  Null and empty texts have no terms.  Without any labelled row all scores are 0.  A row that is
-labelled twice counts as toxic if one label says so.  Rows without an id are scored, not learned.
+labelled twice counts as toxic if one label says so.  Rows without an id are scored, not learned.  Of rows that repeat an id the smallest
+text is learned.
 """
 
 from __future__ import annotations
@@ -160,44 +165,65 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
 
 
+#: Cosine from which an example has a vote, and the length below which a text's lighter words are only bounded.
+NEAR, REST = 0.7, 0.45
+
+
+def read_text(terms: Terms, words: dict[str, int], text: str | None) -> tuple[bytes, bytes]:
+    """Known words and picked terms of a text, packed."""
+    counts = word_counts(text)
+    picked = sorted(terms.among(counts).items())
+    return packed(*word_numbers(counts, words)), packed(np.array([t for t, _ in picked], np.int32), np.array([n for _, n in picked], np.int32))
+
+
 class WordIndex:
-    """Exact nearest vectors by cosine, all of them scored; vectors lie one after another, cut at ``at``."""
-
-    def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, dense: int = 512):
-        self.n = len(at) - 1
-        where = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(at))
-        self.column = np.full(terms, -1, np.int32)
-        frequent = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:dense]
-        self.column[frequent] = np.arange(len(frequent))
-        column = self.column[term]
-        self.dense = np.zeros((len(frequent), self.n), np.float32)
-        self.dense[column[column >= 0], where[column >= 0]] = weight[column >= 0]
-        where, term, weight = where[column < 0], term[column < 0], weight[column < 0]
-        order = np.argsort(term, kind="stable")
-        self.where, self.weight = where[order], weight[order].astype(np.float32)
-        self.cut = np.searchsorted(term[order], np.arange(terms + 1))
-
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Cosines and places of the k best of each query, ties to the smaller place."""
-        frequent = np.zeros((len(queries), len(self.dense)), np.float32)
-        for row, (term, weight) in zip(frequent, queries):
-            column = self.column[term]
-            row[column[column >= 0]] = weight[column >= 0]
-        out = []
-        for score, (term, weight) in zip(frequent @ self.dense, queries):
-            rare = self.column[term] < 0
-            begin, end = self.cut[term[rare]], self.cut[term[rare] + 1]
-            if len(begin):
-                lists = list(zip(begin.tolist(), end.tolist()))
-                where = np.concatenate([self.where[a:z] for a, z in lists])
-                each = np.concatenate([self.weight[a:z] for a, z in lists]) * np.repeat(weight[rare], end - begin)
-                score = score + np.bincount(where, each, minlength=self.n)
-            score = np.round(score.astype(float), 6)
-            least = max(np.partition(score, -k)[-k], 1e-6) if k < self.n else 1e-6
-            best = np.flatnonzero(score >= least)
-            best = best[np.argsort(-score[best], kind="stable")[:k]]
-            out.append((score[best], best))
-        return out
+    """Exact nearest vectors of a cosine of at least ``near``; vectors lie one after another, cut at ``at``."""
+
+    def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, block: int = 16, near: float = NEAR, rest: float = REST):
+        self.n, self.block, self.near, self.rest = len(at) - 1, block, near, rest
+        self.at, self.term, self.weight = at, term, weight.astype(np.float32)
+        self.blocks = -(-self.n // block)
+        key = term.astype(np.int64) * self.blocks + np.repeat(np.arange(self.n) // block, np.diff(at))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.largest = np.maximum.reduceat(self.weight[order], first) if len(first) else np.zeros(0, np.float32)
+        self.where = (key[first] % max(1, self.blocks)).astype(np.int32)
+        self.cut = np.searchsorted(key[first] // max(1, self.blocks), np.arange(terms + 1)).astype(np.int64)
+        self.query = np.zeros(terms)
+
+    def bounds(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """For each block what no cosine of its vectors with the query exceeds."""
+        heavy = np.argsort(-weight, kind="stable")
+        left = np.sqrt(np.maximum(0, 1 - np.cumsum(weight[heavy] ** 2)))
+        used = int(np.argmax(left < self.rest)) + 1 if left[-1] < self.rest else len(heavy)
+        heavy = heavy[:used]
+        begin = self.cut[term[heavy]]
+        size = self.cut[term[heavy] + 1] - begin
+        lists = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.where[lists], self.largest[lists] * np.repeat(weight[heavy], size), minlength=self.blocks) + left[used - 1] + 1e-5
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k best, ties to the smaller place."""
+        best, places = np.zeros(0), np.zeros(0, np.int64)
+        if not len(term) or not self.n:
+            return best, places
+        bound = self.bounds(term, weight)
+        blocks = np.flatnonzero(bound >= self.near)
+        self.query[term] = weight
+        for b in blocks[np.argsort(-bound[blocks], kind="stable")].tolist():
+            if len(best) == k and bound[b] < best[-1]:
+                break
+            first, last = b * self.block, min(self.n, (b + 1) * self.block)
+            a, z = self.at[first], self.at[last]
+            total = np.concatenate([[0.0], np.cumsum(self.query[self.term[a:z]] * self.weight[a:z])])
+            cosine = np.round(total[self.at[first + 1 : last + 1] - a] - total[self.at[first:last] - a], 6)
+            found = np.flatnonzero(cosine >= self.near)
+            best, places = np.concatenate([best, cosine[found]]), np.concatenate([places, found + first])
+            order = np.lexsort((places, -best))[:k]
+            best, places = best[order], places[order]
+        self.query[term] = 0
+        return best, places
 
 
 @dataclass
@@ -243,28 +269,32 @@ class Model:
     @cached_property
     def word_index(self) -> tuple[dict[str, int], WordIndex]:
         """Made where it is first used, so that only words and counts are sent."""
+        if not self.texts:
+            return numbered(self.words), WordIndex(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), 0)
         found = [word_vector(*unpacked(x), self.word_idf) for x in self.texts]
         at = np.concatenate([[0], np.cumsum([len(t) for t, _ in found])])
         term, weight = (np.concatenate([f[k] for f in found], dtype=kind) for k, kind in ((0, np.int32), (1, np.float32)))
         return numbered(self.words), WordIndex(at, term, weight, len(self.word_idf))
 
-    def scores(self, texts: list[str | None], step: int = 128) -> list[tuple[float, list[int]]]:
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
         """Probability and evidence of each text; equal texts are scored once."""
+        words = self.word_index[0]
+        found = [read_text(self.terms, words, t) for t in texts]
+        return [self.of(*x) for x in found]
+
+    def of(self, words: bytes, picked: bytes) -> tuple[float, list[int]]:
+        """The same from the packed words and picked terms of a text."""
         import xxhash
 
-        if len(self.read) > 100_000:
-            self.read.clear()
-        keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-        new = list({key: t for key, t in zip(keys, texts) if key not in self.read}.items())
-        for a in range(0, len(new), step):
-            counts = [word_counts(t) for _, t in new[a : a + step]]
-            found = [self.start(c) for c in counts]
+        key = xxhash.xxh3_128_digest(words + b"|" + picked)
+        if key not in self.read:
+            if len(self.read) > 50_000:
+                self.read.clear()
+            found = self.start(dict(zip(*(x.tolist() for x in unpacked(picked)))))
             if self.texts:
-                words, index = self.word_index
-                near = index.nearest([word_vector(*word_numbers(c, words), self.word_idf) for c in counts], self.k)
-                found = [self.moved(start, *n) for start, n in zip(found, near)]
-            self.read.update((key, x) for (key, _), x in zip(new[a : a + step], found))
-        return [self.read[key] for key in keys]
+                found = self.moved(found, *self.word_index[1].nearest(*word_vector(*unpacked(words), self.word_idf), self.k))
+            self.read[key] = found
+        return self.read[key]
 
     def moved(self, start: tuple[float, list[int]], cosines: np.ndarray, places: np.ndarray, mass: float = 0.1) -> tuple[float, list[int]]:
         """The probability after the neighbours by all words have voted."""
@@ -272,13 +302,13 @@ class Model:
         p = (weight @ self.marks[places] + mass * start[0]) / (weight.sum() + mass)
         return min(1.0, float(p)), start[1] or self.rows[places[:3]].tolist()
 
-    def start(self, counts: dict[str, int]) -> tuple[float, list[int]]:
+    def start(self, picked: dict[int, int]) -> tuple[float, list[int]]:
         """Probability and evidence by picked terms alone."""
-        query = weighted(self.terms.among(counts), self.idf) if self.number else ()
+        query = weighted(picked, self.idf) if self.number else ()
         if not query:
             return self.none_rate, []
         if query not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > 2000:
                 self.known.clear()
             voted = self.vote(query)
             self.known[query] = (self.none_rate, []) if voted is None else (1 / (1 + math.exp(-(self.slope * voted[0] + self.shift))), voted[1])
@@ -305,7 +335,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, sampl
 
     # at most sample_rows rows of two numbers, here and below
     texts = only(docs.filter(F.col("text").isNotNull()), doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id")
-    rows = cut_lineage(texts.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]))
+    rows = cut_lineage(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
     classes = similar_texts.similarity_classes(rows).select(F.col("doc_id").alias("member"), F.col("class_id"))
     named = rows.select("doc_id", "toxic").join(classes, F.col("doc_id").cast("long") == F.col("member"))
     first = cut_lineage(named.groupBy("class_id", "toxic").agg(F.min("doc_id").alias("doc_id")).drop("toxic"))
@@ -372,38 +402,49 @@ def sample_words(sample: DataFrame) -> str:
     return " ".join(sorted(found))
 
 
-def document_frequencies(docs: DataFrame, number: dict[str, int], words: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """In how many rows each picked term and each word occurs, and the number of rows."""
+def read_rows(docs: DataFrame, number: dict[str, int], words: str) -> DataFrame:
+    """(doc_id, words, picked): every row's known words and picked terms, packed; written, so each text is read once."""
     shared = docs.sparkSession.sparkContext.broadcast((number, words))
-    picked = len(number)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, words = shared.value
-        terms, total, of_words, get = Terms(number), Counter(), Counter(), numbered(words).get
+        terms, known = Terms(number), numbered(words)
+        for batch in batches_of(batches, 1024):
+            found = [read_text(terms, known, t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]], names=["doc_id", "words", "picked"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut_lineage(only(docs, doc_id="doc_id", text="text").mapInArrow(read, f"doc_id {kind}, words binary, picked binary"))
+    shared.unpersist()
+    return rows
+
+
+def document_frequencies(rows: DataFrame, picked: int, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """In how many rows each picked term and each word occurs, and the number of rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(picked + words + 1, np.int64)
         for batch in batches:
             total[-1] += batch.num_rows
-            for text in batch.column("text").to_pylist():
-                counts = word_counts(text)
-                total.update(terms.among(counts).keys())
-                of_words.update(map(get, counts))
-        of_words.pop(None, None)
-        term = np.concatenate([np.fromiter(total, np.int32, len(total)), np.fromiter(of_words, np.int32, len(of_words)) + np.int32(picked)])
-        n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in (total, of_words)])
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
-    shared.unpersist()
-    out = np.zeros(picked + len(words.split()) + 1)
-    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+            for name, first in (("picked", 0), ("words", picked)):
+                for data in batch.column(name).to_pylist():
+                    total[unpacked(data)[0] + first] += 1
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "n"])
+
+    found = rows.select("words", "picked").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    out = np.zeros(picked + words + 1)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out[:picked], out[picked:-1], int(out[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = 30_000) -> Model:
-    """A model from ``labels`` (doc_id, toxic) of the learnable rows of ``docs`` (doc_id, text)."""
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = 30_000) -> tuple[Model, DataFrame]:
+    """A model from ``labels`` (doc_id, toxic) of the learnable rows of ``docs`` (doc_id, text), and all rows as it reads them."""
     sample = labelled_sample(docs, labels, learnable, sample_rows)
     number = pick_terms(sample)
     words = sample_words(sample)
-    frequency, word_frequency, rows = document_frequencies(docs, number, words) if words else (np.zeros(0), np.zeros(0), 0)
+    read = read_rows(docs, number, words)
+    frequency, word_frequency, rows = document_frequencies(read, len(number), words.count(" ") + 1 if words else 0)
     idf, word_idf = (np.log((1 + rows) / (1 + f)) + 0.1 for f in (frequency, word_frequency))
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -433,7 +474,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: in
         else:
             none[r.toxic == 0] += 1
     if not kept:
-        return Model(number, idf, [], np.zeros(0), np.zeros(0), [], 0.0)
+        return Model(number, idf, [], np.zeros(0), np.zeros(0), [], 0.0), read
     order = sorted(entries)  # vectors that share terms lie in the same blocks
     toxic, clean = (np.array([entries[v][k] for v in order], float) for k in (0, 1))
     model = Model(
@@ -444,43 +485,42 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: in
     if votes:
         x, y, n = (np.array(c, float) for c in zip(*votes))
         model.slope, model.shift = fit_logistic(x, y, n)
-    return model
+    return model, read
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and evidence (ids of the nearest examples) of every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_rows(read: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score and evidence (ids of the nearest examples) of every row that ``learn`` has read."""
+    shared = read.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1024):
-            found = shared.value.scores(batch.column("text").to_pylist())
+            found = [shared.value.of(w, p) for w, p in zip(batch.column("words").to_pylist(), batch.column("picked").to_pylist())]
             columns = [batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "evidence"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return only(docs, doc_id="doc_id", text="text").mapInArrow(score, f"doc_id {kind}, score double, evidence array<long>")
+    kind = read.schema["doc_id"].dataType.simpleString()
+    return read.mapInArrow(score, f"doc_id {kind}, score double, evidence array<long>")
 
 
-def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
-    """All rows and columns of ``docs`` with the score of their text; nothing is shuffled."""
+def rows_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``limit``; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{k}" for k in range(len(docs.columns))]  # columns are numbered meanwhile, so no name can clash
     at = docs.columns.index("text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1024):
-            scores = [s for s, _ in shared.value.scores(batch.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+            scores = shared.value.scores(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([s < limit for s, _ in scores], pa.bool_()))
 
     kinds = [f.dataType.simpleString() for f in docs.schema]
-    scored = docs.toDF(*names).mapInArrow(score, ", ".join(f"{n} {k}" for n, k in [*zip(names, kinds), ("score", "double")]))
-    return scored.toDF(*docs.columns, name)
+    return docs.toDF(*names).mapInArrow(keep, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))).toDF(*docs.columns)
 
 
 def toxicity_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The registered query: learn from three folds of four, score every row."""
     fold = residue("doc_id", 4)
-    model = learn(docs, labels, (fold != 2) & (fold != -1))
-    return score_texts(docs, model).select(
+    model, read = learn(docs, labels, (fold != 2) & (fold != -1))
+    return score_rows(read, model).select(
         "doc_id", (residue("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence"
     )
