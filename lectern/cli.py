@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "explore":
         out = engine.search_graph(args.text)
     elif args.command == "evaluate":
-        questions = [r.asDict() for r in corpus.question_set(engine.spark, args.questions, args.limit).orderBy("ord").collect()]
+        questions = corpus.question_set(engine.spark, args.questions, args.limit)
         scores, means = engine.evaluate(questions, engine.chat)
         out = {"means": {r.metric: r["mean"] for r in means.collect()}, "per_question": [r.asDict() for r in scores.collect()]}
         if args.out:

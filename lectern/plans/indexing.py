@@ -12,7 +12,7 @@ from lectern.functions.language import detect_language
 from lectern.functions.text import clean_markdown, plain_pages
 from lectern.operators import catalog, passages
 from lectern.plans import prompts
-from lectern.providers import Chat, Embedder, PageReader, chat_column, embedding, extract_pages
+from lectern.providers import Chat, Embedder, PageReader, chat_column, embedded, extract_pages
 from lectern.sources import corpus
 from lectern.sources.layout import spread
 from lectern.sources.store import Store
@@ -121,12 +121,12 @@ def index_documents(
     """Replace the passages and parents of the countries in ``docs``; number of stored passages.
 
     Parents are written from the same passages as the vectors, and partitions are replaced as a
-    whole, so the two tables always fit together.  Both writes are map-only passes over the
-    documents; splitting again is cheaper than storing all texts a third time.
+    whole, so the two tables always fit together.  All plans are map-only.  Passages
+    are written with their vectors first and published when all have vectors of one model.
     """
     split = passages.with_passages(passages.with_document_metadata(spread(docs, cfg.input_partitions)), cfg)
     store.replace_partitions(passages.parents_table(split), "parents")
-    chunks = passages.chunk_records(split, cfg).withColumn("embedding", embedding("markdown", embedder, fallback, cfg))
+    chunks = embedded(passages.chunk_records(split, cfg), "markdown", embedder, fallback, cfg)
     store.replace_partitions(passages.storable(chunks), "chunks")
     store.drop_left_over(docs.select("country").distinct(), split.select("country").distinct())
     countries = [r.country for r in docs.select("country").distinct().collect()]  # one row a partition of the store

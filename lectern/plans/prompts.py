@@ -7,13 +7,15 @@ SYSTEM = (
 SEVERAL_REGIONS = "\nLa pregunta abasta més d'una denominació: tracta-les per separat i compara-les, si pot ser en una taula."
 
 
+#: What follows a hint on several regions, the conversation so far, the documents and the question.
+ANSWER = (
+    "Respon la pregunta amb els documents numerats i cita'ls així: [1]. Si no hi és, digues que no hi és.%s\n\n"
+    "%s## Documents\n\n%s\n\n## Pregunta\n\n%s\n\n## Resposta"
+)
+
+
 def answer_prompt(question: str, context: str, n_names: int = 0, history: str = "") -> str:
-    several = SEVERAL_REGIONS if n_names > 1 else ""
-    before = f"{history}\n\n" if history else ""
-    return (
-        f"Respon la pregunta amb els documents numerats i cita'ls així: [1]. Si no hi és, digues que no hi és.{several}\n\n"
-        f"{before}## Documents\n\n{context}\n\n## Pregunta\n\n{question}\n\n## Resposta"
-    )
+    return ANSWER % (SEVERAL_REGIONS if n_names > 1 else "", f"{history}\n\n" if history else "", context, question)
 
 
 TRIPLES = (

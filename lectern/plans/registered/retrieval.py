@@ -131,6 +131,45 @@ def nearest_per_collection(spark, sf_dir):
     return found.select("chunk_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
+_ASKED = f"""
+{_STORE},
+asked AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS query, gi_name AS own, vec_id % 3 = 0 AS named FROM store JOIN embeddings USING (vec_id) WHERE vec_id % 20 = 0),
+near AS (
+  SELECT question_id, s.label, chunk_id, CASE WHEN named THEN 7 ELSE 4 END AS k, parent_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], query), 12) + 0.0 AS distance
+  FROM asked, store s JOIN embeddings e USING (vec_id) WHERE NOT named OR s.gi_name IN (own, 'src1', 'src2')
+  QUALIFY row_number() OVER (PARTITION BY question_id, s.label ORDER BY round(1 - list_cosine_similarity(e.embedding::DOUBLE[], query), 12), chunk_id) <= CASE WHEN named THEN 7 ELSE 4 END)"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector as a question; every third of them names its own source and two more."""
+    store = chunk_store(spark, sf_dir).select(F.substring("chunk_id", 2, 12).cast("long").alias("question_id"), F.col("embedding").alias("query"), "gi_name")
+    named = F.col("question_id") % 3 == 0
+    return store.filter("question_id % 20 = 0").select(
+        "question_id", "query", F.when(named, 7).otherwise(4).alias("k"), F.when(named, F.array("gi_name", F.lit("src1"), F.lit("src2"))).alias("gi_names"),
+    )
+
+
+@register("nearest_for_questions", f"""
+WITH {_ASKED}
+SELECT question_id, label, chunk_id, round(distance, 6) + 0.0 AS distance FROM near
+""")
+def nearest_for_questions(spark, sf_dir):
+    found = vectors.nearest_for_each(chunk_store(spark, sf_dir), asked(spark, sf_dir), by="label")
+    return found.select("question_id", "label", "chunk_id", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@register("questions_best_per_parent", f"""
+WITH {_ASKED},
+best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY question_id, coalesce(nullif(parent_id, ''), chunk_id) ORDER BY near.distance, chunk_id) = 1)
+SELECT question_id, chunk_id, round(distance, 6) + 0.0 AS distance FROM best QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY best.distance, chunk_id) <= k
+""")
+def questions_best_per_parent(spark, sf_dir):
+    questions = asked(spark, sf_dir)
+    near = vectors.nearest_for_each(chunk_store(spark, sf_dir), questions, by="label")
+    hits = near.join(chunk_store(spark, sf_dir).select("chunk_id", "parent_id"), "chunk_id").join(questions.select("question_id", "k"), "question_id")
+    return vectors.best_per_parent_of_each(hits).select("question_id", "chunk_id", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @register("best_per_parent", f"""
 WITH {_HITS}
 SELECT chunk_id, country, parent_id, round(distance, 6) + 0.0 AS distance FROM cut

@@ -15,10 +15,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULT, EngineConfig
+from lectern.operators.lineage import cut_lineage
 
 
 class Embedder(Protocol):
@@ -108,17 +110,45 @@ def embed_texts(
     return done, None
 
 
-def embedding(text: Column | str, primary: Embedder, fallback: Embedder | None = None, cfg: EngineConfig = DEFAULT) -> Column:
-    """Vector column; a task fails (and is retried by Spark) rather than leaving gaps."""
+def _vectors_or_error(text: Column, model: Embedder, kind: str, cfg: EngineConfig) -> Column:
+    """(vector, error) of each text; texts after a failure have the error."""
 
-    @F.pandas_udf("array<float>")
-    def run(batch: pd.Series) -> pd.Series:
-        vectors, error = embed_texts(primary, batch.fillna("").tolist(), "passage", fallback, cfg)
-        if error is not None:
-            raise RuntimeError(error)
-        return pd.Series(vectors)
+    @F.arrow_udf("struct<vector:array<float>,error:string>")
+    def run(batch: pa.Array) -> pa.Array:
+        vectors, error = embed_texts(model, batch.fill_null("").to_pylist(), kind, None, cfg)
+        rows = np.asarray(vectors, np.float32).reshape(len(vectors), -1) if vectors else np.zeros((0, 0), np.float32)
+        at = np.minimum(np.arange(len(batch) + 1), len(rows)).astype(np.int32) * np.int32(rows.shape[1] if len(rows) else 0)
+        missing = np.arange(len(batch)) >= len(rows)
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(rows.ravel()), mask=pa.array(missing))
+        return pa.StructArray.from_arrays([lists, pa.array(np.where(missing, error, None), pa.string())], ["vector", "error"])
+
+    return run(text)
+
+
+def embedding(text: Column | str, model: Embedder, cfg: EngineConfig = DEFAULT, kind: str = "passage") -> Column:
+    """Vector column of one model; a task fails (and is retried by Spark) rather than leaving gaps."""
+    found = _vectors_or_error(F.col(text) if isinstance(text, str) else text, model, kind, cfg)
+    return F.when(found["error"].isNotNull(), F.raise_error(found["error"]).cast("array<float>")).otherwise(found["vector"])
 
-    return run(F.col(text) if isinstance(text, str) else text)
+
+def embedded(
+    df: DataFrame, text: str, primary: Embedder, fallback: Embedder | None = None, cfg: EngineConfig = DEFAULT, kind: str = "passage",
+    name: str = "embedding",
+) -> DataFrame:
+    """``df`` with the vectors of ``text``, all of one model: if the primary one fails for any row, the fallback embeds all.
+
+    Rows are written with their vectors before anyone sees them, so a service is asked once a row.
+    """
+    staged = df
+    for model in (primary, fallback):
+        staged = cut_lineage(staged.withColumn("_made", _vectors_or_error(F.col(text), model, kind, cfg)))
+        failed = staged.filter("_made.error IS NOT NULL").select("_made.error").first()
+        if failed is None:
+            return staged.withColumn(name, F.col("_made.vector")).drop("_made")
+        if model is fallback or fallback is None:
+            break
+        staged = staged.drop("_made")
+    raise RuntimeError(failed[0])
 
 
 EXTRACT_DDL = "pages array<string>, markdown string, table_pages array<int>, extraction_method string, error string"
@@ -159,14 +189,15 @@ def extract_pages(files: DataFrame, reader: PageReader, fast: bool = False) -> D
     return files.mapInPandas(run, f"{kept}, {EXTRACT_DDL}")
 
 
-def chat_column(prompt: Column, chat: Chat) -> Column:
+def chat_column(prompt: Column, chat: Chat, system: str | None = None) -> Column:
     """Full reply of a chat model to each prompt, NULL where the model failed."""
+    before = [] if system is None else [{"role": "system", "content": system}]
 
     @F.pandas_udf("string")
     def run(batch: pd.Series) -> pd.Series:
         def reply(text: str) -> str | None:
             try:
-                return "".join(part.get("content", "") for part in chat.stream([{"role": "user", "content": text}]))
+                return "".join(part.get("content", "") for part in chat.stream([*before, {"role": "user", "content": text}]))
             except Exception:
                 return None
 

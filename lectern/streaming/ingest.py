@@ -45,7 +45,7 @@ def index_new_files(
         chunks = passages.chunk_records(split, cfg)
         have_docs = store.documents().select(*indexing.DOCUMENT_KEY)
         have_chunks, have_parents = store.chunks().select("chunk_id"), store.parents().select("parent_id")
-        new_chunks = chunks.join(have_chunks, "chunk_id", "left_anti").withColumn("embedding", embedding("markdown", embedder, None, cfg))
+        new_chunks = chunks.join(have_chunks, "chunk_id", "left_anti").withColumn("embedding", embedding("markdown", embedder, cfg))
         store.append(passages.parents_table(split).join(have_parents, "parent_id", "left_anti"), "parents")
         store.append(passages.storable(new_chunks), "chunks")
         store.remember_folders(docs)

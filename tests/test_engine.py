@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
 from lectern.config import EngineConfig
-from lectern.operators import catalog
+from lectern.operators import catalog, vectors
 from lectern.plans import indexing, readonly_sql
 from lectern.plans.engine import Engine
-from lectern.providers import HashingEmbedder, PlainPages, embed_texts, embedding
+from lectern.providers import HashingEmbedder, PlainPages, embed_texts, embedded, embedding
 from lectern.sources import corpus
 from lectern.sources.store import Store
 from lectern.streaming.buffer import history_stream
@@ -244,6 +244,82 @@ def test_embedding_column(spark):
     df = spark.createDataFrame([("vi negre",), (None,)], "t string").select(embedding("t", HashingEmbedder(8)).alias("v"))
     rows = [r.v for r in df.collect()]
     assert len(rows[0]) == 8 and sum(x * x for x in rows[0]) == pytest.approx(1.0) and sum(rows[1]) == 0
+    with pytest.raises(Exception, match="3 times"):
+        spark.range(2).select(embedding(F.lit("x"), Broken(8), EngineConfig(embedding_attempts=3))).collect()
+
+
+class Broken(HashingEmbedder):
+    """Fails where a text holds a certain word."""
+
+    def embed(self, texts, kind):
+        if any("trenca" in t for t in texts) or "x" in texts:
+            raise OSError("down")
+        return super().embed(texts, kind)
+
+
+class Constant:
+    dim = 8
+
+    def embed(self, texts, kind):
+        return [[2.0] * 8 for _ in texts]
+
+
+def test_all_vectors_are_of_one_model(spark, monkeypatch):
+    monkeypatch.setattr("time.sleep", lambda s: None)
+    cfg = EngineConfig(embedding_batch=2, embedding_attempts=1)
+    texts = [(k, f"text {k}") for k in range(40)]
+    good = spark.createDataFrame(texts, "id int, t string").repartition(4)
+    assert (2.0,) * 8 not in {tuple(r.embedding) for r in embedded(good, "t", Broken(8), Constant(), cfg).collect()}
+    # one failing batch anywhere, and the fallback embeds every row
+    bad = spark.createDataFrame([*texts, (99, "trenca")], "id int, t string").repartition(4)
+    rows = embedded(bad, "t", Broken(8), Constant(), cfg).collect()
+    assert len(rows) == 41 and {tuple(r.embedding) for r in rows} == {(2.0,) * 8}
+    for fallback in (None, Broken(8)):
+        with pytest.raises(RuntimeError, match="down"):
+            embedded(bad, "t", Broken(8), fallback, cfg)
+    assert embedded(bad.limit(0), "t", Broken(8), None, cfg).count() == 0
+
+
+def test_questions_as_a_table_equal_one_after_another(engine):
+    texts = ["varietats DOP Rioja?", "clima del Priorat i de Rioja", "fermentació alcohòlica", "municipis de la DOP Rioja i la DOP Priorat", "", "DOP Inventada?", "fermentació alcohòlica"]
+    questions = engine.spark.createDataFrame(list(enumerate(texts)), "question_id long, question string")
+    named = {r.question_id: r.gi_names for r in engine.with_names(questions).collect()}
+    assert [named[k] for k in range(len(texts))] == [engine.names_in(t) for t in texts]
+    got = {}
+    for r in engine.retrieve_all(questions).orderBy("question_id", "ref").collect():
+        got.setdefault(r.question_id, []).append((r.ref, r.chunk_id, r.document, round(r.score, 9)))
+    for k, t in enumerate(texts):
+        want = [(r.ref, r.chunk_id, r.document, round(r.score, 9)) for r in engine.retrieve(t).orderBy("ref").collect()]
+        assert got.get(k, []) == want, t
+    answers = {r.question_id: r for r in engine.ask_all(questions).collect()}
+    for k, t in enumerate(texts):
+        one = engine.ask(t)
+        assert (answers[k].answer, answers[k].contexts) == (one["answer"], [c["document"] for c in one["context_chunks"]])
+    scores, means = engine.evaluate([{"question": t, "ground_truth": "x"} for t in texts], engine.chat)
+    assert scores.count() == len(texts) and {r.skipped for r in scores.filter("question = 'DOP Inventada?'").collect()} == {True}
+
+
+def test_vectors_are_scanned_once_for_all_questions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((300, 6)).round(1)
+    m[100:120], m[7] = m[3], 0
+    chunks = spark.createDataFrame([(k, int(k % 3), ["a", "b", None][k % 3 if k < 200 else 2], v.tolist()) for k, v in enumerate(m)] + [(999, 1, "a", None)], "chunk_id long, label int, gi_name string, embedding array<double>").repartition(5)
+    asked = [(q, m[q * 7].tolist(), 1 + q % 9, [None, [], ["a"], ["b", "zz"]][q % 4]) for q in range(30)]
+    questions = spark.createDataFrame(asked, "question_id long, query array<double>, k int, gi_names array<string>")
+    unit = lambda x: x / (np.linalg.norm(x) or 1)
+    want = set()
+    for q, v, k, names_ in asked:
+        for label in range(3):
+            near = sorted((round(1 - float(unit(m[i]) @ unit(np.array(v))), 9) + 0.0, i) for i in range(300) if i % 3 == label and (not names_ or (["a", "b", None][i % 3 if i < 200 else 2]) in names_))
+            want |= {(q, label, i) for _, i in near[:k]}
+    for block in (2048, 7):
+        found = vectors.nearest_for_each(chunks, questions, by="label", block=block)
+        assert {(r.question_id, r.label, r.chunk_id) for r in found.collect()} == want
+    plan = vectors.nearest_for_each(chunks, questions, by="label")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert vectors.nearest_for_each(chunks, questions.limit(0), by="label").count() == 0 == vectors.nearest_for_each(chunks.limit(0), questions, by="label").count()
 
 
 def test_incremental_stream(spark, root, tmp_path):
