@@ -20,7 +20,7 @@ from lectern.config import DEFAULT, EngineConfig
 from lectern.functions import names, packing
 from lectern.functions.text import contains_any, entity_name
 from lectern.operators.lineage import cut_lineage
-from lectern.operators.skew import SALTS, next_event, ordered_ids, pairs_sharing
+from lectern.operators.skew import next_event, ordered_ids, pairs_sharing, products_within
 
 ATTRS = "map<string,string>"
 STAGE_TABLES, STAGE_DIRECTORY, STAGE_TRIPLES, STAGE_SHARED = 0, 10, 20, 90
@@ -273,7 +273,7 @@ def coauthorized(edges: DataFrame) -> DataFrame:
                     source=F.lit("cross_inference"), via=F.col("via"))
 
 
-def soil_in_climate(edges: DataFrame, salts: int = SALTS) -> DataFrame:
+def soil_in_climate(edges: DataFrame) -> DataFrame:
     """Soil to climate edges of a zone, made when a municipality triple names the zone.
 
     Only soils and climates that are in the graph at that moment take part.
@@ -289,14 +289,10 @@ def soil_in_climate(edges: DataFrame, salts: int = SALTS) -> DataFrame:
     called = calls.select("zone").distinct()
     soils = first("HAS_SOIL", "soil").join(called, "zone", "left_semi")
     climates = first("HAS_CLIMATE", "climate").join(called, "zone", "left_semi")
-    # every soil meets every climate of its zone: that product is the result itself.  Each side
-    # is dealt over a grid so that a zone with very many of them is worked on by many tasks.
-    grid = 4
-    left = soils.withColumn("i", F.pmod(F.xxhash64("soil"), F.lit(grid))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
-    right = climates.withColumn("j", F.pmod(F.xxhash64("climate"), F.lit(grid))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
-    met = left.join(right, ["zone", "i", "j"]).withColumn("at", F.greatest("soil_ord", "climate_ord"))
+    # every soil meets every climate of its zone: that product is the result itself
+    met = products_within(soils, climates, "zone").withColumn("at", F.greatest("soil_ord", "climate_ord"))
     starts = soils.select("zone", F.col("soil_ord").alias("at")).unionByName(climates.select("zone", F.col("climate_ord").alias("at")))
-    when = next_event(starts, calls, "zone", "at", salts)
+    when = next_event(starts, calls, "zone", "at")
     found = met.join(when, ["zone", "at"]).groupBy(F.col("soil").alias("src"), F.col("climate").alias("dst")).agg(
         F.min(F.struct(F.col("next_at").alias("ord"), F.col("zone"))).alias("f")
     ).select("src", "dst", "f.ord", F.col("f.zone").alias("via"))

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from lectern.operators.lineage import cut_lineage
 
-SALTS = 16
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
     """Keep the first row of every key.
 
@@ -86,28 +83,39 @@ def pairs_sharing(
     )
 
 
-def next_event(probes: DataFrame, events: DataFrame, key: str, at: str, salts: int = SALTS) -> DataFrame:
+def next_event(probes: DataFrame, events: DataFrame, key: str, at: str) -> DataFrame:
     """For each (key, at) of ``probes`` the smallest ``at`` of ``events`` that is greater.
 
-    Events of a key are dealt over salts, the probes are copied to each of them, and the
-    nearest event of every salt is reduced to one; rows without a later event are dropped.
+    Both sides are sorted together over all partitions by (key, at), so a frequent key lies in as many
+    ranges as its rows need and no probe is copied.  Within a range the next event is a window; a probe behind the
+    last event of its range takes the first event of the ranges after it, which one row a key and range tells.
+    Rows without a later event are dropped.
     """
-    dealt = events.select(
-        F.col(key), F.col(at), F.lit(True).alias("_event"),
-        F.pmod(F.xxhash64(F.col(at)), F.lit(salts)).cast("int").alias("_salt"),
-    )
-    copied = probes.select(key, at).distinct().select(
-        F.col(key), F.col(at), F.lit(False).alias("_event"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    )
-    later = (
-        Window.partitionBy(key, "_salt").orderBy(F.col(at).desc(), F.col("_event"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        dealt.unionByName(copied)
-        .withColumn("_next", F.last(F.when(F.col("_event"), F.col(at)), ignorenulls=True).over(later))
-        .filter(~F.col("_event") & F.col("_next").isNotNull() & (F.col("_next") > F.col(at)))
-        .groupBy(key, at)
-        .agg(F.min("_next").alias("next_at"))
-    )
+    both = events.select(key, at, F.lit(True).alias("_event")).unionByName(probes.select(key, at, F.lit(False).alias("_event"))).distinct()
+    # equal (key, at) fall into one range
+    ranged = cut_lineage(both.repartitionByRange(key, at).withColumn("_range", F.spark_partition_id()))
+    firsts = ranged.groupBy(key, "_range").agg(F.min(F.when(F.col("_event"), F.col(at))).alias("_first"))
+    after = Window.partitionBy(key).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.select(key, "_range", F.min("_first").over(after).alias("_carried")).filter("_carried IS NOT NULL")
+    later = Window.partitionBy(key, "_range").orderBy(F.col(at).desc(), F.col("_event")).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumn("_next", F.last(F.when(F.col("_event"), F.col(at)), ignorenulls=True).over(later)).filter(~F.col("_event"))
+    found = found.join(carried, [key, "_range"], "left").select(key, at, F.coalesce("_next", "_carried").alias("next_at"))
+    return found.filter("next_at IS NOT NULL")
+
+
+def products_within(left: DataFrame, right: DataFrame, group: str, block: int = 256) -> DataFrame:
+    """Every row of ``left`` with every row of ``right`` of the same group.
+
+    Each side of a group is cut into blocks by its counted size and each pair of blocks is a join key of its
+    own, so no task sees the whole of a large group.
+    """
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+    blocks = sizes(left, "_n").join(sizes(right, "_m"), group)
+
+    def dealt(df: DataFrame, mine: str, of_mine: str, other: str, of_other: str) -> DataFrame:
+        placed = df.join(blocks, group).withColumn(mine, F.pmod(F.xxhash64(*df.columns), F.col(of_mine)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(of_other) - 1))).drop("_n", "_m")
+
+    return dealt(left, "_i", "_n", "_j", "_m").join(dealt(right, "_j", "_m", "_i", "_n"), [group, "_i", "_j"]).drop("_i", "_j")

@@ -196,7 +196,7 @@ def coauthorized_varieties(spark, sf_dir):
 @register("soil_climate_links", """
 WITH soils AS (SELECT p_brand AS z, p_type || ' ' || (p_partkey % 40) AS s, min(p_partkey) AS t0 FROM part WHERE p_size % 3 = 0 GROUP BY ALL),
 climates AS (SELECT p_brand AS z, 'clima ' || (p_partkey % 50) AS c, min(p_partkey) AS t0 FROM part WHERE p_size % 3 = 1 GROUP BY ALL),
-calls AS (SELECT p_brand AS z, p_partkey AS t0 FROM part WHERE p_size % 15 = 2),
+calls AS (SELECT p_brand AS z, p_partkey AS t0 FROM part WHERE p_size % 3 = 2),
 met AS (SELECT s.z, s.s, c.c, min(k.t0) AS t0 FROM soils s JOIN climates c ON s.z = c.z JOIN calls k ON k.z = s.z AND k.t0 > greatest(s.t0, c.t0) GROUP BY ALL),
 found AS (SELECT s, c, min(struct_pack(t0 := t0, z := z)) AS f FROM met GROUP BY ALL),
 known AS (SELECT p_type || ' ' || (p_partkey % 40) AS s, 'clima ' || (p_partkey % 50) AS c, min(p_partkey) AS first FROM part WHERE p_size = 3 GROUP BY ALL)
@@ -211,7 +211,7 @@ def soil_climate_links(spark, sf_dir):
     edges = (
         graph.edges_of(parts.filter("p_size % 3 = 0"), brand, soil, "HAS_SOIL", at)
         .unionByName(graph.edges_of(parts.filter("p_size % 3 = 1"), brand, climate, "HAS_CLIMATE", at))
-        .unionByName(graph.edges_of(parts.filter("p_size % 15 = 2"), town, brand, "MUNICIPALITY_IN_ZONE", at))
+        .unionByName(graph.edges_of(parts.filter("p_size % 3 = 2"), town, brand, "MUNICIPALITY_IN_ZONE", at))
         .unionByName(graph.edges_of(parts.filter("p_size = 3"), soil, climate, "SOIL_IN_CLIMATE", at))
     )
     return graph.soil_in_climate(edges).select("src", "dst", "via", F.col("ord.a").alias("t0"))

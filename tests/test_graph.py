@@ -1,11 +1,12 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import replies
-from lectern.operators import graph, matching
-from lectern.operators.skew import next_event, pairs_sharing
+from lectern.operators import graph, matching, skew
+from lectern.operators.skew import next_event, pairs_sharing, products_within
 
 
 def edge_table(spark, rows):
@@ -88,7 +89,7 @@ def test_soil_in_climate_random(spark):
                     if not any(x == a and z == b for x, _, z in present):
                         present.append((a, "SOIL_IN_CLIMATE", b))
                         made.append((a, b, d))
-        got = sorted((r.src, r.dst, r.via) for r in graph.soil_in_climate(edge_table(spark, rows), salts=3).collect())
+        got = sorted((r.src, r.dst, r.via) for r in graph.soil_in_climate(edge_table(spark, rows)).collect())
         assert got == sorted(made)
 
 
@@ -100,13 +101,30 @@ def test_pairs_of_a_hot_group(spark):
     assert sorted(map(tuple, got)) == want
 
 
-def test_next_event(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_next_event_within_and_across_ranges(spark, coalesce, monkeypatch):
     rng = random.Random(1)
-    probes = [(rng.choice("ab"), rng.randint(0, 100)) for _ in range(40)]
-    events = [(rng.choice("aab"), rng.randint(0, 100)) for _ in range(60)]
-    got = next_event(spark.createDataFrame(probes, "k string, t int"), spark.createDataFrame(events, "k string, t int"), "k", "t", salts=4)
-    want = {(k, t, min(e for x, e in events if x == k and e > t)) for k, t in probes if any(x == k and e > t for x, e in events)}
-    assert set(map(tuple, got.collect())) == want
+    probes = [(rng.choice("ab"), rng.randint(0, 100)) for _ in range(60)] + [("z", 1), (None, 3), ("a", None)]
+    events = [(rng.choice("aaaab"), rng.choice([5, 6, 70, 99, *range(40, 44)])) for _ in range(60)] + [("y", 4), (None, 5)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    kept = []
+    monkeypatch.setattr(skew, "cut_lineage", lambda df, cut=skew.cut_lineage: kept.append(cut(df)) or kept[-1])
+    try:
+        got = next_event(spark.createDataFrame(probes, "k string, t int"), spark.createDataFrame(events, "k string, t int"), "k", "t").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    known = [(k, t) for k, t in probes if k is not None and t is not None]
+    want = {(k, t, min(e for x, e in events if x == k and e > t)) for k, t in known if any(x == k and e > t for x, e in events)}
+    assert {tuple(r) for r in got if r.k is not None and r.t is not None} == want
+    if coalesce == "false":  # the frequent key lies in several ranges
+        assert kept[0].filter("k = 'a'").select("_range").distinct().count() > 2
+
+
+def test_products_within_groups(spark):
+    rng = random.Random(2)
+    left, right = ([(rng.choice("aaab"), f"{side}{k}") for k in range(90)] + [(side, "alone")] for side in "lr")
+    got = products_within(spark.createDataFrame(left, "g string, l string"), spark.createDataFrame(right, "g string, r string"), "g", block=10)
+    assert sorted(map(tuple, got.select("g", "l", "r").collect())) == sorted((g, a, b) for g, a in left for h, b in right if g == h)
 
 
 def test_shared_entities(spark):
