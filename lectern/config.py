@@ -25,6 +25,8 @@ class EngineConfig:
     embedding_attempts: int = 3
     # how many pieces files and documents are dealt over before they are parsed; None: those of the scan
     input_partitions: int | None = None
+    # files whose bytes one job reads, and new files that one batch of the stream takes
+    files_at_once: int = 10_000
     # language
     language_chars: int = 500
     # graph

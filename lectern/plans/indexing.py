@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from lectern.functions import names
 from lectern.functions.language import detect_language
 from lectern.functions.text import clean_markdown, plain_pages
 from lectern.operators import catalog, passages
+from lectern.operators.lineage import cut_lineage
 from lectern.plans import prompts
-from lectern.providers import Chat, Embedder, PageReader, chat_column, embedded, extract_pages
+from lectern.providers import Chat, Embedder, PageReader, chat_list_column, embedded, extract_pages
 from lectern.sources import corpus
 from lectern.sources.layout import spread
 from lectern.sources.store import Store
@@ -38,21 +41,16 @@ def tables_section(pages: Column, table_pages: Column, replies: Column, cfg: Eng
 def with_page_tables(extracted: DataFrame, chat: Chat, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Add cleaned tables to the rich text, one model call per page with a table.
 
-    Pages are exploded so that the calls of one document run in several tasks; a document has a
-    bounded number of pages, which bounds what comes back together.
+    The calls of a document are made where its pages are, so files are read once and nothing is shuffled.
     """
-    page = F.get("pages", F.col("page") - 1)
-    shown = page if cfg.table_page_chars is None else F.left(page, F.lit(cfg.table_page_chars))
-    asked = extracted.select("path", F.posexplode("table_pages").alias("i", "page"), "pages").select(
-        "path", "i", F.concat(F.lit(prompts.TABLE), shown).alias("prompt")
-    )
-    answered = asked.withColumn("reply", chat_column(F.col("prompt"), chat)).groupBy("path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("reply", F.lit("")).alias("reply")))), lambda r: r["reply"]).alias("replies")
-    )
-    joined = extracted.join(answered, "path", "left")
+    def prompt(page: Column) -> Column:
+        text = F.get("pages", page - 1)
+        return F.concat(F.lit(prompts.TABLE), text if cfg.table_page_chars is None else F.left(text, F.lit(cfg.table_page_chars)))
+
+    answered = extracted.withColumn("replies", chat_list_column(F.transform("table_pages", prompt), chat))
     section = tables_section(F.col("pages"), F.col("table_pages"), F.col("replies"), cfg)
     added = F.when(F.coalesce(section, F.lit("")) != "", F.concat("markdown", F.lit("\n\n"), section)).otherwise(F.col("markdown"))
-    return joined.withColumn("markdown", added).withColumn("extraction_method", F.concat("extraction_method", F.lit(" + tables"))).drop("replies")
+    return answered.withColumn("markdown", added).withColumn("extraction_method", F.concat("extraction_method", F.lit(" + tables"))).drop("replies")
 
 
 def extracted(
@@ -83,24 +81,23 @@ def extract(
 ) -> dict[str, int]:
     """Bring the documents of a country up to date; counts of extracted, skipped and failed files."""
     spark = store.spark
-    if country == V.KNOWLEDGE_COUNTRY:
-        files = corpus.knowledge_files(spark, root)
-        cleaning_country = ""
-    else:
-        files = corpus.designation_files(spark, root, country)
-        cleaning_country = country
-        if name_like:
-            files = files.filter(F.contains(F.lower(names.gi_name("folder")), F.lit(name_like.lower())))
-    files = files.withColumn("source_file", names.file_stem("file"))
+    files = corpus.listing(spark, root, country).withColumn("source_file", names.file_stem("file"))
+    if name_like and country != V.KNOWLEDGE_COUNTRY:
+        files = files.filter(F.contains(F.lower(names.gi_name("folder")), F.lit(name_like.lower())))
     done = store.documents().filter(F.col("country") == country).select(*DOCUMENT_KEY)
-    n_all = files.drop("content").count()
-    todo = files if force else catalog.pending(files, done, DOCUMENT_KEY)
+    # names only, and written: what is stored further down changes ``done``
+    n_all, todo = files.count(), cut_lineage(files if force else catalog.pending(files, done, DOCUMENT_KEY))
     if dry_run:
-        n = todo.drop("content").count()
+        n = todo.count()
         return {"extracted": n, "skipped": n_all - n, "errors": 0}
-    fresh = extracted(todo.drop("source_file"), reader, country if cleaning_country else V.KNOWLEDGE_COUNTRY, fast, chat, cfg)
-    # written once, then counted and moved: parsers and models run a single time
-    store.overwrite(fresh, "staging/documents")
+    # the bytes of pending files alone, as many files at a time as the driver may name; written once, then counted and moved
+    def read(files: DataFrame) -> DataFrame:
+        return extracted(files, reader, country, fast, chat, cfg)
+
+    none = corpus.knowledge_files(spark, root) if country == V.KNOWLEDGE_COUNTRY else corpus.designation_files(spark, root, country)
+    store.overwrite(read(none.limit(0)), "staging/documents")
+    for paths in batched((r[0] for r in todo.select("_raw_path").toLocalIterator()), cfg.files_at_once):
+        read(corpus.contents(spark, list(paths), country)).write.mode("append").parquet(store.path("staging/documents"))
     staged = spark.read.parquet(store.path("staging/documents"))
     good = staged.filter("error is null").drop("error")
     if force:

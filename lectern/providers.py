@@ -189,22 +189,33 @@ def extract_pages(files: DataFrame, reader: PageReader, fast: bool = False) -> D
     return files.mapInPandas(run, f"{kept}, {EXTRACT_DDL}")
 
 
-def chat_column(prompt: Column, chat: Chat, system: str | None = None) -> Column:
-    """Full reply of a chat model to each prompt, NULL where the model failed."""
+def _reply(chat: Chat, text: str, system: str | None = None) -> str | None:
     before = [] if system is None else [{"role": "system", "content": system}]
+    try:
+        return "".join(part.get("content", "") for part in chat.stream([*before, {"role": "user", "content": text}]))
+    except Exception:
+        return None
 
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        def reply(text: str) -> str | None:
-            try:
-                return "".join(part.get("content", "") for part in chat.stream([*before, {"role": "user", "content": text}]))
-            except Exception:
-                return None
 
-        return batch.map(reply, na_action="ignore")
+def chat_column(prompt: Column, chat: Chat, system: str | None = None) -> Column:
+    """Full reply of a chat model to each prompt, NULL where the model failed."""
+
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _reply(chat, t, system) for t in batch.to_pylist()], pa.string())
 
     return run(prompt)
 
 
+def chat_list_column(prompts: Column, chat: Chat) -> Column:
+    """The replies to a list of prompts, empty ones where the model failed; a row stays where it is."""
+
+    @F.arrow_udf("array<string>")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([[_reply(chat, t) or "" for t in texts or []] for texts in batch.to_pylist()], pa.list_(pa.string()))
+
+    return run(prompts)
+
+
 def tool_result(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, default=str)

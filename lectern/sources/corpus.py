@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,37 +24,60 @@ def _part_from_end(path, n: int):
     return F.try_element_at(F.split(path, "/"), F.lit(-n))
 
 
-def designation_files(spark: SparkSession, root: str, country: str) -> DataFrame:
-    """PDFs directly below the designation folders of a country, with their bytes.
+def _binary_files(spark: SparkSession, where: str | list[str], recursive: bool = False) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.load(where).select(_decoded_path().alias("path"), F.col("modificationTime").alias("modified"), "content", F.col("path").alias("_raw_path"))
 
-    Columns: country, folder, file, path, modified, content.  Content is only read when used.
-    """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{root}/{country}/*/")
-        .select(_decoded_path().alias("path"), F.col("modificationTime").alias("modified"), "content")
-    )
+
+def exactly(path: str) -> str:
+    """A path as a pattern that only this path fits."""
+    return re.sub(r"([\\*?\[\]{},])", r"\\\1", path)
+
+
+def _as_designations(files: DataFrame, country: str) -> DataFrame:
     return files.select(
         F.lit(country).alias("country"), _part_from_end(F.col("path"), 2).alias("folder"),
-        _part_from_end(F.col("path"), 1).alias("file"), "path", "modified", "content",
+        _part_from_end(F.col("path"), 1).alias("file"), "path", "modified", "content", "_raw_path",
     ).filter(names.is_designation("folder"))
 
 
-def knowledge_files(spark: SparkSession, root: str) -> DataFrame:
-    """PDFs at any depth below the knowledge root, with category, sub-category and folder."""
-    base = f"{root}/{KNOWLEDGE_COUNTRY}"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(base)
-        .select(_decoded_path().alias("path"), F.col("modificationTime").alias("modified"), "content")
-    )
+def _as_knowledge(files: DataFrame) -> DataFrame:
     rel = F.split_part(F.col("path"), F.lit(f"/{KNOWLEDGE_COUNTRY}/"), F.lit(-1))
     return files.withColumn("c", names.categorize(rel)).select(
         F.lit(KNOWLEDGE_COUNTRY).alias("country"), F.col("c.folder").alias("folder"),
         _part_from_end(F.col("path"), 1).alias("file"), F.col("c.category").alias("category"),
-        F.col("c.subcategory").alias("subcategory"), "path", "modified", "content",
+        F.col("c.subcategory").alias("subcategory"), "path", "modified", "content", "_raw_path",
     )
 
 
+def designation_files(spark: SparkSession, root: str, country: str) -> DataFrame:
+    """PDFs directly below the designation folders of a country, with their bytes.
+
+    Columns: country, folder, file, path, modified, content.  Content is only read when used.
+    """
+    return _as_designations(_binary_files(spark, f"{root}/{country}/*/"), country).drop("_raw_path")
+
+
+def knowledge_files(spark: SparkSession, root: str) -> DataFrame:
+    """PDFs at any depth below the knowledge root, with category, sub-category and folder."""
+    return _as_knowledge(_binary_files(spark, f"{root}/{KNOWLEDGE_COUNTRY}", True)).drop("_raw_path")
+
+
+def listing(spark: SparkSession, root: str, country: str) -> DataFrame:
+    """The files of a country without their bytes, which are not read; _raw_path is where ``contents`` finds them."""
+    if country == KNOWLEDGE_COUNTRY:
+        return _as_knowledge(_binary_files(spark, f"{root}/{KNOWLEDGE_COUNTRY}", True)).drop("content")
+    return _as_designations(_binary_files(spark, f"{root}/{country}/*/"), country).drop("content")
+
+
+def contents(spark: SparkSession, raw_paths: list[str], country: str) -> DataFrame:
+    """The named files of a country with their bytes; no other file is opened."""
+    files = _binary_files(spark, [exactly(p) for p in raw_paths])
+    return (_as_knowledge(files) if country == KNOWLEDGE_COUNTRY else _as_designations(files, country)).drop("_raw_path")
+
+
 def extracted_documents(spark: SparkSession, root: str) -> DataFrame:
     """Metadata files joined with the text files next to them.
 

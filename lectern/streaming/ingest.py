@@ -15,11 +15,11 @@ from lectern.sources.store import Store
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def new_designation_files(store: Store, root: str, country: str) -> DataFrame:
-    """Stream of PDFs that appear in the designation folders of a country."""
+def new_designation_files(store: Store, root: str, country: str, files_at_once: int = DEFAULT.files_at_once) -> DataFrame:
+    """Stream of PDFs that appear in the designation folders of a country, at most ``files_at_once`` a batch."""
     files = (
         store.spark.readStream.format("binaryFile").schema(BINARY_FILE)
-        .option("pathGlobFilter", "*.pdf").load(f"{root}/{country}/*/")
+        .option("pathGlobFilter", "*.pdf").option("maxFilesPerTrigger", files_at_once).load(f"{root}/{country}/*/")
     )
     parts = F.split(F.expr("try_url_decode(replace(path, '+', '%2B'))"), "/")
     return files.select(
@@ -43,8 +43,14 @@ def index_new_files(
         docs = store.spark.read.parquet(store.path(f"staging/stream_{country}"))
         split = passages.with_passages(passages.with_document_metadata(docs), cfg)
         chunks = passages.chunk_records(split, cfg)
-        have_docs = store.documents().select(*indexing.DOCUMENT_KEY)
-        have_chunks, have_parents = store.chunks().select("chunk_id"), store.parents().select("parent_id")
+        # a batch names at most files_at_once folders: only their rows of the store are looked at
+        folders = [r.folder for r in docs.select("folder").distinct().collect()]
+
+        def stored(df: DataFrame, *keys: str) -> DataFrame:
+            return df.filter((F.col("country") == country) & F.col("folder").isin(*folders)).select(*keys)
+
+        have_docs = stored(store.documents(), *indexing.DOCUMENT_KEY)
+        have_chunks, have_parents = stored(store.chunks(), "chunk_id"), stored(store.parents(), "parent_id")
         new_chunks = chunks.join(have_chunks, "chunk_id", "left_anti").withColumn("embedding", embedding("markdown", embedder, cfg))
         store.append(passages.parents_table(split).join(have_parents, "parent_id", "left_anti"), "parents")
         store.append(passages.storable(new_chunks), "chunks")
@@ -52,7 +58,7 @@ def index_new_files(
         store.append(docs.join(have_docs, indexing.DOCUMENT_KEY, "left_anti"), "documents")
 
     return (
-        new_designation_files(store, root, country).writeStream.foreachBatch(store_batch)
+        new_designation_files(store, root, country, cfg.files_at_once).writeStream.foreachBatch(store_batch)
         .option("checkpointLocation", store.path(f"checkpoints/{country}"))
         .trigger(availableNow=True).start()
     )

@@ -322,6 +322,46 @@ def test_vectors_are_scanned_once_for_all_questions(spark):
     assert vectors.nearest_for_each(chunks, questions.limit(0), by="label").count() == 0 == vectors.nearest_for_each(chunks.limit(0), questions, by="label").count()
 
 
+class CountingPages(PlainPages):
+    """Leaves a note for every reading of a file."""
+
+    def __init__(self, notes):
+        self.notes = notes
+
+    def pages(self, content):
+        import os
+        import uuid
+
+        with open(os.path.join(self.notes, uuid.uuid4().hex), "wb") as note:
+            note.write(content)
+        return PlainPages().pages(content)
+
+    def markdown(self, content):
+        return PlainPages().markdown(content)
+
+
+def test_each_pending_file_is_read_once(spark, tmp_path):
+    folder, notes = tmp_path / "in/Espanya/DOP_Rioja", tmp_path / "notes"
+    folder.mkdir(parents=True), notes.mkdir()
+    odd = ["plain.pdf", "strange [1] {a,b} 50%+é.pdf", "star*.pdf", "star2.pdf", "what?.pdf"]
+    for k, name in enumerate(odd):
+        (folder / name).write_text(f"## Títol\n{RIOJA}\f| número {k} |\n" + "| x | y | z | w |\n" * 9, encoding="utf-8")
+    store, cfg = Store(spark, str(tmp_path / "store")), EngineConfig(files_at_once=2)
+    run = lambda: indexing.extract(store, str(tmp_path / "in"), "Espanya", CountingPages(str(notes)), chat=ScriptedChat(), cfg=cfg)
+    assert run() == {"extracted": len(odd), "skipped": 0, "errors": 0}
+    first = len(list(notes.iterdir()))
+    assert len({n.read_bytes() for n in notes.iterdir()}) == first == store.documents().count()
+    assert run() == {"extracted": 0, "skipped": first, "errors": 0} and len(list(notes.iterdir())) == first
+    (folder / "late.pdf").write_text(RIOJA, encoding="utf-8")
+    assert run()["extracted"] == 1 and len(list(notes.iterdir())) == first + 1
+
+
+def test_page_texts_are_not_shuffled(spark, root):
+    plan = indexing.extracted(corpus.contents(spark, [f"{root}/Espanya/DOP_Rioja/rioja.pdf"], "Espanya"), PlainPages(), "Espanya", chat=ScriptedChat())
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in corpus.listing(spark, root, "Espanya")._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
 def test_incremental_stream(spark, root, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     src = tmp_path / "in" / "Espanya" / "DOP_Rioja"
