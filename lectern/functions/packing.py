@@ -229,8 +229,8 @@ def graph_sections(text: Column | str, cfg: EngineConfig = DEFAULT) -> Column:
 
     def build(found: Column) -> Column:
         def section(part: Column, i: Column) -> Column:
-            titles = F.filter(F.slice(found, F.lit(1), i), is_heading)
-            title = F.coalesce(F.try_element_at(titles, F.lit(-1)), F.lit("Document"))
+            # headings and texts take turns, so the title of a text is the part before it
+            title = F.coalesce(F.get(found, i - 1), F.lit("Document"))
             body = F.when(is_heading(part), F.lit("")).otherwise(strip(part))
             return _passage(strip(strip_chars(title, "#")), body)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern import fixed_values as V
 from lectern.functions import names, packing, text
-from lectern.operators import catalog, passages
+from lectern.operators import catalog, graph, passages
 from lectern.plans.registered import derived as D
 from lectern.plans.registered.registry import register, table
+from lectern.plans.registered.tables import d_any
 from lectern.sources.layout import spread
 
 RAW_EXTRACT = """concat('BOLETÍN OFICIAL DEL ESTADO Núm. ', doc_id, '{nl}', '**==> picture [', n_chars, ' x 4] intentionally omitted <==**', '{nl}',
@@ -374,7 +376,7 @@ def parent_id_parts(spark, sf_dir):
     return p.select("parent_id", names.parse_parent_id("parent_id").alias("k")).select("parent_id", "k.country", "k.folder", "k.pdf")
 
 
-@register("graph_sections", rf"""
+_SECTIONS = rf"""
 WITH {D.CORPUS}, {D.MARKDOWN},
 lines AS (
   SELECT source_file, i, ls[i] AS line FROM (SELECT source_file, ls, unnest(range(1, len(ls) + 1)) AS i
@@ -385,7 +387,11 @@ lines AS (
 ), s AS (
   SELECT source_file, sec, coalesce({D.d_strip("trim(min(line) FILTER (is_head), '#')")}, 'Document') AS heading,
          {D.d_strip("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT is_head), '')")} AS content FROM numbered GROUP BY ALL
-)
+)"""
+
+
+@register("graph_sections", f"""
+{_SECTIONS}
 SELECT source_file, heading, len(content) AS n_chars, md5(content) AS digest FROM s WHERE len(content) > 80
 """)
 def graph_sections(spark, sf_dir):
@@ -395,3 +401,29 @@ def graph_sections(spark, sf_dir):
         "source_file", F.col("s.section").alias("heading"),
         F.length("s.markdown").cast("long").alias("n_chars"), F.md5("s.markdown").alias("digest"),
     )
+
+
+@register("interesting_sections", f"""
+{_SECTIONS}
+SELECT source_file, heading, md5(content) AS digest FROM s
+WHERE len(content) >= 100 AND ({d_any("lower(heading)", V.SECTION_KEYWORDS)} OR {d_any("lower(left(content, 500))", V.SECTION_KEYWORDS)})
+""")
+def interesting_sections(spark, sf_dir):
+    found = graph.interesting_sections(D.corpus(spark, sf_dir, "markdown"))
+    return found.select("source_file", "heading", F.md5("content").alias("digest"))
+
+
+@register("document_metadata", f"""
+WITH {D.CORPUS}
+SELECT source_file, folder, country, CASE WHEN regexp_matches(folder, '^(DOP|IGP)_') THEN left(folder, 3) ELSE 'knowledge' END AS gi_type,
+       CASE WHEN doc_id % 4 = 1 THEN 'given ' || doc_id WHEN regexp_matches(folder, '^(DOP|IGP)_') THEN substr(folder, 5) ELSE folder END AS gi_name,
+       CASE WHEN doc_id % 2 = 0 THEN 'part' ELSE '' END AS subcategory, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE language END AS language
+FROM corpus WHERE plain <> ''
+""")
+def document_metadata(spark, sf_dir):
+    n = F.col("doc_id")
+    docs = D.corpus(spark, sf_dir).withColumns({
+        "gi_name": F.when(n % 4 == 1, F.concat(F.lit("given "), n.cast("string"))), "subcategory": F.when(n % 2 == 0, F.lit("part")),
+        "language": F.when(n % 3 != 0, F.col("language")),
+    })
+    return passages.with_document_metadata(docs).drop("markdown")
