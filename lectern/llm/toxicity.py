@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -145,8 +144,14 @@ def numbered(words: str) -> dict[str, int]:
 
 def word_numbers(counts: dict[str, int], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers, ascending, and counts of the words that ``number`` has."""
-    found = sorted((t, n) for w, n in counts.items() if (t := number.get(w)) is not None)
-    return np.array([t for t, _ in found], np.int32), np.array([n for _, n in found], np.int32)
+    found = {t: n for w, n in counts.items() if (t := number.get(w)) is not None}
+    return ascending(found)
+
+
+def ascending(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    term, n = np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
+    order = np.argsort(term)
+    return term[order], n[order]
 
 
 def word_vector(term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,24 +161,28 @@ def word_vector(term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.nd
 
 
 def packed(term: np.ndarray, n: np.ndarray) -> bytes:
-    """Numbers and counts of one text in few bytes."""
-    return zlib.compress(np.concatenate([np.diff(term, prepend=np.int32(0)), n]).astype("<i4").tobytes(), 1)
+    """Numbers and counts of one text: a byte of widths, steps from number to number, counts."""
+    steps = np.diff(term, prepend=np.int32(0))
+    wide, many = bool(len(steps) and steps.max() > 0xFFFF), bool(len(n) and n.max() > 0xFF)
+    return bytes([wide + 2 * many]) + steps.astype("<i4" if wide else "<u2").tobytes() + n.astype("<i4" if many else "u1").tobytes()
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(data), "<i4")
-    return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
+    wide, many = data[0] & 1, data[0] & 2
+    size = (len(data) - 1) // ((4 if wide else 2) + (4 if many else 1))
+    steps = np.frombuffer(data, "<i4" if wide else "<u2", size, 1)
+    n = np.frombuffer(data, "<i4" if many else "u1", size, 1 + steps.nbytes)
+    return np.cumsum(steps, dtype=np.int32), n.astype(np.int32)
 
 
 #: Cosine from which an example has a vote, and the length below which a text's lighter words are only bounded.
-NEAR, REST = 0.7, 0.45
+NEAR, REST = 0.7, 0.5
 
 
 def read_text(terms: Terms, words: dict[str, int], text: str | None) -> tuple[bytes, bytes]:
     """Known words and picked terms of a text, packed."""
     counts = word_counts(text)
-    picked = sorted(terms.among(counts).items())
-    return packed(*word_numbers(counts, words)), packed(np.array([t for t, _ in picked], np.int32), np.array([n for _, n in picked], np.int32))
+    return packed(*word_numbers(counts, words)), packed(*ascending(terms.among(counts)))
 
 
 class WordIndex:
@@ -183,15 +192,29 @@ class WordIndex:
         self.n, self.block, self.near, self.rest = len(at) - 1, block, near, rest
         self.at, self.term, self.weight = at, term, weight.astype(np.float32)
         self.blocks = -(-self.n // block)
-        key = term.astype(np.int64) * self.blocks + np.repeat(np.arange(self.n) // block, np.diff(at))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.largest = np.maximum.reduceat(self.weight[order], first) if len(first) else np.zeros(0, np.float32)
-        self.where = (key[first] % max(1, self.blocks)).astype(np.int32)
-        self.cut = np.searchsorted(key[first] // max(1, self.blocks), np.arange(terms + 1)).astype(np.int64)
+        # by ranges of words, so that what is sorted at a time stays small
+        of_block = np.repeat(np.arange(self.n, dtype=np.int32) // np.int32(block), np.diff(at))
+        ends = self._even_ranges(term, terms) if len(term) else np.array([0, terms])
+        where, largest, lengths = [], [], np.zeros(terms, np.int64)
+        for low, high in zip(ends[:-1], ends[1:]):
+            chosen = np.flatnonzero((term >= low) & (term < high))
+            key = (term[chosen] - low).astype(np.int64) * max(1, self.blocks) + of_block[chosen]
+            order = np.argsort(key, kind="stable")
+            key, weights = key[order], self.weight[chosen[order]]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            where.append((key[first] % max(1, self.blocks)).astype(np.int32))
+            largest.append(np.maximum.reduceat(weights, first) if len(first) else weights)
+            lengths[low:high] = np.bincount(key[first] // max(1, self.blocks), minlength=high - low)
+        self.where, self.largest = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((where, np.int32), (largest, np.float32)))
+        self.cut = np.concatenate([[0], np.cumsum(lengths)])
         self.query = np.zeros(terms)
 
+    @staticmethod
+    def _even_ranges(term: np.ndarray, terms: int, parts: int = 16) -> np.ndarray:
+        """Ends of ranges of words with about as many entries each."""
+        total = np.cumsum(np.bincount(term, minlength=terms))
+        return np.unique(np.concatenate([[0], np.searchsorted(total, total[-1] * np.arange(1, parts) // parts), [terms]])).astype(np.int64)
+
     def bounds(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """For each block what no cosine of its vectors with the query exceeds."""
         heavy = np.argsort(-weight, kind="stable")
@@ -267,19 +290,23 @@ class Model:
         return math.log((for_ + 0.1) / (against + 0.1)), [self.example[v] for _, v in near[:3]]
 
     @cached_property
-    def word_index(self) -> tuple[dict[str, int], WordIndex]:
+    def word_index(self) -> WordIndex:
         """Made where it is first used, so that only words and counts are sent."""
         if not self.texts:
-            return numbered(self.words), WordIndex(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), 0)
-        found = [word_vector(*unpacked(x), self.word_idf) for x in self.texts]
-        at = np.concatenate([[0], np.cumsum([len(t) for t, _ in found])])
-        term, weight = (np.concatenate([f[k] for f in found], dtype=kind) for k, kind in ((0, np.int32), (1, np.float32)))
-        return numbered(self.words), WordIndex(at, term, weight, len(self.word_idf))
+            return WordIndex(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), 0)
+        at = np.concatenate([[0], np.cumsum([len(unpacked(x)[0]) for x in self.texts])])
+        term, weight = np.zeros(at[-1], np.int32), np.zeros(at[-1], np.float32)
+        for a, z, x in zip(at[:-1].tolist(), at[1:].tolist(), self.texts):
+            term[a:z], weight[a:z] = word_vector(*unpacked(x), self.word_idf)
+        return WordIndex(at, term, weight, len(self.word_idf))
+
+    @cached_property
+    def word_number(self) -> dict[str, int]:
+        return numbered(self.words)
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
         """Probability and evidence of each text; equal texts are scored once."""
-        words = self.word_index[0]
-        found = [read_text(self.terms, words, t) for t in texts]
+        found = [read_text(self.terms, self.word_number, t) for t in texts]
         return [self.of(*x) for x in found]
 
     def of(self, words: bytes, picked: bytes) -> tuple[float, list[int]]:
@@ -292,7 +319,7 @@ class Model:
                 self.read.clear()
             found = self.start(dict(zip(*(x.tolist() for x in unpacked(picked)))))
             if self.texts:
-                found = self.moved(found, *self.word_index[1].nearest(*word_vector(*unpacked(words), self.word_idf), self.k))
+                found = self.moved(found, *self.word_index.nearest(*word_vector(*unpacked(words), self.word_idf), self.k))
             self.read[key] = found
         return self.read[key]
 
@@ -395,7 +422,7 @@ def sample_words(sample: DataFrame) -> str:
         seen: set[str] = set()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(word_counts(text))
+                seen.update(LETTERS.findall((text or "").lower()))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
 
     found = sample.select("text").mapInArrow(distinct, "word string").distinct().toArrow().column("word").to_pylist()
