@@ -186,6 +186,13 @@ HISTORY_TITLE = "## Historial de la conversa"
 USER_LABEL, ASSISTANT_LABEL = "Usuari", "Assistent"
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 
+# --- repair of model replies ----------------------------------------------------------------
+REPLY_TRAILING_COMMA = r",\s*(\]|\})"
+REPLY_TRAILING_COMMA_OF_LINE = r",\s*(\})"
+REPLY_BARE_KEY = r"([{,]\s*)([a-zA-Z_][a-zA-Z0-9_]*)\s*:"
+REPLY_NOT_A_VALUE = r":\s*(?:undefined|NaN|Infinity|null)\b"
+REPLY_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+
 # --- read-only SQL ------------------------------------------------------------------------
 BLOCKED_SQL_WORDS = (
     "drop", "delete", "insert", "update", "alter", "create", "attach",

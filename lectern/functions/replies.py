@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern import fixed_values as V
 from lectern.functions.text import col, let, strip
 
 TRIPLES = (
@@ -12,8 +13,6 @@ TRIPLES = (
     "object:string,object_type:string,attrs:map<string,string>>>"
 )
 TRIPLE = TRIPLES[len("array<"):-1]
-_BARE_KEY = r"([{,]\s*)([a-zA-Z_][a-zA-Z0-9_]*)\s*:"
-_NOT_A_VALUE = r":\s*(?:undefined|NaN|Infinity|null)\b"
 
 
 def _strict(text: Column) -> Column:
@@ -31,23 +30,23 @@ def parse_triples(raw: Column | str) -> Column:
     body = F.regexp_replace(F.regexp_replace(strip(raw), r"(?U)\A```(?:json)?\s*", ""), r"(?U)\s*```\z", "")
     empty = F.from_json(F.lit("[]"), TRIPLES)
 
-    def mend(text: Column) -> Column:
-        mended = F.regexp_replace(F.regexp_replace(text, r",\s*(\]|\})", "$1"), _BARE_KEY, '$1"$2":')
-        return F.regexp_replace(mended, _NOT_A_VALUE, ': ""')
+    def mend(text: Column, comma: str = V.REPLY_TRAILING_COMMA) -> Column:
+        mended = F.regexp_replace(F.regexp_replace(text, comma, "$1"), V.REPLY_BARE_KEY, '$1"$2":')
+        return F.regexp_replace(mended, V.REPLY_NOT_A_VALUE, ': ""')
 
     def line_objects(text: Column) -> Column:
         lines = F.filter(
             F.transform(F.split(text, "\n"), strip),
             lambda s: F.startswith(s, F.lit("{")) & F.endswith(s, F.lit("}")),
         )
-        objects = F.transform(lines, lambda s: let(mend(s), lambda m: F.when(F.try_parse_json(m).isNotNull(), F.from_json(m, TRIPLE))))
+        objects = F.transform(lines, lambda s: let(mend(s, V.REPLY_TRAILING_COMMA_OF_LINE), lambda m: F.when(F.try_parse_json(m).isNotNull(), F.from_json(m, TRIPLE))))
         return F.filter(objects, lambda o: o.isNotNull())
 
     def parse(text: Column) -> Column:
         found = F.regexp_extract(text, r"(?s)\[.*\]", 0)
 
         def attempts(array_text: Column) -> Column:
-            control = F.regexp_replace(mend(array_text), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+            control = F.regexp_replace(mend(array_text), V.REPLY_CONTROL, "")
             return F.when(array_text == "", empty).otherwise(
                 F.coalesce(
                     _strict(array_text),
