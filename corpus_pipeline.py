@@ -26,8 +26,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score, learned from three folds of four of the labels, is below 0.3."""
     fold = residue("doc_id", 4)
-    model, _ = toxicity.learn(docs, table(spark, sf_dir, "labels"), (fold != 2) & (fold != -1))
-    return toxicity.rows_below(docs, model, 0.3)
+    model, read = toxicity.learn(docs, table(spark, sf_dir, "labels"), (fold != 2) & (fold != -1), whole=True)
+    return toxicity.rows_below(read, model, 0.3).toDF(*docs.columns)
 
 
 def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,8 +104,8 @@ def weighted(counts: dict[int, int], idf: np.ndarray) -> tuple[tuple[int, float]
 class BlockMaxIndex:
     """Exact nearest vectors by cosine."""
 
-    def __init__(self, vectors: list[tuple[tuple[int, float], ...]], block: int = 64):
-        self.block, self.n = block, len(vectors)
+    def __init__(self, vectors: list[tuple[tuple[int, float], ...]], block: int = 64, apart: int = 4):
+        self.block, self.n, self.apart = block, len(vectors), apart
         self.blocks = -(-self.n // block)
         postings: dict[int, list[tuple[int, float]]] = {}
         for v, pairs in enumerate(vectors):
@@ -125,9 +125,13 @@ class BlockMaxIndex:
             return []
         bound = sum(q * largest for (_, _, largest, _), q in lists)
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
+        order = np.argsort(-bound, kind="stable")
+        for done, b in enumerate(order):
             if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
                 break
+            if done == self.apart:
+                best = self._all_at_once(lists, order[done:], best, k, leave)
+                break
             score = np.zeros(self.block)
             for (where, weight, _, cut), q in lists:
                 a, z = cut[b], cut[b + 1]
@@ -136,6 +140,16 @@ class BlockMaxIndex:
             best = sorted(best + [x for x in here if x[1] != leave])[:k]
         return [(-s, v) for s, v in best]
 
+    def _all_at_once(self, lists: list, blocks: np.ndarray, best: list[tuple[float, int]], k: int, leave: int) -> list[tuple[float, int]]:
+        """When the best few blocks exclude little, the others are scored by one sum over the lists."""
+        score = np.bincount(np.concatenate([x[0] for x, _ in lists]), np.concatenate([q * x[1] for x, q in lists]), minlength=self.n)
+        open_ = np.zeros(self.blocks, bool)
+        open_[blocks] = True
+        found = np.flatnonzero(score > (0.0 if len(best) < k else -best[-1][0] - 1e-12))
+        found = found[open_[found // self.block] & (found != leave)]
+        found = found[np.argsort(-score[found], kind="stable")[:k]]
+        return sorted(best + [(-score[i], int(i)) for i in found])[:k]
+
 
 def numbered(words: str) -> dict[str, int]:
     """Numbers of words that are given as one text, which is far smaller to send."""
@@ -188,7 +202,7 @@ def read_text(terms: Terms, words: dict[str, int], text: str | None) -> tuple[by
 class WordIndex:
     """Exact nearest vectors of a cosine of at least ``near``; vectors lie one after another, cut at ``at``."""
 
-    def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, block: int = 16, near: float = NEAR, rest: float = REST):
+    def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, block: int = 4, near: float = NEAR, rest: float = REST):
         self.n, self.block, self.near, self.rest = len(at) - 1, block, near, rest
         self.at, self.term, self.weight = at, term, weight.astype(np.float32)
         self.blocks = -(-self.n // block)
@@ -263,7 +277,6 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
     k: int = 16
-    words: str = ""
     word_idf: np.ndarray | None = None
     texts: list[bytes] | None = None
     marks: np.ndarray | None = None
@@ -272,7 +285,7 @@ class Model:
     def __post_init__(self) -> None:
         self.index = BlockMaxIndex(self.vectors)
         self.terms = Terms(self.number)
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
+        self.known: dict[bytes, tuple[float, list[int]]] = {}
         self.read: dict[bytes, tuple[float, list[int]]] = {}
 
     def vote(self, query: tuple[tuple[int, float], ...], leave: int = 0) -> tuple[float, list[int]] | None:
@@ -300,24 +313,19 @@ class Model:
             term[a:z], weight[a:z] = word_vector(*unpacked(x), self.word_idf)
         return WordIndex(at, term, weight, len(self.word_idf))
 
-    @cached_property
-    def word_number(self) -> dict[str, int]:
-        return numbered(self.words)
-
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-        """Probability and evidence of each text; equal texts are scored once."""
-        found = [read_text(self.terms, self.word_number, t) for t in texts]
-        return [self.of(*x) for x in found]
-
     def of(self, words: bytes, picked: bytes) -> tuple[float, list[int]]:
-        """The same from the packed words and picked terms of a text."""
+        """Probability and evidence from the packed words and picked terms of a text; equal texts are scored once."""
         import xxhash
 
         key = xxhash.xxh3_128_digest(words + b"|" + picked)
         if key not in self.read:
             if len(self.read) > 50_000:
                 self.read.clear()
-            found = self.start(dict(zip(*(x.tolist() for x in unpacked(picked)))))
+            found = self.known.get(picked)
+            if found is None:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                found = self.known[picked] = self.start(dict(zip(*(x.tolist() for x in unpacked(picked)))))
             if self.texts:
                 found = self.moved(found, *self.word_index.nearest(*word_vector(*unpacked(words), self.word_idf), self.k))
             self.read[key] = found
@@ -334,12 +342,8 @@ class Model:
         query = weighted(picked, self.idf) if self.number else ()
         if not query:
             return self.none_rate, []
-        if query not in self.known:
-            if len(self.known) > 2000:
-                self.known.clear()
-            voted = self.vote(query)
-            self.known[query] = (self.none_rate, []) if voted is None else (1 / (1 + math.exp(-(self.slope * voted[0] + self.shift))), voted[1])
-        return self.known[query]
+        voted = self.vote(query)
+        return (self.none_rate, []) if voted is None else (1 / (1 + math.exp(-(self.slope * voted[0] + self.shift))), voted[1])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -429,19 +433,20 @@ def sample_words(sample: DataFrame) -> str:
     return " ".join(sorted(found))
 
 
-def read_rows(docs: DataFrame, number: dict[str, int], words: str) -> DataFrame:
-    """(doc_id, words, picked): every row's known words and picked terms, packed; written, so each text is read once."""
+def read_rows(docs: DataFrame, text: str, number: dict[str, int], words: str) -> DataFrame:
+    """The rows of ``docs`` with words and picked, every text's known words and picked terms, packed; written, so each text is read once."""
     shared = docs.sparkSession.sparkContext.broadcast((number, words))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, words = shared.value
-        terms, known = Terms(number), numbered(words)
+        terms, known = Terms(number, 100_000), numbered(words)
         for batch in batches_of(batches, 1024):
-            found = [read_text(terms, known, t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]], names=["doc_id", "words", "picked"])
+            found = [read_text(terms, known, t) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]], names=[*batch.schema.names, "words", "picked"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut_lineage(only(docs, doc_id="doc_id", text="text").mapInArrow(read, f"doc_id {kind}, words binary, picked binary"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.mapInArrow(read, f"{kinds}, words binary, picked binary")
+    rows = cut_lineage(rows if text != "text" else rows.drop("text"))
     shared.unpersist()
     return rows
 
@@ -465,12 +470,18 @@ def document_frequencies(rows: DataFrame, picked: int, words: int) -> tuple[np.n
     return out[:picked], out[picked:-1], int(out[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = 30_000) -> tuple[Model, DataFrame]:
-    """A model from ``labels`` (doc_id, toxic) of the learnable rows of ``docs`` (doc_id, text), and all rows as it reads them."""
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = 30_000, whole: bool = False) -> tuple[Model, DataFrame]:
+    """A model from ``labels`` (doc_id, toxic) of the learnable rows of ``docs`` (doc_id, text), and all rows as it reads them.
+
+    These have doc_id, or with ``whole`` every column of ``docs``, named c0, c1 and so on, so that no name can clash.
+    """
     sample = labelled_sample(docs, labels, learnable, sample_rows)
     number = pick_terms(sample)
     words = sample_words(sample)
-    read = read_rows(docs, number, words)
+    if whole:
+        read = read_rows(docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), f"c{docs.columns.index('text')}", number, words)
+    else:
+        read = read_rows(only(docs, doc_id="doc_id", text="text"), "text", number, words)
     frequency, word_frequency, rows = document_frequencies(read, len(number), words.count(" ") + 1 if words else 0)
     idf, word_idf = (np.log((1 + rows) / (1 + f)) + 0.1 for f in (frequency, word_frequency))
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -505,7 +516,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: in
     order = sorted(entries)  # vectors that share terms lie in the same blocks
     toxic, clean = (np.array([entries[v][k] for v in order], float) for k in (0, 1))
     model = Model(
-        number, idf, order, toxic, clean, [entries[v][2] for v in order], (none[0] + 0.1) / (sum(none) + 1), words=words, word_idf=word_idf,
+        number, idf, order, toxic, clean, [entries[v][2] for v in order], (none[0] + 0.1) / (sum(none) + 1), word_idf=word_idf,
         texts=[bytes(r.words) for r in kept], marks=np.array([float(r.toxic > 0) for r in kept]), rows=np.array([r.doc_id for r in kept]),
     )
     votes = [(voted[0], y, n) for v, vector in enumerate(order) for y, n in ((1, toxic[v]), (0, clean[v])) if n and (voted := model.vote(vector, (v + 1) * (1 if y else -1)))]
@@ -529,19 +540,17 @@ def score_rows(read: DataFrame, model: Model) -> DataFrame:
     return read.mapInArrow(score, f"doc_id {kind}, score double, evidence array<long>")
 
 
-def rows_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores below ``limit``; nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{k}" for k in range(len(docs.columns))]  # columns are numbered meanwhile, so no name can clash
-    at = docs.columns.index("text")
+def rows_below(read: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows, as ``learn`` has read them whole, whose text scores below ``limit``; nothing is shuffled."""
+    shared = read.sparkSession.sparkContext.broadcast(model)
+    kept = read.columns[:-2]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1024):
-            scores = shared.value.scores(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([s < limit for s, _ in scores], pa.bool_()))
+            below = [shared.value.of(w, p)[0] < limit for w, p in zip(batch.column("words").to_pylist(), batch.column("picked").to_pylist())]
+            yield batch.select(kept).filter(pa.array(below, pa.bool_()))
 
-    kinds = [f.dataType.simpleString() for f in docs.schema]
-    return docs.toDF(*names).mapInArrow(keep, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))).toDF(*docs.columns)
+    return read.mapInArrow(keep, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.schema.fields[:-2]))
 
 
 def toxicity_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

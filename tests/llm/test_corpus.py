@@ -130,14 +130,15 @@ def test_scores_of_the_language_model(spark):
     assert pitman_yor.model_rows(docs.limit(0)).count() == 0
 
 
-def test_block_max_index_equals_full_scan():
+@pytest.mark.parametrize("apart", [0, 2, 1000])
+def test_block_max_index_equals_full_scan(apart):
     rng = random.Random(3)
     vectors = []
     for _ in range(400):
         pairs = {rng.randrange(30): rng.random() for _ in range(rng.randrange(1, 6))}
         norm = math.sqrt(sum(w * w for w in pairs.values()))
         vectors.append(tuple(sorted((t, w / norm) for t, w in pairs.items())))
-    index = toxicity.BlockMaxIndex(vectors, block=16)
+    index = toxicity.BlockMaxIndex(vectors, block=16, apart=apart)
     for query in vectors[:60]:
         q = dict(query)
         scores = sorted((-sum(q.get(t, 0) * w for t, w in v), i) for i, v in enumerate(vectors))
