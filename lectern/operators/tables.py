@@ -104,15 +104,20 @@ def parse_table(text: Column | str) -> Column:
 def classify_table(headers: Column, columns: Column) -> Column:
     """Kind of a table by its header words; NULL for sensory and unknown tables."""
     head = F.lower(F.array_join(headers, " "))
+
+    def kind(texts: Column) -> Column:
+        head, both = texts["head"], texts["both"]
+        sensory = sum((F.contains(both, F.lit(w)).cast("int") for w in V.SENSORY_WORDS), F.lit(0))
+        return (
+            F.when(sensory >= 3, F.lit(None).cast("string"))
+            .when(contains_any(head, V.YIELD_COLUMN_WORDS), F.lit("yields"))
+            .when(contains_any(head, V.VARIETY_COLUMN_WORDS), F.lit("varieties"))
+            .when(contains_any(head, V.MUNICIPALITY_COLUMN_WORDS), F.lit("municipalities"))
+            .when(contains_any(both, [h for h, _, _ in V.PARAMETERS]), F.lit("analytics"))
+        )
+
     both = F.concat(head, F.lit(" "), F.lower(F.array_join(columns, " ")))
-    sensory = sum((F.contains(both, F.lit(w)).cast("int") for w in V.SENSORY_WORDS), F.lit(0))
-    return (
-        F.when(sensory >= 3, F.lit(None).cast("string"))
-        .when(contains_any(head, V.YIELD_COLUMN_WORDS), F.lit("yields"))
-        .when(contains_any(head, V.VARIETY_COLUMN_WORDS), F.lit("varieties"))
-        .when(contains_any(head, V.MUNICIPALITY_COLUMN_WORDS), F.lit("municipalities"))
-        .when(contains_any(both, [h for h, _, _ in V.PARAMETERS]), F.lit("analytics"))
-    )
+    return let(F.struct(head.alias("head"), both.alias("both")), kind)
 
 
 def parsed_tables(docs: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -124,8 +129,8 @@ def parsed_tables(docs: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
         *[F.when(F.col("country") == c, F.lit(i)) for i, c in enumerate(V.SUPPORTED_COUNTRIES)]
     )
     blocks = (
-        docs.filter(F.contains(F.col("markdown"), F.lit(V.TABLES_SECTION_HEADER)))
-        .withColumn("country_ord", country_ord)
+        # a document without the section has no blocks; a test before would make derived documents twice
+        docs.withColumn("country_ord", country_ord)
         .filter("country_ord is not null")
         .select(
             "country_ord",
@@ -136,13 +141,14 @@ def parsed_tables(docs: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
             F.posexplode(table_blocks("markdown")).alias("table_ord", "block"),
         )
     )
-    # generated, not projected: every block is parsed once, whatever is asked of the result
+    # generated, not projected: every block is parsed and named once, whatever is asked of the result
     once = F.filter(F.array(parse_table("block")), lambda t: t.isNotNull())
-    parsed = blocks.withColumn("t", F.explode(once)).drop("block")
+    named = F.transform(once, lambda t: t.withField("kind", classify_table(t["headers"], t["columns"])))
+    parsed = blocks.withColumn("t", F.explode(named)).drop("block")
     return parsed.select(
         "country_ord", "path", "source_file", "dop", "gi_type", "table_ord",
         F.col("t.headers").alias("headers"), F.col("t.columns").alias("columns"), F.col("t.rows").alias("rows"),
-        classify_table(F.col("t.headers"), F.col("t.columns")).alias("kind"),
+        F.col("t.kind").alias("kind"),
     )
 
 
@@ -182,6 +188,12 @@ def _exploded(rows: DataFrame, items: Column) -> DataFrame:
     )
 
 
+def _once(rows: DataFrame, **values: Column) -> DataFrame:
+    """The values as columns; generated, so that later filters and columns do not compute them again."""
+    made = rows.withColumn("_x", F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+    return made.withColumns({k: F.col("_x")[k] for k in values}).drop("_x")
+
+
 def analytics_rows(tables: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     headers = F.col("headers")
     two = F.size(headers) == 2
@@ -288,14 +300,13 @@ def yield_rows(tables: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
         return F.try_element_at(hits, F.lit(-1))["v"]
 
     first = _cell(F.lit(0))
+    read = _once(table_rows(tables, "yields"), readings=F.transform("headers", reading), wine_type=_row_wine_type())
     return (
-        table_rows(tables, "yields")
-        .withColumn("readings", F.transform("headers", reading))
-        .withColumn("wine_type", _row_wine_type())
+        _once(read, kg_ha=last_of("kg"), hl_ha=last_of("hl"))
         .select(
             "country_ord", "path", "table_ord", "row_ord", F.lit(0).alias("item_ord"), "dop", "gi_type", "wine_type",
             F.when(F.length(first) > 2, first).otherwise(F.col("wine_type")).alias("variety"),
-            last_of("kg").alias("kg_ha"), last_of("hl").alias("hl_ha"), "source_file",
+            "kg_ha", "hl_ha", "source_file",
         )
         .filter((F.coalesce("kg_ha", F.lit(0.0)) != 0) | (F.coalesce("hl_ha", F.lit(0.0)) != 0))
     )
@@ -317,14 +328,16 @@ def municipality_rows(tables: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFra
         return F.nullif(strip(_cell(index)), F.lit(""))
 
     town = F.coalesce(_header_index(headers, has("municipi"), last=True), F.lit(0))
+    named = _once(
+        table_rows(tables, "municipalities"),
+        municipality=strip(_cell(town)),
+        zone=optional(_header_index(headers, zone_not_municipality, last=True)),
+        province=optional(_header_index(headers, province_only, last=True)),
+    )
     return (
-        table_rows(tables, "municipalities")
-        .select(
+        named.select(
             "country_ord", "path", "table_ord", "row_ord", F.lit(0).alias("item_ord"), "dop", "gi_type",
-            strip(_cell(town)).alias("municipality"),
-            optional(_header_index(headers, zone_not_municipality, last=True)).alias("zone"),
-            optional(_header_index(headers, province_only, last=True)).alias("province"),
-            "source_file",
+            "municipality", "zone", "province", "source_file",
         )
         .filter(F.length("municipality") >= 2)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.plans.registered.registry import table
-from lectern.sources.layout import spread
+from lectern.sources.layout import dealt, spread
 
 NL = "chr(10)"
 
@@ -102,7 +102,7 @@ TABLE_FOLDER = """CASE WHEN p_size % 5 = 0 THEN concat('IGP_', replace(p_brand,
 
 def table_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """country, folder, source_file, markdown: one document with five tables per part."""
-    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select(
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select(
         F.lit("Espanya").alias("country"),
         F.expr(TABLE_FOLDER).alias("folder"),
         F.concat(F.lit("pliego_"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("source_file"),
