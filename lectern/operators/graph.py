@@ -20,7 +20,7 @@ from lectern.config import DEFAULT, EngineConfig
 from lectern.functions import names, packing
 from lectern.functions.text import contains_any, entity_name
 from lectern.operators.lineage import cut_lineage
-from lectern.operators.skew import next_event, ordered_ids, pairs_sharing, products_within
+from lectern.operators.skew import least_shared_group, next_event, ordered_ids, pairs_sharing, products_within
 
 ATTRS = "map<string,string>"
 STAGE_TABLES, STAGE_DIRECTORY, STAGE_TRIPLES, STAGE_SHARED = 0, 10, 20, 90
@@ -304,26 +304,32 @@ def soil_in_climate(edges: DataFrame) -> DataFrame:
 # --- shared entities --------------------------------------------------------------------------
 
 def _not_yet(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    return candidates.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    """Candidates (src, dst) without an edge; only edges that leave one of their sources are moved."""
+    candidates = cut_lineage(candidates)
+    sources = cut_lineage(candidates.select("src").distinct())
+    return candidates.join(edges.select("src", "dst").join(sources, "src", "left_semi"), ["src", "dst"], "left_anti")
 
 
 def shares_variety(edges: DataFrame, block: int = 256) -> DataFrame:
     """One edge a -> b (a < b) for designations with a variety in common and no edge so far."""
     # Pairs are the bulk of the work, so they are made of numbers.  The numbers grow with the
     # order of names and of first appearances, which keeps "a < b" and "came first" intact.
-    listed = edges.filter("predicate = 'AUTHORIZES_VARIETY'").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
+    listed = edges.filter("predicate = 'AUTHORIZES_VARIETY'")
     varieties = ordered_ids(listed.groupBy("dst").agg(F.min("ord").alias("came")), ("came", "dst"), "v").select("dst", "v")
     designations = ordered_ids(listed.select("src").distinct(), ("src",), "d")
-    members = cut_lineage(listed.select("src", "dst").join(varieties, "dst").join(designations, "src").select("v", "d"))
+    members = cut_lineage(listed.select("src", "dst").join(varieties, "dst").join(designations, "src").select("v", "d").distinct())
     # the edge names the variety that came into the graph first
-    first = pairs_sharing(members, "v", "d", block=block).groupBy("a", "b").agg(F.min("v").alias("v"))
-    first = (
-        first.join(varieties.withColumnRenamed("dst", "variety"), "v")
+    first = least_shared_group(members, "v", "d", block)
+    # edges between designations, in numbers: most edges end at a variety and are dropped by the first join
+    to = edges.select("src", "dst").join(designations.select(F.col("src").alias("dst"), F.col("d").alias("b")), "dst")
+    known = to.join(designations.withColumnRenamed("d", "a"), "src").select("a", "b").distinct()
+    kept = (
+        first.join(known, ["a", "b"], "left_anti")
+        .join(varieties.withColumnRenamed("dst", "variety"), "v")
         .join(designations.withColumnsRenamed({"d": "a"}), "a")
         .join(designations.withColumnsRenamed({"d": "b", "src": "dst"}), "b")
         .select("src", "dst", "variety")
     )
-    kept = _not_yet(first, edges)
     return edges_of(kept, F.col("src"), F.col("dst"), "SHARES_VARIETY_WITH",
                     order_key(STAGE_SHARED, F.col("src"), F.lit(0), F.lit(0), F.lit(0)),
                     source=F.lit("cross_inference"), attrs_=attrs(variety=F.col("variety")))

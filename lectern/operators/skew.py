@@ -83,6 +83,52 @@ def pairs_sharing(
     )
 
 
+def least_shared_group(members: DataFrame, group: str, member: str, block: int = 256, most: int = 1 << 23) -> DataFrame:
+    """(a, b, group) for every pair of members with ``a < b`` that share a group: the least group they share.
+
+    ``members`` must hold each (group, member) once.  Lists travel instead of pairs: a member is sent with the members
+    after it to the task that holds all its pairs, where they are unpacked and reduced without another shuffle.
+    A group of more than ``block`` members is cut into lists that meet two by two, and the pairs of a
+    member with more than ``most`` of them are dealt over several tasks by the other member.
+    """
+    sizes = members.groupBy(group).agg(F.count("*").alias("_n"))
+    # written, so that their size is known when the members are joined with them
+    heavy = cut_lineage(sizes.filter(F.col("_n") > block).select(group, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    placed = members.join(heavy, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    placed = placed.withColumn("_own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    lists = cut_lineage(
+        placed.repartition(group, "_own").groupBy(group, "_own", "_blocks").agg(F.sort_array(F.collect_list(member)).alias("_of"))
+    )
+    size = F.size("_of")
+    within = lists.select(group, "_of", F.posexplode("_of").alias("_at", "a")).filter(F.col("_at") < size - 1)
+    within = within.select(group, "a", F.slice("_of", F.col("_at") + 2, size - F.col("_at") - 1).alias("_after"))
+    many = lists.filter("_blocks > 1")
+    left = many.filter("_own < _blocks - 1").select(
+        group, F.col("_of").alias("_l"), F.explode(F.sequence(F.col("_own") + 1, F.col("_blocks") - 1)).alias("_j")
+    )
+    met = left.join(many.select(group, F.col("_own").alias("_j"), F.col("_of").alias("_r")), [group, "_j"])
+
+    def after(some: str, others: str) -> Column:
+        return F.transform(some, lambda x: F.struct(x.alias("a"), F.filter(others, lambda y: y > x).alias("_after")))
+
+    across = met.select(group, F.explode(F.concat(after("_l", "_r"), after("_r", "_l"))).alias("_x"))
+    rows = within.unionByName(across.select(group, "_x.a", "_x._after").filter(F.size("_after") > 0))
+
+    met_by = lists.select(F.explode("_of").alias("a"), (size * F.col("_blocks")).cast("long").alias("_n")).groupBy("a").agg(F.sum("_n").alias("_n"))
+    hot = cut_lineage(met_by.filter(F.col("_n") > most).select("a", F.ceil(F.col("_n") / most).cast("int").alias("_pieces")))
+    keys = ["a"]
+    if not hot.isEmpty():
+        rows = rows.join(hot, "a", "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+        part = F.transform(F.sequence(F.lit(0), F.col("_pieces") - 1), lambda k: F.struct(
+            k.alias("k"), F.filter("_after", lambda b: F.pmod(F.xxhash64(b), F.col("_pieces")) == k).alias("of")))
+        whole = F.array(F.struct(F.lit(0).alias("k"), F.col("_after").alias("of")))
+        rows = rows.select(group, "a", F.explode(F.when(F.col("_pieces") > 1, part).otherwise(whole)).alias("_x"))
+        rows = rows.select(group, "a", F.col("_x.k").alias("_k"), F.col("_x.of").alias("_after"))
+        keys.append("_k")
+    pairs = rows.repartition(*keys).select(group, *keys, F.explode("_after").alias("b"))
+    return pairs.groupBy(*keys, "b").agg(F.min(group).alias(group)).select("a", "b", group)
+
+
 def next_event(probes: DataFrame, events: DataFrame, key: str, at: str) -> DataFrame:
     """For each (key, at) of ``probes`` the smallest ``at`` of ``events`` that is greater.
 
