@@ -17,17 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import packing, quality, similar_texts, toxicity
-from lectern.llm.common import cut_lineage, residue, run_folder, table
+from lectern.llm.common import cut_lineage, forget, residue, run_folder, table
 
 #: No SQL: the toxicity scores and the token ids of the packing are beyond it.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score, learned from three folds of four of the labels, is below 0.3."""
+    """Documents whose score, learned from three folds of four of the labels, is below 0.3.
+
+    They are written here, so that the larger table they come from, which has the words of all texts too, is gone for the next stages.
+    """
     fold = residue("doc_id", 4)
     model, read = toxicity.learn(docs, table(spark, sf_dir, "labels"), (fold != 2) & (fold != -1), whole=True)
-    return toxicity.rows_below(read, model, 0.3).toDF(*docs.columns)
+    kept = cut_lineage(toxicity.rows_below(read, model, 0.3), batch_rows=1024)
+    forget(read)
+    return kept.toDF(*docs.columns)
 
 
 def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, batches_of, cut_lineage, groups_in_order, only
+from lectern.llm.common import WORD, batches_of, cut_lineage, forget, groups_in_order, only
 from lectern.llm.components import components
 
 WORDS = re.compile(WORD)
@@ -231,6 +231,7 @@ def similarity_classes(
     )
     small, full = leaves(nodes, depth, fill)
     groups = components(tied(nodes, small, full, agree=0.5)).withColumnRenamed("root", "group")
+    forget(small)  # the tables of all leaves and full buckets; the groups are written
 
     # the sets of tied nodes, from one row each; the share of tied nodes doesn't depend on the size of the table,
     # so texts and ids are always sorted by id, never sent as a whole
@@ -260,6 +261,7 @@ def similarity_classes(
     found = cut_lineage(
         units.repartition("unit").sortWithinPartitions("unit").mapInArrow(linked(threshold), "node binary, root binary, links long")
     )
+    forget(filled)
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = nodes.drop("signature").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -288,6 +288,10 @@ class Model:
         self.known: dict[bytes, tuple[float, list[int]]] = {}
         self.read: dict[bytes, tuple[float, list[int]]] = {}
 
+    def __getstate__(self) -> dict:
+        """What is sent to tasks: the index has what scores need of the vectors."""
+        return self.__dict__ | {"vectors": []}
+
     def vote(self, query: tuple[tuple[int, float], ...], leave: int = 0) -> tuple[float, list[int]] | None:
         """Log odds of the neighbours' votes and the examples that voted; ``leave`` is one example taken out of its entry."""
         near = self.index.nearest(query, self.k)
@@ -446,7 +450,7 @@ def read_rows(docs: DataFrame, text: str, number: dict[str, int], words: str) ->
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rows = docs.mapInArrow(read, f"{kinds}, words binary, picked binary")
-    rows = cut_lineage(rows if text != "text" else rows.drop("text"))
+    rows = cut_lineage(rows if text != "text" else rows.drop("text"), batch_rows=1024)
     shared.unpersist()
     return rows
 

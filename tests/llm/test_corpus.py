@@ -1,7 +1,10 @@
 """Joins, neighbours, scores and the pipeline against brute force on small tables."""
 
 import math
+import os
+import pickle
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -278,6 +281,37 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0), str(tmp_path)).count() == 0
 
 
+def test_toxicity_model_is_sent_without_its_vectors():
+    vectors = [((0, 0.6), (1, 0.8)), ((1, 1.0),)]
+    model = toxicity.Model({"=a": 0, "=b": 1}, np.ones(2), vectors, np.array([1.0, 0.0]), np.array([0.0, 1.0]), [7, 8], 0.1)
+    sent = pickle.loads(pickle.dumps(model))
+    assert sent.vectors == [] and model.vectors == vectors
+    assert sent.vote(vectors[0]) == model.vote(vectors[0]) is not None and sent.start({0: 1}) == model.start({0: 1})
+
+
+def test_disk_is_freed(spark, tmp_path):
+    from lectern.llm.common import cut_lineage, run_folder
+
+    shuffled = lambda: {
+        f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f
+    }
+    before = shuffled()
+    counts = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"))
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and counts.count() == 7
+    docs, labels = toxic_corpus(spark)
+    spark.createDataFrame([(k, t) for k, t, *_ in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    old = set(os.listdir(run_folder(spark)))
+    left = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    tables = [spark.read.parquet(f"{run_folder(spark)}/{f}").columns for f in set(os.listdir(run_folder(spark))) - old]
+    assert sum("c1" in t for t in tables) == 1 and not any("picked" in t for t in tables)  # the texts that are kept, once
+    assert left.columns == ["doc_id", "text"] and 0 < left.count() < len(docs)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
