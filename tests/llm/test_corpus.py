@@ -133,6 +133,26 @@ def test_scores_of_the_language_model(spark):
     assert pitman_yor.model_rows(docs.limit(0)).count() == 0
 
 
+def test_words_are_drawn_in_the_restaurant_of_the_word_before(spark):
+    """Plain ASCII: the same words score by their order, and what a context has and leaves is one."""
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 == 2]
+    order, other = "red fox met big dog", "fox red dog met big"
+    rows = [(k, {held[0]: order, held[1]: other}.get(k, order if k % 3 else "big dog met red fox")) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pitman_yor.model_rows(docs).collect()}
+    assert got[held[0]].score > got[held[1]].score + 3 and got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    texts = docs.select("text").limit(30).unionByName(spark.createDataFrame([("red dog",), ("dog dog fox rare",)], "text string"))
+    words, model = pitman_yor.learn(texts)
+    pairs = Counter((u, w) for r in texts.collect() for ws in [pitman_yor.words_of(r.text) + [b""]] for u, w in zip([b"", *ws], ws))
+    number = pitman_yor.Numbers()
+    own = {r.key: (r.n, r.own) for r in model.pairs.collect()}
+    for r in words.collect():
+        mine = {w: own[int(pitman_yor.pair_key(number.of([u]), number.of([w]))[0])] for u, w in pairs if u == bytes(r.word)}
+        assert {w: n for w, (n, _) in mine.items()} == {w: n for (u, w), n in pairs.items() if u == bytes(r.word)}
+        assert sum(o for _, o in mine.values()) / (1 + r.c) + sum(r.lefts) / len(r.lefts) == pytest.approx(1)
+    assert len(own) == len(pairs)
+
+
 @pytest.mark.parametrize("apart", [0, 2, 1000])
 def test_block_max_index_equals_full_scan(apart):
     rng = random.Random(3)
