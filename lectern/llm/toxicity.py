@@ -34,6 +34,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ from lectern.llm import similar_texts
 from lectern.llm.common import batches_of, cut_lineage, only, residue
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: For texts of ASCII alone: letters in lower case, all else a space.
+PLAIN = bytes(c | 32 if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 
 
 def terms_of(word: str) -> list[str]:
@@ -52,9 +55,24 @@ def terms_of(word: str) -> list[str]:
     return [f"={word}"] + [f"<{word[:k]}" for k in range(3, min(8, n) + 1)] + [f">{word[-k:]}" for k in range(3, min(6, n) + 1)]
 
 
+def letter_runs(text: str | None) -> list[str]:
+    """The words of a text, runs of letters in lower case."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().translate(PLAIN).decode().split()
+    text = text.lower()
+    others = [c for c in set(text) if not (c.isalpha() or LETTERS.match(c))]
+    if len(others) > 64:
+        return LETTERS.findall(text)
+    for c in others:
+        text = text.replace(c, " ")
+    return text.split()
+
+
 def word_counts(text: str | None) -> dict[str, int]:
     """How often each word occurs in a text."""
-    return Counter(LETTERS.findall((text or "").lower()))
+    return Counter(letter_runs(text))
 
 
 class Terms:
@@ -86,11 +104,11 @@ class Terms:
         if len(self.seen) > self.most:
             self.seen.clear()
         begins, ends, whole, of = self.begins, self.ends, self.whole, self.of
-        out: Counter[int] = Counter()
+        out: dict[int, int] = {}
         for w, n in words.items():
             if w[:3] in begins or w[-3:] in ends or w in whole:
                 for t in of(w):
-                    out[t] += n
+                    out[t] = out.get(t, 0) + n
         return out
 
 
@@ -193,10 +211,41 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 NEAR, REST = 0.7, 0.5
 
 
-def read_text(terms: Terms, words: dict[str, int], text: str | None) -> tuple[bytes, bytes]:
-    """Known words and picked terms of a text, packed."""
-    counts = word_counts(text)
-    return packed(*word_numbers(counts, words)), packed(*ascending(terms.among(counts)))
+class Reader:
+    """Known words and picked terms of texts; the picked terms of a known word are looked up once."""
+
+    def __init__(self, terms: Terms, words: dict[str, int]):
+        self.terms, self.words = terms, words
+        self.picked: dict[int, tuple[int, ...]] = {}
+        self.bare = np.zeros(len(words) + 1, bool)  # known words that are found to have no picked term
+
+    def read(self, text: str | None) -> tuple[bytes, bytes]:
+        """Both of one text, packed."""
+        counts = word_counts(text)
+        number = np.fromiter(map(self.words.get, counts, repeat(-1)), np.int32, len(counts))
+        n = np.fromiter(counts.values(), np.int32, len(counts))
+        new: dict[str, int] = {}
+        terms: dict[int, int] = {}
+        names = list(counts)
+        for i in np.flatnonzero(~self.bare[number]).tolist():
+            k, w = int(number[i]), names[i]
+            if k < 0:
+                new[w] = counts[w]
+                continue
+            found = self.picked.get(k)
+            if found is None:
+                found = tuple(self.terms.among({w: 1}))
+                if not found:
+                    self.bare[k] = True
+                    continue
+                self.picked[k] = found
+            for t in found:
+                terms[t] = terms.get(t, 0) + counts[w]
+        for t, m in self.terms.among(new).items():
+            terms[t] = terms.get(t, 0) + m
+        known = np.flatnonzero(number >= 0)
+        known = known[np.argsort(number[known])]
+        return packed(number[known], n[known]), packed(*ascending(terms))
 
 
 class WordIndex:
@@ -204,22 +253,26 @@ class WordIndex:
 
     def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, block: int = 4, near: float = NEAR, rest: float = REST):
         self.n, self.block, self.near, self.rest = len(at) - 1, block, near, rest
-        self.at, self.term, self.weight = at, term, weight.astype(np.float32)
+        self.at, self.term, self.weight = at, term, weight.astype(np.float32, copy=False)
         self.blocks = -(-self.n // block)
         # by ranges of words, so that what is sorted at a time stays small
-        of_block = np.repeat(np.arange(self.n, dtype=np.int32) // np.int32(block), np.diff(at))
+        kind = np.uint16 if self.blocks < 1 << 16 else np.int32
+        of_block = np.repeat((np.arange(self.n) // block).astype(kind), np.diff(at))
         ends = self._even_ranges(term, terms) if len(term) else np.array([0, terms])
-        where, largest, lengths = [], [], np.zeros(terms, np.int64)
+        lengths = np.zeros(terms, np.int64)
+        # filled from the front; what stays unused takes no memory
+        self.where, self.largest, used = np.empty(len(term), kind), np.empty(len(term), np.float32), 0
         for low, high in zip(ends[:-1], ends[1:]):
             chosen = np.flatnonzero((term >= low) & (term < high))
             key = (term[chosen] - low).astype(np.int64) * max(1, self.blocks) + of_block[chosen]
             order = np.argsort(key, kind="stable")
             key, weights = key[order], self.weight[chosen[order]]
             first = np.flatnonzero(np.diff(key, prepend=-1))
-            where.append((key[first] % max(1, self.blocks)).astype(np.int32))
-            largest.append(np.maximum.reduceat(weights, first) if len(first) else weights)
+            if len(first):
+                self.where[used : used + len(first)] = key[first] % max(1, self.blocks)
+                self.largest[used : used + len(first)] = np.maximum.reduceat(weights, first)
+                used += len(first)
             lengths[low:high] = np.bincount(key[first] // max(1, self.blocks), minlength=high - low)
-        self.where, self.largest = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((where, np.int32), (largest, np.float32)))
         self.cut = np.concatenate([[0], np.cumsum(lengths)])
         self.query = np.zeros(terms)
 
@@ -308,13 +361,14 @@ class Model:
 
     @cached_property
     def word_index(self) -> WordIndex:
-        """Made where it is first used, so that only words and counts are sent."""
+        """Made where it is first used, so that only words and counts are sent; they go when it is there."""
         if not self.texts:
             return WordIndex(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), 0)
         at = np.concatenate([[0], np.cumsum([len(unpacked(x)[0]) for x in self.texts])])
         term, weight = np.zeros(at[-1], np.int32), np.zeros(at[-1], np.float32)
         for a, z, x in zip(at[:-1].tolist(), at[1:].tolist(), self.texts):
             term[a:z], weight[a:z] = word_vector(*unpacked(x), self.word_idf)
+        self.texts = []
         return WordIndex(at, term, weight, len(self.word_idf))
 
     def of(self, words: bytes, picked: bytes) -> tuple[float, list[int]]:
@@ -330,7 +384,7 @@ class Model:
                 if len(self.known) > 100_000:
                     self.known.clear()
                 found = self.known[picked] = self.start(dict(zip(*(x.tolist() for x in unpacked(picked)))))
-            if self.texts:
+            if self.word_index.n:
                 found = self.moved(found, *self.word_index.nearest(*word_vector(*unpacked(words), self.word_idf), self.k))
             self.read[key] = found
         return self.read[key]
@@ -387,7 +441,7 @@ def term_counts(sample: DataFrame, among: dict[str, int] | None = None) -> DataF
             total: Counter[tuple[str, int]] = Counter()
             for half, text in zip(batch.column("half").to_pylist(), batch.column("text").to_pylist()):
                 if known is None:
-                    total.update({(t, half) for w in set(LETTERS.findall((text or "").lower())) for t in terms_of(w)})
+                    total.update({(t, half) for w in set(letter_runs(text)) for t in terms_of(w)})
                 else:
                     total.update((names[t], half) for t in known.counts(text))
             columns = [pa.array([t for t, _ in total], pa.string()), pa.array([h for _, h in total], pa.int64()), pa.array(list(total.values()), pa.int64())]
@@ -430,7 +484,7 @@ def sample_words(sample: DataFrame) -> str:
         seen: set[str] = set()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(LETTERS.findall((text or "").lower()))
+                seen.update(letter_runs(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
 
     found = sample.select("text").mapInArrow(distinct, "word string").distinct().toArrow().column("word").to_pylist()
@@ -443,9 +497,9 @@ def read_rows(docs: DataFrame, text: str, number: dict[str, int], words: str) ->
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, words = shared.value
-        terms, known = Terms(number, 100_000), numbered(words)
+        reader = Reader(Terms(number, 100_000), numbered(words))
         for batch in batches_of(batches, 1024):
-            found = [read_text(terms, known, t) for t in batch.column(text).to_pylist()]
+            found = [reader.read(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]], names=[*batch.schema.names, "words", "picked"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

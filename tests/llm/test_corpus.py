@@ -309,6 +309,23 @@ def test_toxicity_model_is_sent_without_its_vectors():
     assert sent.vote(vectors[0]) == model.vote(vectors[0]) is not None and sent.start({0: 1}) == model.start({0: 1})
 
 
+def test_texts_are_read_as_by_the_plain_way():
+    """Words by the pattern, numbers and picked terms by Terms; the index holds no more than its entries and drops the packed words."""
+    texts = [None, "", "Abc abc, x1y2_z Ünder ǅ É²½ ٣a İstanbul", "plain WORDS only\n\x1fend", "".join(map(chr, range(0x2000, 0x2100))) + "straße A" * 3, "stra\u0301ße ab\x85cd"]
+    words = {w: k for k, w in enumerate(["abc", "x", "straße", "plain", "ünder", "end"])}
+    terms = toxicity.Terms({"<str": 0, ">der": 1, "=abc": 2, "<wor": 3})
+    reader = toxicity.Reader(terms, words)
+    for text in texts * 2:
+        want = Counter(toxicity.LETTERS.findall((text or "").lower()))
+        assert toxicity.word_counts(text) == want
+        assert reader.read(text) == (toxicity.packed(*toxicity.word_numbers(want, words)), toxicity.packed(*toxicity.ascending(terms.among(want))))
+    packed = [toxicity.packed(np.array(t, np.int32), np.ones(len(t), np.int32)) for t in ([0, 1], [1, 2], [3])]
+    model = toxicity.Model({}, np.ones(0), [], np.zeros(0), np.zeros(0), [], 0.1, word_idf=np.ones(4), texts=packed, marks=np.array([1.0, 0, 0]), rows=np.array([5, 6, 7]))
+    empty = toxicity.packed(np.zeros(0, np.int32), np.zeros(0, np.int32))
+    assert model.of(packed[0], empty) == (pytest.approx((1 + 0.1 * 0.1) / 1.1), [5]) and model.texts == []
+    assert model.word_index.where.dtype == np.uint16 and model.of(packed[2], empty)[1] == [7]
+
+
 def test_disk_is_freed(spark, tmp_path):
     from lectern.llm.common import cut_lineage, run_folder
 
