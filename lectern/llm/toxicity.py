@@ -209,6 +209,8 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 #: Cosine from which an example has a vote, and the length below which a text's lighter words are only bounded.
 NEAR, REST = 0.7, 0.5
+#: The largest weight of a word in a block, 1 at most, is kept as a number up to this.
+WIDEST = 65_535
 
 
 class Reader:
@@ -261,7 +263,7 @@ class WordIndex:
         ends = self._even_ranges(term, terms) if len(term) else np.array([0, terms])
         lengths = np.zeros(terms, np.int64)
         # filled from the front; what stays unused takes no memory
-        self.where, self.largest, used = np.empty(len(term), kind), np.empty(len(term), np.float32), 0
+        self.where, self.largest, used = np.empty(len(term), kind), np.empty(len(term), np.uint16), 0
         for low, high in zip(ends[:-1], ends[1:]):
             chosen = np.flatnonzero((term >= low) & (term < high))
             key = (term[chosen] - low).astype(np.int64) * max(1, self.blocks) + of_block[chosen]
@@ -270,7 +272,8 @@ class WordIndex:
             first = np.flatnonzero(np.diff(key, prepend=-1))
             if len(first):
                 self.where[used : used + len(first)] = key[first] % max(1, self.blocks)
-                self.largest[used : used + len(first)] = np.maximum.reduceat(weights, first)
+                # rounded up, so that bounds stay bounds
+                self.largest[used : used + len(first)] = np.minimum(WIDEST, np.ceil(np.maximum.reduceat(weights, first) * WIDEST))
                 used += len(first)
             lengths[low:high] = np.bincount(key[first] // max(1, self.blocks), minlength=high - low)
         self.cut = np.concatenate([[0], np.cumsum(lengths)])
@@ -279,7 +282,10 @@ class WordIndex:
     @staticmethod
     def _even_ranges(term: np.ndarray, terms: int, parts: int = 16) -> np.ndarray:
         """Ends of ranges of words with about as many entries each."""
-        total = np.cumsum(np.bincount(term, minlength=terms))
+        total = np.zeros(terms, np.int64)
+        for a in range(0, len(term), 1 << 20):
+            total += np.bincount(term[a : a + (1 << 20)], minlength=terms)
+        total = np.cumsum(total)
         return np.unique(np.concatenate([[0], np.searchsorted(total, total[-1] * np.arange(1, parts) // parts), [terms]])).astype(np.int64)
 
     def bounds(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -291,7 +297,7 @@ class WordIndex:
         begin = self.cut[term[heavy]]
         size = self.cut[term[heavy] + 1] - begin
         lists = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.where[lists], self.largest[lists] * np.repeat(weight[heavy], size), minlength=self.blocks) + left[used - 1] + 1e-5
+        return np.bincount(self.where[lists], self.largest[lists] * np.repeat(weight[heavy] / WIDEST, size), minlength=self.blocks) + left[used - 1] + 1e-5
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k best, ties to the smaller place."""
@@ -343,7 +349,16 @@ class Model:
 
     def __getstate__(self) -> dict:
         """What is sent to tasks: the index has what scores need of the vectors."""
-        return self.__dict__ | {"vectors": []}
+        state = self.__dict__ | {"vectors": []}
+        if self.texts:  # in one piece, which is given back whole when the index is made
+            state["texts"] = (b"".join(self.texts), np.cumsum([0, *map(len, self.texts)]).tolist())
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.texts:
+            whole, cuts = memoryview(self.texts[0]), self.texts[1]
+            self.texts = [whole[a:z] for a, z in zip(cuts, cuts[1:])]
 
     def vote(self, query: tuple[tuple[int, float], ...], leave: int = 0) -> tuple[float, list[int]] | None:
         """Log odds of the neighbours' votes and the examples that voted; ``leave`` is one example taken out of its entry."""

@@ -322,8 +322,12 @@ def test_texts_are_read_as_by_the_plain_way():
     packed = [toxicity.packed(np.array(t, np.int32), np.ones(len(t), np.int32)) for t in ([0, 1], [1, 2], [3])]
     model = toxicity.Model({}, np.ones(0), [], np.zeros(0), np.zeros(0), [], 0.1, word_idf=np.ones(4), texts=packed, marks=np.array([1.0, 0, 0]), rows=np.array([5, 6, 7]))
     empty = toxicity.packed(np.zeros(0, np.int32), np.zeros(0, np.int32))
+    sent = pickle.loads(pickle.dumps(model))
+    assert [bytes(t) for t in sent.texts] == packed and sent.of(packed[0], empty) == model.of(packed[0], empty)
+    model = pickle.loads(pickle.dumps(sent))  # with its index
+    assert model.of(packed[1], empty)[1] == [6]
     assert model.of(packed[0], empty) == (pytest.approx((1 + 0.1 * 0.1) / 1.1), [5]) and model.texts == []
-    assert model.word_index.where.dtype == np.uint16 and model.of(packed[2], empty)[1] == [7]
+    assert model.word_index.largest.dtype == np.uint16 and model.word_index.where.dtype == np.uint16 and model.of(packed[2], empty)[1] == [7]
 
 
 def test_disk_is_freed(spark, tmp_path):
