@@ -384,6 +384,7 @@ class Model:
         for a, z, x in zip(at[:-1].tolist(), at[1:].tolist(), self.texts):
             term[a:z], weight[a:z] = word_vector(*unpacked(x), self.word_idf)
         self.texts = []
+        del x  # the last one holds the whole piece
         return WordIndex(at, term, weight, len(self.word_idf))
 
     def of(self, words: bytes, picked: bytes) -> tuple[float, list[int]]:
