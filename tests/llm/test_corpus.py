@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,40 @@ def test_words_are_drawn_in_the_restaurant_of_the_word_before(spark):
     assert len(own) == len(pairs)
 
 
+@pytest.mark.parametrize("all_pairs", [False, True])
+def test_pairs_sent_packed_are_counted_as_plain_ones(spark, all_pairs):
+    """Frequent words go by their place, others by their number; a pair's sides count those that are left out too."""
+    rng = random.Random(7)
+    mine = [" ".join(rng.choices(["The", "fox", "é", "dog\x0b", "\x1crare%d" % k], [9, 5, 3, 2, 2], k=rng.randrange(9))) for k in range(300)] + ["", " \t ", None]
+    others = ["the fox fox new", "rare5 the", None]
+    rows = [(t, True) for t in mine] + [(t, False) for t in others]
+    number = pitman_yor.Numbers()
+    tokens = {t: [*number.of([*pitman_yor.words_of(t), b""]).tolist()] for t, _ in rows}
+    dictionary, codes, lengths = pitman_yor.tokens_of(pa.array([t for t, _ in rows], pa.string()).slice(1))
+    assert [dictionary[k].as_py() for k in codes.tolist()] == [w for t, _ in rows[1:] for w in [*pitman_yor.words_of(t), b""]] and lengths.sum() == len(codes)
+    count = lambda texts: Counter((u, w) for t in texts for u, w in zip([tokens[t][-1], *tokens[t]], tokens[t]))
+    want, asked = count(mine), count(others)
+    words = pitman_yor.count_words(spark.createDataFrame([(t,) for t in mine], "text string"))
+    assert {r.h: r.c for r in words.collect()} == Counter(w for t in mine for w in tokens[t])
+    top = pitman_yor.frequent_words(words, 3).select("h", "word").toArrow()
+    got = pitman_yor.count_pairs(spark.createDataFrame(rows, "text string, learned boolean").repartition(3), top, 5, all_pairs).collect()
+    assert {(r.u, r.w): r.n for r in got if r.w is not None} == {p: n for p, n in want.items() if n > 1 or p in asked or all_pairs}
+    f, p = Counter(), Counter()
+    for r in got:
+        if r.w is None:
+            f[r.u] += r.f
+            p[r.u] += r.p
+    assert f == Counter(u for u, _ in want) and p == Counter(w for _, w in want)
+
+
+def test_packed_pairs_take_a_fifth_of_plain_ones():
+    rng = np.random.default_rng(1)
+    u, w = np.sort(rng.zipf(1.3, 50_000) % 250_000), rng.zipf(1.3, 50_000) % 250_000
+    data = pitman_yor.pack(np.diff(u, prepend=0), w, np.full(50_000, 2))
+    back = pitman_yor.unpack(pa.table({"rows": [50_000], "data": [data]}), 3)[0]
+    assert (np.cumsum(back[0]) == u).all() and (back[1] == w).all() and len(data) < 50_000 * 24 / 5
+
+
 @pytest.mark.parametrize("apart", [0, 2, 1000])
 def test_block_max_index_equals_full_scan(apart):
     rng = random.Random(3)
