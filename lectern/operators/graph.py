@@ -20,7 +20,7 @@ from lectern.config import DEFAULT, EngineConfig
 from lectern.functions import names, packing
 from lectern.functions.text import contains_any, entity_name
 from lectern.operators.lineage import cut_lineage
-from lectern.operators.skew import least_shared_group, next_event, ordered_ids, pairs_sharing, products_within
+from lectern.operators.skew import consecutive_ids, cut_lists, least_group_of_lists, next_event, pairs_sharing, products_within
 
 ATTRS = "map<string,string>"
 STAGE_TABLES, STAGE_DIRECTORY, STAGE_TRIPLES, STAGE_SHARED = 0, 10, 20, 90
@@ -307,32 +307,52 @@ def _not_yet(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidates (src, dst) without an edge; only edges that leave one of their sources are moved."""
     candidates = cut_lineage(candidates)
     sources = cut_lineage(candidates.select("src").distinct())
-    return candidates.join(edges.select("src", "dst").join(sources, "src", "left_semi"), ["src", "dst"], "left_anti")
+    there = edges.select("src", "dst").join(sources, "src", "left_semi")
+    return candidates.join(there, ["src", "dst"], "left_anti")
 
 
-def shares_variety(edges: DataFrame, block: int = 256) -> DataFrame:
-    """One edge a -> b (a < b) for designations with a variety in common and no edge so far."""
+_NOT_LISTED = "NOT (predicate <=> 'AUTHORIZES_VARIETY')"
+
+
+def _varieties(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Designations (src, d), numbered by name, and varieties (dst, came, of): when each came and who lists it, as sorted numbers."""
+    listed = edges.filter("predicate = 'AUTHORIZES_VARIETY'")
+    designations = consecutive_ids(listed.select("src").filter("src IS NOT NULL").distinct(), ("src",), "d").select("src", F.col("d").cast("int"))
+    # rows are sorted to be grouped, which a number in front of the name makes faster
+    by_name = listed.join(designations, "src", "left").filter("dst IS NOT NULL").groupBy(F.xxhash64("dst").alias("_h"), "dst")
+    grouped = by_name.agg(F.min("ord").alias("came"), F.sort_array(F.collect_set("d")).alias("of"))
+    return designations, cut_lineage(grouped.select("dst", "came", "of"))
+
+
+def _shared_pairs(edges: DataFrame, designations: DataFrame, varieties: DataFrame, block: int = 256) -> DataFrame:
+    """(src, dst, variety): designations with a variety in common and no edge so far, not written."""
     # Pairs are the bulk of the work, so they are made of numbers.  The numbers grow with the
     # order of names and of first appearances, which keeps "a < b" and "came first" intact.
-    listed = edges.filter("predicate = 'AUTHORIZES_VARIETY'")
-    varieties = ordered_ids(listed.groupBy("dst").agg(F.min("ord").alias("came")), ("came", "dst"), "v").select("dst", "v")
-    designations = ordered_ids(listed.select("src").distinct(), ("src",), "d")
-    members = cut_lineage(listed.select("src", "dst").join(varieties, "dst").join(designations, "src").select("v", "d").distinct())
+    met = consecutive_ids(varieties.filter("size(of) > 1"), ("came", "dst"), "v")
     # the edge names the variety that came into the graph first
-    first = least_shared_group(members, "v", "d", block)
-    # edges between designations, in numbers: most edges end at a variety and are dropped by the first join
-    to = edges.select("src", "dst").join(designations.select(F.col("src").alias("dst"), F.col("d").alias("b")), "dst")
-    known = to.join(designations.withColumnRenamed("d", "a"), "src").select("a", "b").distinct()
-    kept = (
-        first.join(known, ["a", "b"], "left_anti")
-        .join(varieties.withColumnRenamed("dst", "variety"), "v")
+    first = least_group_of_lists(cut_lists(met.select("v", F.col("dst").alias("variety"), "of"), "of", block), "v", label="variety")
+    # edges between designations, in numbers: those to a variety are known from its list
+    ends = designations.select(F.col("src").alias("dst"), F.col("d").alias("b"))
+    others = edges.filter(_NOT_LISTED).select("src", "dst").join(ends, "dst").join(designations.withColumnRenamed("d", "a"), "src")
+    known = others.select("a", "b").unionByName(varieties.join(ends, "dst").select(F.explode("of").alias("a"), "b")).distinct()
+    # written, so that their size is known when all pairs are joined with them
+    return (
+        first.join(cut_lineage(known), ["a", "b"], "left_anti")
         .join(designations.withColumnsRenamed({"d": "a"}), "a")
         .join(designations.withColumnsRenamed({"d": "b", "src": "dst"}), "b")
         .select("src", "dst", "variety")
     )
+
+
+def _shared_edges(kept: DataFrame) -> DataFrame:
     return edges_of(kept, F.col("src"), F.col("dst"), "SHARES_VARIETY_WITH",
                     order_key(STAGE_SHARED, F.col("src"), F.lit(0), F.lit(0), F.lit(0)),
-                    source=F.lit("cross_inference"), attrs_=attrs(variety=F.col("variety")))
+                    source=F.lit("cross_inference"), attrs_=F.create_map(F.lit("variety"), "variety"))
+
+
+def shares_variety(edges: DataFrame, block: int = 256) -> DataFrame:
+    """One edge a -> b (a < b) for designations with a variety in common and no edge so far."""
+    return _shared_edges(_shared_pairs(edges, *_varieties(edges), block))
 
 
 def _container_of(edges: DataFrame, belongs: str, predicate: str, stage: int) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.lineage import cut_lineage
+from lectern.operators import pair_lists
+from lectern.operators.lineage import cut_lineage, let_workers_import
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
     """Keep the first row of every key.
@@ -83,13 +87,20 @@ def pairs_sharing(
     )
 
 
+def consecutive_ids(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Number the rows 0, 1, 2, ... in ``order``; what the driver sees is one count for each task of the sort."""
+    numbered = ordered_ids(df, order, name)
+    counts = dict(numbered.groupBy(F.shiftright(name, 33).alias("task")).count().collect())
+    starts = [0, *itertools.accumulate(counts.get(task, 0) for task in range(max(counts, default=0)))]
+    start = F.element_at(F.array(*map(F.lit, starts)).cast("array<long>"), (F.shiftright(name, 33) + 1).cast("int"))
+    return numbered.withColumn(name, start + F.col(name).bitwiseAND((1 << 33) - 1))
+
+
 def least_shared_group(members: DataFrame, group: str, member: str, block: int = 256, most: int = 1 << 23) -> DataFrame:
     """(a, b, group) for every pair of members with ``a < b`` that share a group: the least group they share.
 
-    ``members`` must hold each (group, member) once.  Lists travel instead of pairs: a member is sent with the members
-    after it to the task that holds all its pairs, where they are unpacked and reduced without another shuffle.
-    A group of more than ``block`` members is cut into lists that meet two by two, and the pairs of a
-    member with more than ``most`` of them are dealt over several tasks by the other member.
+    ``members`` must hold each (group, member) once, both numbers.  A group of more than ``block`` members is
+    collected in several lists.
     """
     sizes = members.groupBy(group).agg(F.count("*").alias("_n"))
     # written, so that their size is known when the members are joined with them
@@ -99,34 +110,68 @@ def least_shared_group(members: DataFrame, group: str, member: str, block: int =
     lists = cut_lineage(
         placed.repartition(group, "_own").groupBy(group, "_own", "_blocks").agg(F.sort_array(F.collect_list(member)).alias("_of"))
     )
-    size = F.size("_of")
-    within = lists.select(group, "_of", F.posexplode("_of").alias("_at", "a")).filter(F.col("_at") < size - 1)
-    within = within.select(group, "a", F.slice("_of", F.col("_at") + 2, size - F.col("_at") - 1).alias("_after"))
+    return least_group_of_lists(lists, group, most)
+
+
+def cut_lists(lists: DataFrame, of: str, block: int = 256) -> DataFrame:
+    """The sorted lists ``of`` as ``least_group_of_lists`` takes them: at most ``block`` members in one."""
+    blocks = F.ceil(F.size(of) / block).cast("int")
+    others = [c for c in lists.columns if c != of]
+    cut = lists.select(*others, of, blocks.alias("_blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_own"))
+    return cut.select(*others, "_own", "_blocks", F.slice(of, F.col("_own") * block + 1, F.lit(block)).alias("_of"))
+
+
+def least_group_of_lists(lists: DataFrame, group: str, most: int = 1 << 23, label: str | None = None) -> DataFrame:
+    """(a, b, group) for every pair ``a < b`` that share a group, from its members in sorted lists; with ``label`` also that column of the group.
+
+    ``lists``: group, _own, _blocks, _of: the list number _own of the _blocks lists of a group.  Lists travel instead
+    of pairs: a range of members is sent, once a list, with the members after it to the task that holds all
+    pairs of the range; there they are unpacked, reduced a few million at a time and come back as one row a
+    member.  Lists of one group meet two by two.  Ranges are cut by counted pairs, about ``most`` a task, and
+    the pairs of a range that has more are dealt over several tasks by the other member.
+    """
+    spark, kinds = lists.sparkSession, dict(lists.dtypes)
+    member_kind, labels = kinds["_of"].removeprefix("array<").removesuffix(">"), [label] if label else []
     many = lists.filter("_blocks > 1")
     left = many.filter("_own < _blocks - 1").select(
-        group, F.col("_of").alias("_l"), F.explode(F.sequence(F.col("_own") + 1, F.col("_blocks") - 1)).alias("_j")
+        group, *labels, F.col("_of").alias("_l"), F.explode(F.sequence(F.col("_own") + 1, F.col("_blocks") - 1)).alias("_j")
     )
     met = left.join(many.select(group, F.col("_own").alias("_j"), F.col("_of").alias("_r")), [group, "_j"])
-
-    def after(some: str, others: str) -> Column:
-        return F.transform(some, lambda x: F.struct(x.alias("a"), F.filter(others, lambda y: y > x).alias("_after")))
-
-    across = met.select(group, F.explode(F.concat(after("_l", "_r"), after("_r", "_l"))).alias("_x"))
-    rows = within.unionByName(across.select(group, "_x.a", "_x._after").filter(F.size("_after") > 0))
-
-    met_by = lists.select(F.explode("_of").alias("a"), (size * F.col("_blocks")).cast("long").alias("_n")).groupBy("a").agg(F.sum("_n").alias("_n"))
-    hot = cut_lineage(met_by.filter(F.col("_n") > most).select("a", F.ceil(F.col("_n") / most).cast("int").alias("_pieces")))
-    keys = ["a"]
-    if not hot.isEmpty():
-        rows = rows.join(hot, "a", "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
-        part = F.transform(F.sequence(F.lit(0), F.col("_pieces") - 1), lambda k: F.struct(
-            k.alias("k"), F.filter("_after", lambda b: F.pmod(F.xxhash64(b), F.col("_pieces")) == k).alias("of")))
-        whole = F.array(F.struct(F.lit(0).alias("k"), F.col("_after").alias("of")))
-        rows = rows.select(group, "a", F.explode(F.when(F.col("_pieces") > 1, part).otherwise(whole)).alias("_x"))
-        rows = rows.select(group, "a", F.col("_x.k").alias("_k"), F.col("_x.of").alias("_after"))
-        keys.append("_k")
-    pairs = rows.repartition(*keys).select(group, *keys, F.explode("_after").alias("b"))
-    return pairs.groupBy(*keys, "b").agg(F.min(group).alias(group)).select("a", "b", group)
+    rows = lists.filter(F.size("_of") > 1).select(group, *labels, F.col("_of").alias("_l"), F.lit(None).cast(kinds["_of"]).alias("_r"))
+    rows = rows.unionByName(met.select(group, *labels, "_l", "_r"))
+
+    ends = lists.agg(F.min(group), F.max(group), F.min(F.element_at("_of", 1)), F.max(F.element_at("_of", -1))).first()
+    least_group, last_group, least, last = (x or 0 for x in ends)
+    width = (last - least) // (1 << 16) + 1
+    # an upper bound of a member's pairs: those after it in its own list, all of the other lists
+    pairs_of = lists.select((F.size("_of").cast("long") * F.col("_blocks")).alias("_n"), F.posexplode("_of").alias("_at", "a"))
+    counted = pairs_of.groupBy(F.expr(f"(a - {least}L) div {width}L").alias("_range")).agg(F.sum(F.expr("_n - _at - 1")).alias("_n")).collect()
+    first, pieces, lows = _tasks_of_ranges({r[0]: r[1] for r in counted}, most)
+    bounds = {"least": least, "width": width, "first": first, "pieces": pieces}
+    sent = "_task int, _g binary, _nl binary, _l binary, _nr binary, _r binary" + (f", {label} array<string>" if label else "")
+    let_workers_import(spark)
+    parts = rows.mapInArrow(partial(pair_lists.deal, group=group, label=label, **bounds), sent).repartitionById(len(lows), "_task")
+    found = f"a {member_kind}, _after array<struct<b: {member_kind}, {group}: {kinds[group]}" + (f", {label}: string" if label else "") + ">>"
+    reduced = parts.mapInArrow(partial(
+        pair_lists.reduce, group=group, label=label, member_kind=member_kind, group_kind=kinds[group], least=least, last=last, least_group=least_group,
+        last_group=last_group, lows=[least + low * width for low in lows],
+    ), found)
+    return reduced.select("a", F.explode("_after").alias("_x")).select("a", "_x.b", *[f"_x.{c}" for c in (group, *labels)])
+
+
+def _tasks_of_ranges(pairs: dict[int, int], most: int) -> tuple[list[int], list[int], list[int]]:
+    """For each range of members its first task and over how many tasks it is dealt; for each task the first range it holds."""
+    first, pieces, lows, held = [], [], [], 0
+    for k in range(max(pairs, default=0) + 1):
+        n = pairs.get(k, 0)
+        if n > most or not lows or held + n > most:
+            lows.append(k)
+            held = 0
+        first.append(len(lows) - 1)
+        pieces.append(max(1, -(-n // most)))
+        lows.extend([k] * (pieces[-1] - 1))
+        held = most + 1 if pieces[-1] > 1 else held + n
+    return first, pieces, lows
 
 
 def next_event(probes: DataFrame, events: DataFrame, key: str, at: str) -> DataFrame:
