@@ -9,7 +9,7 @@ so "first" and "last" never depend on how rows are spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -303,12 +303,16 @@ def soil_in_climate(edges: DataFrame) -> DataFrame:
 
 # --- shared entities --------------------------------------------------------------------------
 
-def _not_yet(candidates: DataFrame, edges: DataFrame) -> DataFrame:
+#: Tells for candidates (src, dst) which of them (src, dst) are edges that are not in a table.
+Made = Callable[[DataFrame], DataFrame]
+
+
+def _not_yet(candidates: DataFrame, edges: DataFrame, made: Made | None = None) -> DataFrame:
     """Candidates (src, dst) without an edge; only edges that leave one of their sources are moved."""
     candidates = cut_lineage(candidates)
     sources = cut_lineage(candidates.select("src").distinct())
     there = edges.select("src", "dst").join(sources, "src", "left_semi")
-    return candidates.join(there, ["src", "dst"], "left_anti")
+    return candidates.join(there.unionByName(made(candidates)) if made else there, ["src", "dst"], "left_anti")
 
 
 _NOT_LISTED = "NOT (predicate <=> 'AUTHORIZES_VARIETY')"
@@ -355,29 +359,52 @@ def shares_variety(edges: DataFrame, block: int = 256) -> DataFrame:
     return _shared_edges(_shared_pairs(edges, *_varieties(edges), block))
 
 
-def _container_of(edges: DataFrame, belongs: str, predicate: str, stage: int) -> DataFrame:
+def _listed_or_shared(designations: DataFrame, varieties: DataFrame) -> Made:
+    """Which candidates are edges to a variety or of two designations that share one, found without making those edges."""
+    def made(candidates: DataFrame) -> DataFrame:
+        leaving = cut_lineage(candidates.join(designations.withColumnRenamed("d", "a"), "src"))
+        if leaving.isEmpty():
+            return candidates.limit(0).select("src", "dst")
+        listed = leaving.join(varieties.select("dst", "of"), "dst").filter("array_contains(of, a)").select("src", "dst")
+        pairs = leaving.join(designations.select(F.col("src").alias("dst"), F.col("d").alias("b")), "dst").filter("a < b")
+        members = varieties.select(F.col("dst").alias("variety"), F.explode("of").alias("a"))
+        tried = pairs.join(members, "a").join(varieties.select(F.col("dst").alias("variety"), "of"), "variety")
+        return listed.unionByName(tried.filter("array_contains(of, b)").select("src", "dst"))
+
+    return made
+
+
+def _container_of(edges: DataFrame, belongs: str, predicate: str, stage: int, made: Made | None) -> DataFrame:
     inside = edges.filter(F.col("predicate") == belongs).select(F.col("src").alias("town"), F.col("dst").alias("area")).distinct()
     holds = edges.filter("predicate = 'CONTAINS_MUNICIPALITY'").select(F.col("dst").alias("town"), F.col("src").alias("dop")).distinct()
     chain = inside.join(holds, "town").select(F.col("area").alias("src"), F.col("dop").alias("dst")).distinct()
-    kept = _not_yet(chain, edges)
+    kept = _not_yet(chain, edges, made)
     return edges_of(kept, F.col("src"), F.col("dst"), predicate,
                     order_key(stage, F.col("src"), F.lit(0), F.lit(0), F.lit(0)), source=F.lit("cross_inference"))
 
 
-def zone_in_dop(edges: DataFrame) -> DataFrame:
-    return _container_of(edges, "MUNICIPALITY_IN_ZONE", "ZONE_IN_DOP", STAGE_SHARED + 1)
+def zone_in_dop(edges: DataFrame, made: Made | None = None) -> DataFrame:
+    return _container_of(edges, "MUNICIPALITY_IN_ZONE", "ZONE_IN_DOP", STAGE_SHARED + 1, made)
 
 
-def province_contains_dop(edges: DataFrame) -> DataFrame:
-    return _container_of(edges, "MUNICIPALITY_IN_PROVINCE", "PROVINCE_CONTAINS_DOP", STAGE_SHARED + 2)
+def province_contains_dop(edges: DataFrame, made: Made | None = None) -> DataFrame:
+    return _container_of(edges, "MUNICIPALITY_IN_PROVINCE", "PROVINCE_CONTAINS_DOP", STAGE_SHARED + 2, made)
 
 
 def infer_shared(edges: DataFrame) -> DataFrame:
-    """All three shared-entity inferences; each sees the edges made by the ones before it."""
-    out = edges
-    for rule in (shares_variety, zone_in_dop, province_contains_dop):
-        out = out.unionByName(cut_lineage(rule(out)))
-    return out
+    """All three shared-entity inferences; each sees the edges made by the ones before it.
+
+    Designations that share a variety are by far the most edges, so they are not written: whoever reads the result
+    makes them, and the other rules ask only for those that could be one of theirs.
+    """
+    designations, varieties = _varieties(edges)
+    shared = _shared_edges(_shared_pairs(edges, designations, varieties))
+    out, made = edges.filter(_NOT_LISTED), _listed_or_shared(designations, varieties)
+    new = shared
+    for rule in (zone_in_dop, province_contains_dop):
+        inferred = cut_lineage(rule(out, made))
+        out, new = out.unionByName(inferred), new.unionByName(inferred)
+    return edges.unionByName(new)
 
 
 # --- neighbourhood queries ----------------------------------------------------------------------

@@ -72,6 +72,29 @@ def test_shared_pairs_are_not_shuffled_for_their_names(spark):
     assert found.count() == 9 * 8 // 2 - 1
 
 
+def test_inferred_shared_edges_are_seen_but_not_written(spark, monkeypatch):
+    given = edges(spark, [
+        ("A", "AUTHORIZES_VARIETY", "w"), ("A", "AUTHORIZES_VARIETY", "v"), ("B", "AUTHORIZES_VARIETY", "v"), ("B", "AUTHORIZES_VARIETY", "w"),
+        ("C", "AUTHORIZES_VARIETY", "A"), (None, "AUTHORIZES_VARIETY", "v"), ("B", "AUTHORIZES_VARIETY", None),
+        # A is also a zone and a province: of B, with which it shares a variety, of v, which it lists, of C, of A itself
+        *[(d, "CONTAINS_MUNICIPALITY", f"t {d}") for d in ("A", "B", "C", "v", "B2")],
+        *[(f"t {d}", "MUNICIPALITY_IN_ZONE", "A") for d in ("A", "B", "C", "v")], ("t B2", "MUNICIPALITY_IN_PROVINCE", "A"),
+        # B is a zone of A: the shared edge is A -> B; C has A as its zone when A as its province is tried
+        ("t A", "MUNICIPALITY_IN_ZONE", "B"), ("t C", "MUNICIPALITY_IN_PROVINCE", "A"), (None, None, None),
+    ])
+    written = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, cut=graph.cut_lineage: written.append(cut(df)) or written[-1])
+    out = graph.infer_shared(given)
+    assert out.count() == given.count() + 5
+    got = {(r.src, r.predicate, r.dst, r.attrs.get("variety")) for r in out.filter("source = 'cross_inference'").collect()}
+    assert got == {
+        ("A", "SHARES_VARIETY_WITH", "B", "w"), ("A", "ZONE_IN_DOP", "A", None), ("A", "ZONE_IN_DOP", "C", None), ("B", "ZONE_IN_DOP", "A", None),
+        ("A", "PROVINCE_CONTAINS_DOP", "B2", None),
+    }
+    tables = [t for t in written if "predicate" in t.columns]
+    assert tables and not any(t.filter("predicate = 'SHARES_VARIETY_WITH'").count() for t in tables)
+
+
 def test_edges_of_other_kinds_do_not_read_what_was_sold(spark, tmp_path):
     kinds = {
         "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0)]), "region": ("r_regionkey int, r_name string", [(0, "R")]),
