@@ -339,9 +339,11 @@ def _shared_pairs(edges: DataFrame, designations: DataFrame, varieties: DataFram
     ends = designations.select(F.col("src").alias("dst"), F.col("d").alias("b"))
     others = edges.filter(_NOT_LISTED).select("src", "dst").join(ends, "dst").join(designations.withColumnRenamed("d", "a"), "src")
     known = others.select("a", "b").unionByName(varieties.join(ends, "dst").select(F.explode("of").alias("a"), "b")).distinct()
-    # written, so that their size is known when all pairs are joined with them
+    # written, so that their size is known when all pairs are joined with them; two ints would be joined as one
+    # number, whose high and low halves fall into few slots of the hash table
+    known = cut_lineage(known.select(F.col("a").cast("long").alias("_a"), F.col("b").cast("long").alias("_b")))
     return (
-        first.join(cut_lineage(known), ["a", "b"], "left_anti")
+        first.join(known, (F.col("a").cast("long") == F.col("_a")) & (F.col("b").cast("long") == F.col("_b")), "left_anti")
         .join(designations.withColumnsRenamed({"d": "a"}), "a")
         .join(designations.withColumnsRenamed({"d": "b", "src": "dst"}), "b")
         .select("src", "dst", "variety")
